@@ -20,7 +20,7 @@ Loss: a pair at similarity s shares no band with probability (1 - s^rows)^bands.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from math import comb
@@ -59,7 +59,7 @@ class Join:
             h, _, _, rows = tk.words(data, offsets)
             s, first = tk.word_shingles(h, rows, self.k)
             return s, first, (h, rows)
-        codes, at = squeezed(data, offsets)
+        codes, at = tk.characters(*squeezed(data, offsets))
         s, first = tk.char_shingles(codes, at, self.k)
         return s, first, (s, first)
 
@@ -143,8 +143,8 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def near(annotated: DataFrame, body, how: Join, scratch: Scratch) -> DataFrame:
-    """Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
+def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
+    """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
     unit = annotated.select("row_uid", F.explode("units").alias("u")).select("row_uid", "u.*")
     # 2. keys of two or more classes; equal rows meet before the shuffle
     keyed = annotated.select(F.explode("units").alias("u")).select(F.shiftrightunsigned("u.fp1", 33).cast("int").alias("f"), F.explode("u.bands").alias("key"))
@@ -162,8 +162,7 @@ def near(annotated: DataFrame, body, how: Join, scratch: Scratch) -> DataFrame:
     active = scratch.save(tiles.select("fp1", "fp2").distinct(), "active")
     active, _ = if_small(active, 24)
     # one body and the number of rows for each class that shares a key
-    rows = annotated.select(F.explode("units").alias("u"), *body.needs).select("u.pos", "u.fp1", "u.fp2", *body.needs)
-    rows = rows.join(active, ["fp1", "fp2"], "left_semi").select("fp1", "fp2", body.of().alias("body"))
+    rows = bodies(annotated).join(active, ["fp1", "fp2"], "left_semi")
     texts = scratch.save(rows.groupBy("fp1", "fp2").agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("weight")), "bodies", release=True)
     own = F.pmod(F.xxhash64("fp1", "fp2", "key"), F.col("slices")).cast("int")
     tiles = tiles.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

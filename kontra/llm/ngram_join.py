@@ -12,14 +12,6 @@ from kontra.llm.scratch import Scratch, if_small
 DEFAULT = Join(unit="text", kind="words", k=5, bands=30, rows=5)
 
 
-class _Whole:
-    def __init__(self, column: str):
-        self.needs = [column]
-
-    def of(self):
-        return F.col(self.needs[0])
-
-
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Join = DEFAULT) -> tuple[DataFrame, list[str]]:
     """Documents with their class and links.
 
@@ -39,7 +31,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how:
     scratch = Scratch(docs.sparkSession, "ngram-join")
     names = docs.columns
     flat = annotate(docs, text, how, scratch, "units")
-    linked = near(flat, _Whole(f"c{names.index(text)}"), how, scratch)
+    body = F.col(f"c{names.index(text)}").alias("body")
+    linked = near(flat, lambda t: t.where(F.size("units") > 0).select(F.element_at("units", 1).alias("u"), body).select("u.fp1", "u.fp2", "body"), how, scratch)
     ids = F.col(f"c{names.index(doc_id)}")
     # the class of every row: its text's component, or its text
     base = flat.where(F.size("units") > 0).select("row_uid", ids.alias("id"), F.element_at("units", 1).alias("u")).select("row_uid", "id", "u.fp1", "u.fp2")
@@ -75,3 +68,20 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", h
 def op5_query(spark, sf_dir: str) -> DataFrame:
     out, names = ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), "class_id", "n_links", "n_texts", "kept")
+
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, array_to_string(ws, ' ') AS body, ws FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [body] END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 5 >= (x.n + y.n - c) * 4
+          UNION SELECT x.doc_id, y.doc_id FROM t x JOIN t y ON x.body = y.body AND x.doc_id <> y.doc_id),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+counts AS (SELECT l.a, count(*) AS n, count(DISTINCT CASE WHEN x.body <> y.body THEN y.body END) AS m
+           FROM links l JOIN t x ON x.doc_id = l.a JOIN t y ON y.doc_id = l.b GROUP BY l.a)
+SELECT d.doc_id, least.c AS class_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m, 0)::BIGINT AS n_texts, d.doc_id = least.c AS kept
+FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN counts ON counts.a = d.doc_id
+"""

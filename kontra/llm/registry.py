@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontra.llm.ngram_join import op5_query
+from kontra.llm import embedding_dedup, ngram_join
+from kontra.llm.decontaminate import op9_query
+from kontra.llm.line_dedup import op4_query
+from kontra.llm.quality import op6_query
+from kontra.llm.toxicity import op10_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op5_ngram_jaccard_join": op5_query,
+        "op1_embedding_near_dedup": embedding_dedup.op1_query,
+        "op4_line_dedup": op4_query,
+        "op5_ngram_jaccard_join": ngram_join.op5_query,
+        "op6_quality_classifier": op6_query,
+        "op9_benchmark_decontamination": op9_query,
+        "op10_toxicity": op10_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_embedding_near_dedup": embedding_dedup.ORACLE,
+        "op5_ngram_jaccard_join": ngram_join.ORACLE,
+    }

@@ -108,21 +108,31 @@ def word_shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
     return mix64(out), first
 
 
-def char_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k bytes and each row's first; a row of 1 to k-1 bytes has one, of all its bytes."""
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for each character of UTF-8 rows, and each row's first."""
+    if not len(data) or data.max() < 0x80:
+        return BYTE_CODE[data], offsets
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    code = BYTE_CODE[points & np.uint32(0xFF)]
+    wide = np.flatnonzero(points > 0x7F)
+    code[wide] = mix64(points[wide].astype(np.uint64) + BASE)
+    return code, leads[offsets]
+
+
+def char_shingles(codes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k character codes and each row's first; a row of 1 to k-1 has one, of them all."""
     n = np.diff(offsets)
     m = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(m)])
-    code = np.concatenate([BYTE_CODE[data], np.zeros(k, dtype=np.uint64)])
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
+    code = np.concatenate([codes, np.zeros(k, dtype=np.uint64)])
+    run = np.zeros(len(codes) + 1, dtype=np.uint64)
     for i in range(k):
-        run += code[i : i + len(data) + 1] * STEP[i]
+        run += code[i : i + len(codes) + 1] * STEP[i]
     at = np.arange(first[-1], dtype=np.int64) + np.repeat(offsets[:-1] - first[:-1], m)
     out = run[at]
-    short = np.flatnonzero((n > 0) & (n < k))
-    if len(short):
-        for r in short:
-            out[first[r]] = (BYTE_CODE[data[offsets[r] : offsets[r + 1]]] * STEP[: n[r]]).sum(dtype=np.uint64) + STEP[63] * np.uint64(n[r])
+    for r in np.flatnonzero((n > 0) & (n < k)):
+        out[first[r]] = (codes[offsets[r] : offsets[r + 1]] * STEP[: n[r]]).sum(dtype=np.uint64) + STEP[63] * np.uint64(n[r])
     return mix64(out), first
 
 
