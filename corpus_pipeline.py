@@ -1,25 +1,56 @@
 """The corpus pipeline: quality, line dedup, n-gram join, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``.  All but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kontra.llm.decontaminate import decontaminated
+from kontra.llm.line_dedup import deduplicated
+from kontra.llm.mixing import mix
 from kontra.llm.ngram_join import one_per_group
+from kontra.llm.quality import accepted
 from kontra.llm.scratch import Scratch
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.3) go."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, exactly or nearly, go; so do documents of which nothing is left."""
+    return deduplicated(docs)
+
+
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return one_per_group(docs)
 
 
-STAGES = [("ngram_jaccard_join", ngram_stage)]
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, and its words."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", ngram_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("source_mixing", mixing_stage),
+]
 
-#: The stages train models and hash shingles; the tests hold run() against brute force.
+#: A trained model and hashed shingles decide, which SQL can't repeat; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
