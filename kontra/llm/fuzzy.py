@@ -34,7 +34,9 @@ from kontra.llm import textkit as tk
 from kontra.llm.components import components
 from kontra.llm.scratch import Scratch, if_small
 
-UNIT = "array<struct<pos:int,fp1:bigint,fp2:bigint,bands:array<bigint>>>"
+#: Bytes handled at a time, so that a kernel's arrays stay in the processor's cache, and rows of a small group.
+SPAN, SMALL = 1 << 17, 8
+UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint>>", "array<array<bigint>>"
 
 
 @dataclass(frozen=True)
@@ -61,25 +63,37 @@ class Join:
             return s, first, (h, rows)
         codes, at = tk.characters(*squeezed(data, offsets))
         s, first = tk.char_shingles(codes, at, self.k)
-        return s, first, (s, first)
+        # every k-th shingle and the last one of a row hold all of it
+        n = np.diff(first)
+        m = np.where(n > 0, (n + 2 * self.k - 2) // self.k, 0)
+        f = np.concatenate([[0], np.cumsum(m)])
+        i = (np.arange(f[-1]) - np.repeat(f[:-1], m)) * self.k
+        return s, first, (s[np.minimum(i + np.repeat(first[:-1], m), np.repeat(first[1:] - 1, m))], f)
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased rows with runs of white space made one blank and none at the ends."""
+    n = len(data)
+    if n == 0:
+        return data, offsets
     space = tk.IS_SPACE[data]
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[offsets] = True
+    keep = ~space
+    # the last blank of a run stays, if a word of its row follows it and one stands before it
+    last = space[:-1] & keep[1:] & ~cut[1:-1]
+    begin = keep.copy()
+    begin[1:] &= space[:-1] | cut[1:-1]
+    begins = np.flatnonzero(begin)
+    if len(begins):
+        first = begins[np.minimum(np.searchsorted(begins, offsets[:-1]), len(begins) - 1)]
+        first = first[first > 0]
+        last[first[~cut[first]] - 1] = False
+    keep[:-1] |= last
     out = tk.LOWER[data]
     out[space] = 32
-    keep = ~space
-    # a blank stays if a word of the same row stands before it and one after it
-    first = space.copy()
-    first[1:] &= keep[:-1]
-    first[np.minimum(offsets[:-1], max(len(data) - 1, 0))[np.diff(offsets) > 0]] = False
-    word = np.concatenate([[0], np.cumsum(keep)])
-    at = np.flatnonzero(first)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    at = at[(word[offsets[row + 1]] > word[at])]
-    keep[at] = True
-    count = np.concatenate([[0], np.cumsum(keep)])
+    count = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(keep, out=count[1:])
     return out[keep], count[offsets]
 
 
@@ -94,27 +108,27 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def annotate(docs: DataFrame, text: str, how: Join, scratch: Scratch, name: str) -> DataFrame:
-    """Written table: ``row_uid``, all columns of ``docs`` (under c0, c1, ...) and ``units``."""
+    """Written table: ``row_uid``, all columns of ``docs`` (under c0, c1, ...), ``units`` and their ``bands``, which few steps read."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + f", units {UNIT}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + f", units {UNIT}, bands {BANDS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = how.hasher()
         for batch in batches:
             data, offsets = tk.buffers(batch.column(at))
             for lo, hi in tk.spans(offsets, 4 << 20):
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hasher)], names=[*batch.schema.names, "units"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], *units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hasher)], names=[*batch.schema.names, "units", "bands"])
 
-    def units(data: np.ndarray, offsets: np.ndarray, hasher: tk.MinHash) -> pa.Array:
+    def units(data: np.ndarray, offsets: np.ndarray, hasher: tk.MinHash) -> list[pa.Array]:
         rows = len(offsets) - 1
         if how.unit == "line":
             lines, first = line_offsets(data, offsets)
         else:
             lines, first = offsets, np.arange(rows + 1)
         got: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi in tk.spans(lines, 1 << 19):
+        for lo, hi in tk.spans(lines, SPAN):
             s, f, (v, vf) = how.shingles(data[lines[lo] : lines[hi]], lines[lo : hi + 1] - lines[lo])
             full = np.flatnonzero(np.diff(f))
             got[0].append(full + lo)
@@ -126,8 +140,9 @@ def annotate(docs: DataFrame, text: str, how: Join, scratch: Scratch, name: str)
         owner = np.searchsorted(first, unit, side="right") - 1
         n = np.bincount(owner, minlength=rows) if len(owner) else np.zeros(rows, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * how.bands, pa.int32()), pa.array(keys))
-        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2), bands], names=["pos", "fp1", "fp2", "bands"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), inner)
+        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2)], names=["pos", "fp1", "fp2"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, inner), pa.ListArray.from_arrays(ends, bands)]
 
     return scratch.save(plain.mapInArrow(run, schema).withColumn("row_uid", F.monotonically_increasing_id()), name, release=True)
 
@@ -145,9 +160,9 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
     """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
-    unit = annotated.select("row_uid", F.explode("units").alias("u")).select("row_uid", "u.*")
+    unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), "bands")).alias("u")).select("u.*")
     # 2. keys of two or more classes; equal rows meet before the shuffle
-    keyed = annotated.select(F.explode("units").alias("u")).select(F.shiftrightunsigned("u.fp1", 33).cast("int").alias("f"), F.explode("u.bands").alias("key"))
+    keyed = unit.select(F.shiftrightunsigned("fp1", 33).cast("int").alias("f"), F.explode("bands").alias("key"))
     live = scratch.save(keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo != hi").select("key"), "live", release=True)
     del keyed
     live, _ = if_small(live, 16)
@@ -210,16 +225,18 @@ class Tiles:
         weight = np.asarray(batch.column(6))
         data, offsets = tk.buffers(batch.column(7))
         sets, sigs = [], []
-        for lo, hi in tk.spans(offsets, 1 << 19):
+        for lo, hi in tk.spans(offsets, SPAN):
             s, f, _ = self.how.shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sigs.append(self.hasher.values(s, f))
             sets += [s[f[i] : f[i + 1]] for i in range(hi - lo)]
         sig = np.concatenate(sigs)
         keys = self.hasher.keys(sig)
         counts, edges = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo > 1:
-                self.tile(key[lo], right[lo:hi], sets[lo:hi], sig[lo:hi], keys[lo:hi], weight[lo:hi], fp[lo:hi], counts, edges)
+        size = np.diff(cuts)
+        self.small(cuts, size, key, right, sets, sig, keys, weight, fp, counts, edges)
+        for g in np.flatnonzero(size > SMALL):
+            lo, hi = cuts[g], cuts[g + 1]
+            self.tile(key[lo], right[lo:hi], sets[lo:hi], sig[lo:hi], keys[lo:hi], weight[lo:hi], fp[lo:hi], counts, edges)
         if counts:
             c = np.concatenate(counts)
             e = np.concatenate(edges)
@@ -227,6 +244,27 @@ class Tiles:
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[:, i], e[:, i]])) for i in (0, 1)], *[pa.chunked_array([none, pa.array(e[:, i])]).combine_chunks() for i in (2, 3)], *[pa.array(np.concatenate([c[:, i], np.zeros(m, np.int64)])) for i in (2, 3)]], names=["a1", "a2", "b1", "b2", "texts", "rows"])
 
+    def small(self, cuts, size, key, right, sets, sig, keys, weight, fp, counts, edges) -> None:
+        """All groups of 2 to SMALL rows at once."""
+        xs, ys = [], []
+        for n in range(2, SMALL + 1):
+            lo = cuts[:-1][size == n]
+            if len(lo):
+                i, j = np.triu_indices(n, 1)
+                xs.append((lo[:, None] + i).ravel())
+                ys.append((lo[:, None] + j).ravel())
+        if not xs:
+            return
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        # in a group of two slices only pairs of one with the other count
+        mixed = np.repeat(np.add.reduceat(right, cuts[:-1]) > 0, size)
+        ok = ~mixed[x] | (right[x] != right[y])
+        x, y = x[ok], y[ok]
+        same = keys[x] == keys[y]
+        own = key[x][:, None] == keys[x]
+        ok = same.argmax(1) == own.argmax(1)
+        self.settle(x[ok], y[ok], sets, sig, weight, fp, counts, edges)
+
     def tile(self, key, right, sets, sig, keys, weight, fp, counts, edges) -> None:
         band = int(np.flatnonzero(keys[0] == key)[0])
         if right.any():
@@ -241,7 +279,10 @@ class Tiles:
         if left_i is right_i:
             early |= np.tri(len(left_i), dtype=bool)
         x, y = np.nonzero(~early)
-        x, y = left_i[x], right_i[y]
+        self.settle(left_i[x], right_i[y], sets, sig, weight, fp, counts, edges)
+
+    def settle(self, x, y, sets, sig, weight, fp, counts, edges) -> None:
+        """Prune the pairs by their MinHash values, verify the rest, and note links and their forest."""
         m = np.zeros(len(x), dtype=np.int32)
         for n, least in self.checks:
             if not len(x):
@@ -257,13 +298,13 @@ class Tiles:
         x, y = x[ok], y[ok]
         if not len(x):
             return
-        size = len(right)
+        size = len(sets)
         both = np.concatenate([x, y])
         texts = np.bincount(both, minlength=size)
         rows = np.bincount(both, weights=weight[np.concatenate([y, x])].astype(float), minlength=size).astype(np.int64)
         has = np.flatnonzero(texts)
         counts.append(np.column_stack([fp[has], texts[has], rows[has]]))
-        up = list(range(size))
+        up = {int(i): int(i) for i in has}
         forest = []
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
             while up[a] != a:
@@ -273,45 +314,80 @@ class Tiles:
             if a != b:
                 up[b] = a
                 forest.append((a, b))
-                if len(forest) == size - 1:
+                if len(forest) == len(up) - 1:
                     break
         f = np.array(forest, dtype=np.int64)
         edges.append(np.column_stack([fp[f[:, 0]], fp[f[:, 1]]]))
 
     def exact(self, x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         """Which of the pairs reach the threshold, by their whole shingle sets."""
-        used = np.unique(np.concatenate([x, y]))
-        own = {int(i): np.unique(sets[i]) for i in used}
-        size = np.zeros(len(sets), dtype=np.int64)
-        for i, s in own.items():
-            size[i] = len(s)
+        used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+        i, j = where[: len(x)], where[len(x) :]
+        values, size = distinct([sets[r] for r in used])
+        inter = (products if len(x) >= 64 and len(x) > 8 * len(used) else merges)(i, j, values, size)
         num, den = self.ratio.numerator, self.ratio.denominator
-        if len(x) < 64 or len(x) * 8 < len(used):
-            inter = np.array([len(np.intersect1d(own[int(a)], own[int(b)], assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype=np.int64)
-        else:
-            inter = self.counted(x, y, used, own, size)
-        return inter * den >= (size[x] + size[y] - inter) * num
-
-    @staticmethod
-    def counted(x, y, used, own, size) -> np.ndarray:
-        """Common shingles of many pairs: products of 0/1 matrices over a block of shingles at a time."""
-        place = np.zeros(len(size), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        values = np.concatenate([own[int(i)] for i in used])
-        owner = np.repeat(np.arange(len(used)), size[used])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        new = np.concatenate([[True], values[1:] != values[:-1]])
-        col = np.cumsum(new) - 1
-        often = np.bincount(col)
-        keep = often[col] > 1
-        owner = owner[keep]
-        col = np.cumsum(np.concatenate([[True], np.diff(col[keep]) > 0])) - 1 if keep.any() else np.zeros(0, np.int64)
-        total = np.zeros((len(used), len(used)), dtype=np.float32)
+        return inter * den >= (size[i] + size[j] - inter) * num
+
+
+#: Sets and pairs are told apart by the upper 12 bits of a sorted key, shingles by the other 52.
+TAG, LOW = np.uint64(52), np.uint64(12)
+GROUP, VALUES = 4096, 1 << 21
+
+
+def chunks(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most GROUP entries with about VALUES values together."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    lo = 0
+    while lo < len(n):
+        hi = min(int(np.searchsorted(total, total[lo] + VALUES, side="right")) - 1, lo + GROUP)
+        yield lo, max(hi, lo + 1)
+        lo = max(hi, lo + 1)
+
+
+def distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All sets' distinct values in a row, in order, and how many each has."""
+    out, size = [], np.zeros(len(sets), dtype=np.int64)
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    for lo, hi in chunks(n):
+        key = (np.concatenate(sets[lo:hi]) >> LOW) | (np.repeat(np.arange(hi - lo, dtype=np.uint64), n[lo:hi]) << TAG)
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        size[lo:hi] = np.bincount((key >> TAG).astype(np.int64), minlength=hi - lo)
+        out.append(key & ((np.uint64(1) << TAG) - np.uint64(1)))
+    return np.concatenate(out), size
+
+
+def merges(i: np.ndarray, j: np.ndarray, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Common values of few pairs of sets: the two of a pair sorted together."""
+    first = np.cumsum(size) - size
+    inter = np.zeros(len(i), dtype=np.int64)
+    for lo, hi in chunks(size[i] + size[j]):
+        both = np.concatenate([i[lo:hi], j[lo:hi]])
+        n = size[both]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[both], n)
+        pair = np.arange(hi - lo, dtype=np.uint64)
+        key = values[at] | (np.repeat(np.concatenate([pair, pair]), n) << TAG)
+        key.sort()
+        twice = key[1:][key[1:] == key[:-1]]
+        inter[lo:hi] = np.bincount((twice >> TAG).astype(np.int64), minlength=hi - lo)
+    return inter
+
+
+def products(i: np.ndarray, j: np.ndarray, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Common values of many pairs of sets: products of 0/1 matrices over a block of values at a time."""
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    col = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    keep = np.bincount(col)[col] > 1
+    owner, col = owner[keep], col[keep]
+    total = np.zeros((len(size), len(size)), dtype=np.float32)
+    if len(col):
+        col = np.cumsum(np.concatenate([[0], np.diff(col) > 0]))
         width = 2048
-        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-            i, j = np.searchsorted(col, [lo, lo + width])
-            part = np.zeros((len(used), width), dtype=np.float32)
-            part[owner[i:j], col[i:j] - lo] = 1
+        for lo in range(0, int(col[-1]) + 1, width):
+            a, b = np.searchsorted(col, [lo, lo + width])
+            part = np.zeros((len(size), width), dtype=np.float32)
+            part[owner[a:b], col[a:b] - lo] = 1
             total += part @ part.T
-        return total[place[x], place[y]].astype(np.int64)
+    return total[i, j].astype(np.int64)

@@ -48,7 +48,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how:
     marks = base.join(told, ["fp1", "fp2"]).select("row_uid", "class_id", "top_uid", "n_links", "n_texts")
     marks = scratch.save(marks, "marks", release=True)
     marks, _ = if_small(marks, 48)
-    out = flat.drop("units").join(marks, "row_uid", "left")
+    out = flat.drop("units", "bands").join(marks, "row_uid", "left")
     return out.select(
         "row_uid",
         *[f"c{i}" for i in range(len(names))],

@@ -120,20 +120,37 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code, leads[offsets]
 
 
+def runs(codes: np.ndarray, k: int) -> np.ndarray:
+    """sum(codes[i + j] * BASE**j for j < k) at each i, with 0 beyond the end, by doubling."""
+    out, width, done = None, 1, 0
+    part = codes
+    shift = lambda a, n: np.concatenate([a[n:], np.zeros(min(n, len(a)), dtype=np.uint64)])
+    while True:
+        if k & width:
+            out = part.copy() if out is None else out + shift(part, done) * powers(done + 1)[done]
+            done += width
+        if done == k:
+            return out
+        part = part + shift(part, width) * powers(width + 1)[width]
+        width *= 2
+
+
 def char_shingles(codes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k character codes and each row's first; a row of 1 to k-1 has one, of them all."""
     n = np.diff(offsets)
     m = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(m)])
-    code = np.concatenate([codes, np.zeros(k, dtype=np.uint64)])
-    run = np.zeros(len(codes) + 1, dtype=np.uint64)
-    for i in range(k):
-        run += code[i : i + len(codes) + 1] * STEP[i]
-    at = np.arange(first[-1], dtype=np.int64) + np.repeat(offsets[:-1] - first[:-1], m)
-    out = run[at]
-    for r in np.flatnonzero((n > 0) & (n < k)):
-        out[first[r]] = (codes[offsets[r] : offsets[r + 1]] * STEP[: n[r]]).sum(dtype=np.uint64) + STEP[63] * np.uint64(n[r])
-    return mix64(out), first
+    use = np.ones(len(codes), dtype=bool)
+    ends = offsets[1:][n >= k]
+    for j in range(1, k):
+        use[ends - j] = False
+    out = runs(codes, k) if len(codes) else codes
+    short = np.flatnonzero((n > 0) & (n < k))
+    for r in short:
+        lo, hi = offsets[r], offsets[r + 1]
+        use[lo + 1 : hi] = False
+        out[lo] = ((codes[lo:hi] * powers(k)[: hi - lo]).sum(dtype=np.uint64, keepdims=True) + STEP[63:] * np.uint64(hi - lo))[0]
+    return mix64(out[use]), first
 
 
 class MinHash:
