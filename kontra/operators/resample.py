@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from kontra.functions.stats import adjusted_rand, draw, keyed, pearson
 
 
+#: Values this close are ties: sums in another order differ in their last digits.
+TIE = 1e-9
+
+
 def repetitions(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("rep"))
 
@@ -49,8 +53,8 @@ def empirical(observed: DataFrame, null: DataFrame, on: list[str], value: str) -
     n = null.select(*on, F.col(value).alias("_null"))
     t = observed.join(n, on).groupBy(*on, value)
     return t.agg(
-        ((F.count_if(F.col("_null") >= F.col(value)) + 1) / (F.count(F.lit(1)) + 1)).alias("p_empirical"),
-        (100.0 * F.count_if(F.col("_null") < F.col(value)) / F.count(F.lit(1))).alias("percentile_vs_null"),
+        ((F.count_if(F.col("_null") >= F.col(value) - TIE) + 1) / (F.count(F.lit(1)) + 1)).alias("p_empirical"),
+        (100.0 * F.count_if(F.col("_null") < F.col(value) - TIE) / F.count(F.lit(1))).alias("percentile_vs_null"),
         F.avg("_null").alias("null_mean"),
     )
 
@@ -103,7 +107,7 @@ def attribute_permutation(pairs: DataFrame, attributes: DataFrame, value: str, r
     gap = j.groupBy("rep").agg((F.avg(F.when(same, v)) - F.avg(F.when(~same, v))).alias("gap")).where("gap is not null")
     seen = gap.where("rep = -1").select(F.col("gap").alias("observed"))
     null = gap.where("rep >= 0").crossJoin(F.broadcast(seen))
-    return null.groupBy("observed").agg(((F.count_if(F.abs("gap") >= F.abs("observed") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("valid"))
+    return null.groupBy("observed").agg(((F.count_if(F.abs("gap") >= F.abs("observed") - TIE) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("valid"))
 
 
 def subsamples(entities: DataFrame, reps: DataFrame, fraction: float) -> DataFrame:

@@ -131,7 +131,7 @@ QUERIES = {
     ),
     "empirical_p_pairs": (
         empirical_pairs,
-        f"{_REAL}{_NULL}, t AS (SELECT c.a, c.b, c.pearson, (count(*) FILTER (n.pearson >= c.pearson) + 1)::DOUBLE / (count(*) + 1) AS p_empirical, 100.0::DOUBLE * count(*) FILTER (n.pearson < c.pearson) / count(*) AS percentile_vs_null, avg(n.pearson) AS null_mean FROM cor c JOIN nc n ON c.a = n.a AND c.b = n.b GROUP BY c.a, c.b, c.pearson) SELECT a, b, round(pearson, 6) AS pearson, round(p_empirical, 6) AS p_empirical, round(percentile_vs_null, 6) AS percentile_vs_null, round(null_mean, 6) AS null_mean, round(q, 6) AS q FROM {bh_sql('t', 'p_empirical', 'a, b')}",
+        f"{_REAL}{_NULL}, t AS (SELECT c.a, c.b, c.pearson, (count(*) FILTER (n.pearson >= c.pearson - 1e-9) + 1)::DOUBLE / (count(*) + 1) AS p_empirical, 100.0::DOUBLE * count(*) FILTER (n.pearson < c.pearson - 1e-9) / count(*) AS percentile_vs_null, avg(n.pearson) AS null_mean FROM cor c JOIN nc n ON c.a = n.a AND c.b = n.b GROUP BY c.a, c.b, c.pearson) SELECT a, b, round(pearson, 6) AS pearson, round(p_empirical, 6) AS p_empirical, round(percentile_vs_null, 6) AS percentile_vs_null, round(null_mean, 6) AS null_mean, round(q, 6) AS q FROM {bh_sql('t', 'p_empirical', 'a, b')}",
     ),
     "bootstrap_ci": (
         bootstrap,
@@ -142,6 +142,6 @@ QUERIES = {
         f"{_REAL}, reps AS (SELECT range::INTEGER AS rep FROM range(200)), att AS (SELECT condition, CASE WHEN regexp_matches(condition, '^[0-9]') THEN 'priority' ELSE 'segment' END AS attribute, row_number() OVER (ORDER BY condition) AS i FROM (SELECT DISTINCT condition FROM contrast)), "
         f"dl AS (SELECT rep, condition, attribute, i, row_number() OVER (PARTITION BY rep ORDER BY {_KEY.format('condition')}, condition) AS j FROM att CROSS JOIN reps), ev AS (SELECT x.rep, x.condition, y.attribute FROM dl x JOIN dl y ON x.rep = y.rep AND x.j = y.i UNION ALL SELECT -1, condition, attribute FROM att), "
         "gp AS (SELECT l.rep, avg(pearson) FILTER (l.attribute = r.attribute) - avg(pearson) FILTER (l.attribute <> r.attribute) AS gap FROM cor JOIN ev l ON l.condition = a JOIN ev r ON r.condition = b AND r.rep = l.rep GROUP BY l.rep), ob AS (SELECT gap AS observed FROM gp WHERE rep = -1) "
-        "SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(gap) >= abs(observed) - 1e-12) + 1)::DOUBLE / (count(*) + 1), 6) AS p_value, count(*) AS valid FROM gp CROSS JOIN ob WHERE rep >= 0 AND gap IS NOT NULL GROUP BY observed",
+        "SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(gap) >= abs(observed) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 6) AS p_value, count(*) AS valid FROM gp CROSS JOIN ob WHERE rep >= 0 AND gap IS NOT NULL GROUP BY observed",
     ),
 }
