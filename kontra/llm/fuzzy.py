@@ -6,7 +6,8 @@ normal form are one *class*, known by a 128-bit hash of that form.  Steps:
 1. one Arrow pass over the documents: classes and band keys of each unit;
 2. keys shared by two or more classes stay (a pre-aggregated count), and of keys
    with the very same members only the first band's;
-3. a key with many members is cut into slices of about ``slice_rows`` by hash, and
+3. a key with many or long members is cut into slices by hash (about ``slice_rows``
+   of them or ``slice_values`` shingles), and
    each pair of slices is one tile, so no task holds an unbounded group;
 4. in a tile: a pair counts only under its first common band (so once over all
    tiles), is compared MinHash value by value and dropped when the posterior chance
@@ -27,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,10 @@ from kontra.llm import textkit as tk
 from kontra.llm.components import components
 from kontra.llm.scratch import Scratch, if_small
 
-#: Bytes handled at a time, so that a kernel's arrays stay in the processor's cache, and rows of a small group.
-SPAN, SMALL = 1 << 17, 8
-UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint>>", "array<array<bigint>>"
+#: Bytes handled at a time, so that a kernel's arrays stay in the processor's cache, rows of a small group,
+#: and bytes of text verified together.
+SPAN, SMALL, PART = 1 << 17, 8, 2 << 20
+UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint>>", "array<array<bigint>>"
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,7 @@ class Join:
     threshold: float = 0.8
     tolerance: float = 1e-7
     slice_rows: int = 768
+    slice_values: int = 1 << 20
 
     def hasher(self) -> tk.MinHash:
         return tk.MinHash(self.bands, self.rows)
@@ -127,20 +131,24 @@ def annotate(docs: DataFrame, text: str, how: Join, scratch: Scratch, name: str)
             lines, first = line_offsets(data, offsets)
         else:
             lines, first = offsets, np.arange(rows + 1)
-        got: list[list[np.ndarray]] = [[], [], [], []]
+        got: list[list[np.ndarray]] = [[], [], [], [], []]
         for lo, hi in tk.spans(lines, SPAN):
             s, f, (v, vf) = how.shingles(data[lines[lo] : lines[hi]], lines[lo : hi + 1] - lines[lo])
             full = np.flatnonzero(np.diff(f))
             got[0].append(full + lo)
             got[1].append(tk.rows_hash(v, vf, 0x5BD1E995)[full].view(np.int64))
             got[2].append(tk.rows_hash(v, vf, 0x1B873593)[full].view(np.int64))
-            got[3].append(hasher.keys(hasher.values(s, f)[full]))
-        unit, fp1, fp2 = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got[:3])
-        keys = np.concatenate(got[3]).ravel() if got[3] else np.zeros(0, np.int64)
+            got[3].append(np.diff(f)[full])
+            got[4].append(hasher.keys(hasher.values(s, f)[full]))
+        unit, fp1, fp2, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got[:4])
+        keys = np.concatenate(got[4]) if got[4] else np.zeros((0, how.bands), np.int64)
+        # one of equal units stands for all in the search for keys
+        one = np.zeros(len(unit), dtype=bool)
+        one[np.unique(np.stack([fp1, fp2], 1), axis=0, return_index=True)[1]] = True
         owner = np.searchsorted(first, unit, side="right") - 1
         n = np.bincount(owner, minlength=rows) if len(owner) else np.zeros(rows, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * how.bands, pa.int32()), pa.array(keys))
-        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2)], names=["pos", "fp1", "fp2"])
+        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(one) * how.bands]), pa.int32()), pa.array(keys[one].ravel()))
+        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2), pa.array(values.astype(np.int64))], names=["pos", "fp1", "fp2", "n"])
         ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         return [pa.ListArray.from_arrays(ends, inner), pa.ListArray.from_arrays(ends, bands)]
 
@@ -160,17 +168,18 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
     """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
-    unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), "bands")).alias("u")).select("u.*")
+    unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), F.col("units.n").alias("n"), "bands")).alias("u")).select("u.*")
     # 2. keys of two or more classes; equal rows meet before the shuffle
     keyed = unit.select(F.shiftrightunsigned("fp1", 33).cast("int").alias("f"), F.explode("bands").alias("key"))
     live = scratch.save(keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo != hi").select("key"), "live", release=True)
     del keyed
     live, _ = if_small(live, 16)
-    members = unit.select("fp1", "fp2", F.posexplode("bands").alias("band", "key")).join(live, "key", "left_semi").distinct()
+    members = unit.select("fp1", "fp2", "n", F.posexplode("bands").alias("band", "key")).join(live, "key", "left_semi").distinct()
     members = scratch.save(members, "members", release=True)
-    sets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(20,0)")).alias("s"), F.bit_xor("fp2").alias("x"))
-    first = sets.where("n > 1").groupBy("n", "s", "x").agg(F.min(F.struct("band", "key")).alias("b"))
-    first = scratch.save(first.select("b.key", "b.band", F.ceil(F.col("n") / how.slice_rows).cast("int").alias("slices")), "buckets")
+    sets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(20,0)")).alias("s"), F.bit_xor("fp2").alias("x"), F.sum("n").alias("v"))
+    first = sets.where("n > 1").groupBy("n", "s", "x", "v").agg(F.min(F.struct("band", "key")).alias("b"))
+    slices = F.greatest(F.ceil(F.col("n") / how.slice_rows), F.ceil(F.col("v") / how.slice_values))
+    first = scratch.save(first.select("b.key", "b.band", slices.cast("int").alias("slices")), "buckets")
     kept, _ = if_small(first, 24)
     tiles = scratch.save(members.join(kept, ["key", "band"]), "placed")
     scratch.drop("members")
@@ -214,7 +223,15 @@ class Tiles:
             cut = np.flatnonzero((id_[0][1:] != id_[0][:-1]) | (id_[1][1:] != id_[1][:-1]) | (id_[2][1:] != id_[2][:-1])) + 1
             last = int(cut[-1]) if len(cut) else 0
             if last:
-                yield from self.some(table.slice(0, last), np.concatenate([[0], cut]))
+                # whole groups of about PART bytes of text together
+                size = np.asarray(pa.compute.binary_length(table.column(7))).astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(size)])
+                ends = np.concatenate([[0], cut])
+                lo = 0
+                while lo < len(ends) - 1:
+                    hi = max(int(np.searchsorted(total[ends], total[ends[lo]] + PART, side="right")) - 1, lo + 1)
+                    yield from self.some(table.slice(ends[lo], ends[hi] - ends[lo]), ends[lo : hi + 1] - ends[lo])
+                    lo = hi
             rest = table.slice(last)
         if rest is not None and rest.num_rows:
             yield from self.some(rest, np.array([0, rest.num_rows]))
