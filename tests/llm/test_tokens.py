@@ -15,7 +15,7 @@ def some():
 
 
 def test_every_prefix():
-    model, library = Prefixes(cache=50), Tokenizer.from_file(Prefixes().path)
+    model, library = Prefixes(kept=50), Tokenizer.from_file(Prefixes().path)
     size = lambda s: len(library.encode(s, add_special_tokens=False).ids)
     for s in some():
         s = s or ""
