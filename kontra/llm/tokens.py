@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kontra.llm import textkit as tk
+
 #: White space as the pre-tokeniser's engine has it (Unicode White_Space; no U+001C to U+001F).
 _WS = r"\t\n\v\f\r \x85\xa0  -     　"
 _SPACE = regex.compile(rf"[{_WS}]+")
@@ -65,7 +68,7 @@ class Prefixes:
     two tokens; one t does, and count[i] = count[i - len(t)] + 1.
     """
 
-    def __init__(self, path: str | None = None, cache: int = 300_000):
+    def __init__(self, path: str | None = None, kept: int = 500_000):
         from tokenizers import Tokenizer
 
         self.path = path or default_path()
@@ -82,14 +85,20 @@ class Prefixes:
             self.rank[x, y] = i
             self.made.setdefault(x + y, (i, x, y))
         special = {t["content"] for t in spec["added_tokens"]}
-        self.vocab = {to_bytes(s) for s in spec["model"]["vocab"] if s not in special}
-        self.longest = max(map(len, self.vocab))
+        self.token = sorted(to_bytes(s) for s in spec["model"]["vocab"] if s not in special)
+        self.vocab = {t: i for i, t in enumerate(self.token)}
+        #: lengths of the tokens that end in three given bytes, longest first; any bytes may end one of two or one
+        ends: dict[bytes, set[int]] = {}
+        for t in self.token:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.special = sorted(special, key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if special else None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.tables: dict[str, bytes | tuple[int, ...]] = {}
-        self.cache = cache
-        self.after_blank = Counts(self, 2 * cache)
+        self.kept = kept
+        self.after_blank = Counts(self, 2 * kept)
 
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether a and b, joined and encoded alone, stay these two tokens.
@@ -119,26 +128,27 @@ class Prefixes:
             return got
         raw = piece.encode("utf-8")
         n = len(raw)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        vocab, pairs = self.vocab, self.pairs
+        last, count = [0] * (n + 1), [0] * (n + 1)
+        vocab, pairs, lengths = self.vocab.get, self.pairs.get, self.lengths.get
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = raw[j:i]
-                if t not in vocab:
+            for size in lengths(raw[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                j = i - size
+                if j < 0:
+                    continue
+                t = vocab(raw[j:i])
+                if t is None:
                     continue
-                if j == 0:
-                    ok = True
-                else:
-                    pair = (last[j], t)
-                    ok = pairs.get(pair)
+                if j:
+                    pair = last[j] << 20 | t
+                    ok = pairs(pair)
                     if ok is None:
-                        if len(pairs) > 2 * self.cache:
-                            pairs.clear()
-                        ok = pairs[pair] = self.follows(pair[0], t)
-                if ok:
-                    last[i], count[i] = t, count[j] + 1
-                    break
+                        if len(self.pairs) > 2 * self.kept:
+                            self.pairs.clear()
+                        ok = self.pairs[pair] = self.follows(self.token[last[j]], self.token[t])
+                    if not ok:
+                        continue
+                last[i], count[i] = t, count[j] + 1
+                break
         if n == len(piece):
             out = count[1:]
         else:
@@ -147,7 +157,7 @@ class Prefixes:
             # cut inside, the mark and the letter are pieces of their own
             out[1] = self.table(piece[0])[0] + self.table(piece[1])[0]
         got = bytes(out) if max(out) < 256 else tuple(out)
-        if len(self.tables) >= self.cache:
+        if len(self.tables) >= self.kept:
             self.tables.clear()
         self.tables[piece] = got
         return got
@@ -222,14 +232,6 @@ class Prefixes:
 
     def fits(self, text: str, limit: int) -> int:
         """Characters of the longest prefix of at most ``limit`` tokens."""
-        base, at, special_near = 0, 0, False
-        for part, special in self.parts(text):
-            here = 1 if special else self.count(part)
-            if base + here > limit or special_near:
-                break
-            base, at, special_near = base + here, at + len(part), special
-        else:
-            return len(text)
         if self.split is not None and self.split.search(text):
             return int(np.flatnonzero(self.every(text) <= limit)[-1])
         # skip whole pieces, then look at the prefixes around the place where the count passes the limit
@@ -248,6 +250,12 @@ class Prefixes:
         return a + int(ok[-1]) + 1 if len(ok) else a
 
 
+@cache
+def _shared(path: str | None) -> Prefixes:
+    """One model for all tasks of a Python worker, so that its tables serve them all."""
+    return Prefixes(path)
+
+
 def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = 1024, path: str | None = None, prefixes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_chars of every document, and ``prefix_tokens`` if asked for.
 
@@ -262,14 +270,14 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", li
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Prefixes(path)
+        model = _shared(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = [model.count(t) for t in texts]
                 fit = [len(t) if c <= limit else model.fits(t, limit) for t, c in zip(texts, n, strict=True)]
-                columns = [part.column(0), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n]), pa.array(fit, pa.int64())]
+                columns = [part.column(0), pa.array(np.diff(tk.buffers(part.column(1))[1])), pa.array(n, pa.int64()), pa.array([c > limit for c in n]), pa.array(fit, pa.int64())]
                 names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
                 if prefixes:
                     columns.append(pa.array([model.every(t) for t in texts], pa.list_(pa.int64())))
