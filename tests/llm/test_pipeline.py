@@ -30,10 +30,10 @@ def folder(spark, tmp_path_factory):
             t = "".join(w) + "\n" + text(1)
         elif i % 9 == 2:
             t += "\n" + items[i % 10][1]
-        elif i % 9 == 3:
-            t = docs[r.randrange(len(docs))][1]
-        elif i % 9 == 4:
-            t = " ".join(docs[-4][1].split())
+        elif i % 9 == 3 and i > 9:
+            t = docs[i - 6][1]
+        elif i % 9 == 4 and i > 9:
+            t = " ".join(docs[i - 6][1].split())
         docs.append((i, t, "en", f"src{i % 3}", len(t)))
         labels.append((i, good, 0))
     at = tmp_path_factory.mktemp("sf")
