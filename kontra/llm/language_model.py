@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ _ENDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".!?,
 
 @dataclass(frozen=True)
 class Recurrent:
-    """Parameters.  The network learns from at most ``rows`` whole documents; counts cover all training documents."""
+    """Parameters.  The network starts from weights fitted to ``rows`` whole documents and then learns from all
+    training documents, in groups of about ``group_tokens``.  ``head``, ``words`` and ``classes`` are least sizes.
+    """
 
     head: int = 200_000
     words: int = 1500
@@ -36,6 +40,9 @@ class Recurrent:
     window: int = 24
     epochs: int = 3
     rate: float = 0.008
+    group_tokens: int = 1 << 21
+    group_lanes: int = 256
+    group_rate: float = 0.004
     scored_together: int = 2048
 
 
@@ -102,18 +109,20 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
-    """Only totals and at most ``how.head`` frequent words reach the driver."""
+    """Only totals and the most frequent words reach the driver; the network's words grow with the square root of the types."""
     shape = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
     mass = np.full(SHAPES, 0.5)
     for r in shape:
         mass[r["shape"]] += r["c"] + 0.5 * r["n"]
     total, types = sum(r["c"] for r in shape), sum(r["n"] for r in shape)
-    # the least count at which no more than ``head`` words are as frequent, by steps of an eighth of a power of two
+    words = max(how.words, 2 * isqrt(types))
+    most = max(how.head, words)
+    # the least count at which no more than ``most`` words are as frequent, by steps of an eighth of a power of two
     step = F.floor(F.log2("c") * 8).cast("int")
     sizes = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     least, sum_ = None, 0
     for s, n in sizes:
-        if sum_ + n > how.head:
+        if sum_ + n > most:
             break
         least, sum_ = s, sum_ + n
     head = counts.where(step >= least).toArrow() if least is not None else None
@@ -121,7 +130,7 @@ def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
     c = np.asarray(head["c"]) if head is not None else np.zeros(0, np.int64)
     kind = np.asarray(head["shape"]).astype(np.int64) if head is not None else np.zeros(0, np.int64)
     best = np.lexsort((h, -c))
-    best = best[h[best] != END][: how.words]
+    best = best[h[best] != END][:words]
     symbol = np.full(len(h), -1, dtype=np.int64)
     symbol[best] = np.arange(1, len(best) + 1)
     symbol[h == END] = 0
@@ -134,6 +143,26 @@ def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
     return Vocabulary(h[order], c[order], symbol[order], unigram / unigram.sum(), np.log10(np.maximum(mass[:-1], 0.5)), int(total), int(types))
 
 
+class Adam:
+    """Steps of Adam on clipped gradients."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = p, 0
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        p, m, s = self.p, self.m, self.s
+        self.t += 1
+        norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
+        scale = min(1.0, 1.0 / max(norm, 1e-9))
+        for k, v in g.items():
+            v *= scale
+            m[k] += 0.1 * (v - m[k])
+            s[k] += 0.01 * (v * v - s[k])
+            p[k] -= rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(s[k] / (1 - 0.99**self.t)) + 1e-6)
+
+
 class Network:
     """GRU with a softmax over classes and one within each class; float32."""
 
@@ -144,7 +173,8 @@ class Network:
         p = vocab.unigram
         # classes of about equal square-root mass, words in order of frequency; each tail shape is a class
         body = np.sqrt(p[: vocab.n_words])
-        cut = np.minimum((np.cumsum(body) / body.sum() * how.classes - 1e-9).astype(np.int64), how.classes - 1)
+        classes = max(how.classes, isqrt(vocab.n_words))
+        cut = np.minimum((np.cumsum(body) / body.sum() * classes - 1e-9).astype(np.int64), classes - 1)
         cut = np.unique(cut, return_inverse=True)[1]
         self.of = np.concatenate([cut, cut.max() + 1 + np.arange(SHAPES - 1)])
         k = int(self.of.max()) + 1
@@ -193,12 +223,9 @@ class Network:
 
     def fit(self, symbols: np.ndarray, first: np.ndarray) -> Network:
         """Truncated backpropagation: documents in lanes, the state carried from window to window and cleared at each document's start; Adam."""
-        how, p = self.how, self.p
+        how, adam = self.how, Adam(self.p)
         rng = np.random.Generator(np.random.PCG64(29))
         n = how.hidden
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        s = {k: np.zeros_like(v) for k, v in p.items()}
-        t = 0
         for epoch in range(how.epochs):
             docs = rng.permutation(len(first) - 1)
             stream = np.concatenate([symbols[first[d] : first[d + 1]] for d in docs])
@@ -212,16 +239,28 @@ class Network:
             for lo in range(0, width, how.window):
                 x, y = before[:, lo : lo + how.window], lanes[:, lo : lo + how.window]
                 g, state = self.gradients(x, y, state)
-                t += 1
-                norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-                scale = min(1.0, 1.0 / max(norm, 1e-9))
-                for k, v in g.items():
-                    v *= scale
-                    m[k] += 0.1 * (v - m[k])
-                    s[k] += 0.01 * (v * v - s[k])
-                    p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+                adam.step(g, rate)
         return self
 
+    def learn(self, pieces: Iterator[np.ndarray], tokens: int) -> int:
+        """One pass over all symbols of ``pieces`` (whole documents) from the present weights, as in ``fit``; the rate falls to a tenth over ``tokens``. Returns their number."""
+        how, adam, done = self.how, Adam(self.p), 0
+        for stream in pieces:
+            before = np.concatenate([[0], stream[:-1]])
+            lo = 0
+            # the last rows shorter than a lane each go through fewer lanes, so that no symbol is left out
+            while lo < len(stream):
+                lanes = int(np.clip((len(stream) - lo) // how.window, 1, how.group_lanes))
+                width = (len(stream) - lo) // lanes
+                x, y = (v[lo : lo + lanes * width].reshape(lanes, width) for v in (before, stream))
+                state = np.zeros((lanes, how.hidden), np.float32)
+                for at in range(0, width, how.window):
+                    g, state = self.gradients(x[:, at : at + how.window], y[:, at : at + how.window], state)
+                    adam.step(g, how.group_rate * max(0.1, 1 - done / max(tokens, 1)))
+                    done += y[:, at : at + how.window].size
+                lo += lanes * width
+        return done
+
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         p, n = self.p, self.how.hidden
         lanes, steps = x.shape
@@ -278,10 +317,9 @@ class Network:
         flat_dx, ids = dx.reshape(-1, 3 * n), x.reshape(-1)
         grad["w"], grad["b"] = p["e"][ids].T @ flat_dx, flat_dx.sum(0)
         de = flat_dx @ p["w"].T
-        used, where = np.unique(ids, return_inverse=True)
-        spread = np.zeros((len(used), len(ids)), np.float32)
-        spread[where, np.arange(len(ids))] = 1
-        grad["e"][used] = spread @ de
+        order = np.argsort(ids, kind="stable")
+        at = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        grad["e"][ids[order[at]]] = np.add.reduceat(de[order], at)
         return grad, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray, window: int = 64) -> np.ndarray:
@@ -312,13 +350,66 @@ class Network:
         return out
 
 
+BLOCK = 1 << 16
+
+
+def taught(symbols: DataFrame, network: Network, tokens: int) -> None:
+    """The network's weights become the mean, by tokens, of those that each group of documents (s, id) reaches from them.
+
+    Groups are dealt and ordered by hash of the id, so how the input is partitioned changes nothing.  Weights are
+    summed by the executors, block by block; one network reaches the driver.
+    """
+    how = network.how
+    groups = max(1, round(tokens / how.group_tokens))
+    sent = symbols.sparkSession.sparkContext.broadcast(network)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for batch in batches:
+                s = ragged(batch.column(0))[0]
+                held.append(s.astype(np.int64))
+                n += len(s)
+                if 2 * n >= how.group_tokens:
+                    yield np.concatenate(held)
+                    held, n = [], 0
+            if n:
+                yield np.concatenate(held)
+
+        net = copy.deepcopy(sent.value)
+        done = net.learn(pieces(), tokens // groups)
+        if done:
+            flat = np.concatenate([v.ravel() for v in net.p.values()])
+            for i, lo in enumerate(range(0, len(flat), BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([done]), pa.array([flat[lo : lo + BLOCK].tobytes()])], names=["block", "n", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for i, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                old = total.get(i, (0, 0.0))
+                total[i] = (old[0] + n, old[1] + n * np.frombuffer(v, np.float32).astype(np.float64))
+        for i, (n, v) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(v / n).astype(np.float32).tobytes()])], names=["block", "v"])
+
+    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    dealt = symbols.repartitionById(groups, group).sortWithinPartitions(F.xxhash64("id"), "id", F.xxhash64("s")).select("s")
+    got = dealt.mapInArrow(learn, "block int, n bigint, v binary").repartition("block").mapInArrow(add, "block int, v binary").toArrow().sort_by("block")
+    sent.unpersist()
+    if got.num_rows:
+        flat, at = np.concatenate([np.frombuffer(v, np.float32) for v in got["v"].to_pylist()]), 0
+        for k, v in network.p.items():
+            network.p[k], at = flat[at : at + v.size].reshape(v.shape).copy(), at + v.size
+
+
 def language_model(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: int = 5, held: int = 1, how: Recurrent = Recurrent()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased, then one end
     token.  Learnt from documents whose crc32(doc_id) mod ``parts`` is not ``held`` (rows
     with a null id are scored, not learnt from and not held out): counts of all tokens,
-    and the network's weights from a bounded sample, in hash order, of whole documents.
+    and the network's weights, which start from a sample, in hash order, of whole
+    documents and are then learnt from every one (``taught``).
     base_score is the add-half unigram's log10 probability; score the network's: class,
     word within its class, and within a tail shape the word's share of the counts; it is
     of the complete document, with the state carried through.  A null or empty text is
@@ -347,6 +438,7 @@ def language_model(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if got.num_rows:
         s, first = ragged(got["s"])
         network.fit(s.astype(np.int64), first)
+        taught(learnt.select("t", "doc_id").mapInArrow(symbols, f"s array<int>, id {kind}"), network, vocab.tokens)
     sent = spark.sparkContext.broadcast((vocab, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

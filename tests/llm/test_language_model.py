@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from kontra.llm.language_model import Network, Recurrent, Vocabulary, language_model
+from kontra.llm.language_model import Network, Recurrent, Vocabulary, language_model, vocabulary
 
 SMALL = Recurrent(head=150, words=40, classes=6, hidden=12, embed=8, rows=400, lanes=8, window=12, epochs=4)
 
@@ -95,3 +97,36 @@ def test_gradients():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-4 - grad[name].reshape(-1)[i]) < 2e-4, name
+
+
+def test_documents_beyond_the_sample_teach_the_network(spark):
+    r, rows = random.Random(8), []
+    for i in range(1200):
+        ks = [r.randrange(12) for _ in range(40)]
+        rows.append((i, " ".join(f"a{k} b{k}" for k in ks)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    how = replace(SMALL, rows=1, group_lanes=8, group_rate=0.02, group_tokens=40_000)
+    got = {n: {x.doc_id: (x.held_out, x.score, x.base_score) for x in language_model(df.repartition(n), how=how).collect()} for n in (1, 5)}
+    held = [v for v in got[1].values() if v[0]]
+    # of a pair the second word follows from the first: all but half of the unigram's loss can be learnt, from no single document
+    assert sum(v[1] for v in held) > 0.75 * sum(v[2] for v in held)
+    assert all(abs(got[1][k][1] - got[5][k][1]) < 1e-3 for k in got[1])
+
+
+def test_every_symbol_is_learnt_from_once():
+    net, rng = network(), np.random.default_rng(4)
+    seen = []
+    whole = net.gradients
+    net.gradients = lambda x, y, h: (seen.append((x, y)), whole(x, y, h))[1]
+    pieces = [rng.integers(0, 30, n) for n in (1, 7, 12 * 8 + 5, 3001)]
+    assert net.learn(iter(pieces), 100) == sum(map(len, pieces))
+    got = np.sort(np.concatenate([y.ravel() for _, y in seen]))
+    assert (got == np.sort(np.concatenate(pieces))).all()
+
+
+def test_words_grow_with_the_types(spark):
+    sizes = []
+    for n in (400, 40_000):
+        counts = spark.range(n).select(F.col("id").alias("h"), F.lit(0).alias("shape"), F.lit(3).cast("bigint").alias("c"))
+        sizes.append(vocabulary(counts, replace(SMALL, head=50_000)).n_words - 1)
+    assert sizes == [40, 400]
