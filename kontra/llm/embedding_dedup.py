@@ -109,6 +109,7 @@ class Verify:
 
     def some(self, batch: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         right, block, mask, cid, label, weight = (np.asarray(batch.column(i).cast(pa.int64())) for i in range(3, 9))
+        cross = np.asarray(batch.column(1)) != np.asarray(batch.column(2))
         column = batch.column(9)
         units: list = [None] * batch.num_rows
         homes, ups = [None] * batch.num_rows, [None] * batch.num_rows
@@ -121,15 +122,15 @@ class Verify:
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2 or len({len(u) for u in units[lo:hi]}) > 1:
                 continue
-            self.tile(np.stack(units[lo:hi]), np.stack(homes[lo:hi]), np.stack(ups[lo:hi]), right[lo:hi], int(block[lo]), mask[lo:hi], cid[lo:hi], label[lo:hi], weight[lo:hi], counts, edges)
+            self.tile(np.stack(units[lo:hi]), np.stack(homes[lo:hi]), np.stack(ups[lo:hi]), cross[lo], right[lo:hi], int(block[lo]), mask[lo:hi], cid[lo:hi], label[lo:hi], weight[lo:hi], counts, edges)
         if counts:
             c, e = np.concatenate(counts), np.concatenate(edges)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[:, 0], e[:, 0]])), pa.chunked_array([pa.nulls(len(c), pa.int64()), pa.array(e[:, 1])]).combine_chunks(), pa.array(np.concatenate([c[:, 1], np.zeros(len(e), np.int64)]))], names=["a", "b", "rows"])
 
-    def tile(self, u, home, up, right, block, mask, cid, label, weight, counts, edges) -> None:
-        if right.any():
+    def tile(self, u, home, up, cross, right, block, mask, cid, label, weight, counts, edges) -> None:
+        if cross:
             left_i, right_i = np.flatnonzero(right == 0), np.flatnonzero(right)
-            if not len(left_i):
+            if not len(left_i) or not len(right_i):
                 return
         else:
             left_i = right_i = np.arange(len(right))

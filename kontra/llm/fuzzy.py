@@ -238,6 +238,7 @@ class Tiles:
 
     def some(self, batch: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, right = np.asarray(batch.column(0)), np.asarray(batch.column(3).cast(pa.int8()))
+        cross = np.asarray(batch.column(1)) != np.asarray(batch.column(2))
         fp = np.stack([np.asarray(batch.column(4)), np.asarray(batch.column(5))], 1)
         weight = np.asarray(batch.column(6))
         data, offsets = tk.buffers(batch.column(7))
@@ -250,10 +251,10 @@ class Tiles:
         keys = self.hasher.keys(sig)
         counts, edges = [], []
         size = np.diff(cuts)
-        self.small(cuts, size, key, right, sets, sig, keys, weight, fp, counts, edges)
+        self.small(cuts, size, key, cross, right, sets, sig, keys, weight, fp, counts, edges)
         for g in np.flatnonzero(size > SMALL):
             lo, hi = cuts[g], cuts[g + 1]
-            self.tile(key[lo], right[lo:hi], sets[lo:hi], sig[lo:hi], keys[lo:hi], weight[lo:hi], fp[lo:hi], counts, edges)
+            self.tile(key[lo], cross[lo], right[lo:hi], sets[lo:hi], sig[lo:hi], keys[lo:hi], weight[lo:hi], fp[lo:hi], counts, edges)
         if counts:
             c = np.concatenate(counts)
             e = np.concatenate(edges)
@@ -261,7 +262,7 @@ class Tiles:
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[:, i], e[:, i]])) for i in (0, 1)], *[pa.chunked_array([none, pa.array(e[:, i])]).combine_chunks() for i in (2, 3)], *[pa.array(np.concatenate([c[:, i], np.zeros(m, np.int64)])) for i in (2, 3)]], names=["a1", "a2", "b1", "b2", "texts", "rows"])
 
-    def small(self, cuts, size, key, right, sets, sig, keys, weight, fp, counts, edges) -> None:
+    def small(self, cuts, size, key, cross, right, sets, sig, keys, weight, fp, counts, edges) -> None:
         """All groups of 2 to SMALL rows at once."""
         xs, ys = [], []
         for n in range(2, SMALL + 1):
@@ -273,20 +274,19 @@ class Tiles:
         if not xs:
             return
         x, y = np.concatenate(xs), np.concatenate(ys)
-        # in a group of two slices only pairs of one with the other count
-        mixed = np.repeat(np.add.reduceat(right, cuts[:-1]) > 0, size)
-        ok = ~mixed[x] | (right[x] != right[y])
+        # in a tile of two slices, one of which may be empty, only pairs of one with the other count
+        ok = ~cross[x] | (right[x] != right[y])
         x, y = x[ok], y[ok]
         same = keys[x] == keys[y]
         own = key[x][:, None] == keys[x]
         ok = same.argmax(1) == own.argmax(1)
         self.settle(x[ok], y[ok], sets, sig, weight, fp, counts, edges)
 
-    def tile(self, key, right, sets, sig, keys, weight, fp, counts, edges) -> None:
+    def tile(self, key, cross, right, sets, sig, keys, weight, fp, counts, edges) -> None:
         band = int(np.flatnonzero(keys[0] == key)[0])
-        if right.any():
+        if cross:
             left_i, right_i = np.flatnonzero(right == 0), np.flatnonzero(right)
-            if not len(left_i):
+            if not len(left_i) or not len(right_i):
                 return
         else:
             left_i = right_i = np.arange(len(right))

@@ -1,8 +1,9 @@
 """The subspace join against all pairs, and its defined edge cases."""
 
 import numpy as np
+import pyarrow as pa
 
-from kontra.llm.embedding_dedup import Pigeonhole, embedding_dedup
+from kontra.llm.embedding_dedup import Pigeonhole, Verify, embedding_dedup
 
 
 def brute(rows):
@@ -59,3 +60,14 @@ def test_other_sizes_and_slices(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_a_tile_with_an_empty_slice_has_no_pairs():
+    def tile(ti, tj, right):
+        n = len(right)
+        columns = [[5] * n, [ti] * n, [tj] * n, right, [0] * n, [0] * n, list(range(n)), [1] * n, [1] * n, [[1.0] + [0.0] * 63] * n]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[str(i) for i in range(10)])
+        return sum(sum(b.column(2).to_pylist()) for b in Verify(Pigeonhole())(iter([batch])))
+
+    assert tile(0, 0, [0, 0]) == 2 and tile(0, 1, [0, 1]) == 2
+    assert tile(0, 1, [0, 0]) == 0 and tile(0, 1, [1, 1]) == 0

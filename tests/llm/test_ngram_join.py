@@ -84,3 +84,9 @@ def test_edges(spark):
     assert [g for g in got if g[1] != 3] == [(1, 1), (5, 4), (7, 6)]
     assert [g for g in got if g[1] == 3] == [(3, 3)]
     assert one_per_group(df.limit(0)).count() == 0
+
+
+def test_empty_slices_count_no_pair_again(spark):
+    # two members of a long bucket make many slices, most of them empty
+    rows = corpus(13, 12)
+    assert result(spark, rows, how=Join(unit="text", kind="words", k=5, bands=30, rows=5, slice_values=60)) == brute(rows)
