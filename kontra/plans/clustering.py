@@ -12,6 +12,8 @@ from kontra.plans.profiles import z
 from kontra.sources.tables import CONTRAST_SQL, conditions, contrasts, kept, table
 
 RUNS, K = 8, 5
+#: Starts and most passes of a fit, and shuffles of the likelihood test, as in the reference.
+STARTS, PASSES, SHUFFLES = 10, 100, 30
 
 
 def runs(s, d):
@@ -96,10 +98,10 @@ def jackknife(s, d):
 
 
 def likelihood_permutation(s, d):
-    reps, names = 6, conditions(s, d)
+    reps, names = SHUFFLES, conditions(s, d)
     shuffled = resample.shuffled_columns(z(s, d), resample.repetitions(s, reps), "z").groupBy("rep", "entity").pivot("condition", names).agg(F.first("z"))
     null = shuffled.select(F.col("entity").alias("id"), (F.col("rep") + 1).alias("grp"), F.array(*[F.col(f"`{c}`") for c in names]).alias("x"))
-    models = subspace.fit(rows(s, d).unionByName(null), [Spec(f"g{g}", (1,) * K, seed, group=g) for g in range(reps + 1) for seed in range(2)], 12)
+    models = subspace.fit(rows(s, d).unionByName(null), [Spec(f"g{g}", (1,) * K, seed, group=g) for g in range(reps + 1) for seed in range(STARTS)], PASSES)
     by = {m.spec.group: m.log_likelihood for m in subspace.best(models).values()}
     real = by.pop(0)
     over = sum(v >= real for v in by.values())

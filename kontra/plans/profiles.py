@@ -10,6 +10,8 @@ from kontra.plans.detection import HITS_SQL, LABELS_SQL, bh_sql, cells, cells_sq
 from kontra.sources.tables import CONTRAST_SQL, contrasts, kept
 
 REPS = 40
+#: The reference's counts of label shuffles, bootstrap draws and attribute permutations; the *_full queries run these.
+SHUFFLES, DRAWS, PERMUTATIONS = 100, 200, 10_000
 
 
 def hits(s, d):
@@ -24,34 +26,34 @@ def z(s, d):
     return matrix.zscore(contrasts(s, d))
 
 
-def null_correlations(s, d):
+def null_correlations(s, d, reps=REPS):
     def make():
         c = contrasts(s, d)
-        shuffled = resample.shuffled_labels(labels(c), resample.repetitions(s, REPS))
+        shuffled = resample.shuffled_labels(labels(c), resample.repetitions(s, reps))
         t = detect.residuals(resample.null_cells(hits(s, d), shuffled, c))
         return matrix.correlations(t, "log2_ratio", ["rep"])
 
-    return kept(s, d, "null_correlations", make)
+    return kept(s, d, f"null_correlations{reps}", make)
 
 
-def empirical_pairs(s, d):
+def empirical_pairs(s, d, reps=REPS):
     seen = matrix.correlations(ratio(s, d), "log2_ratio").select("a", "b", "pearson")
-    t = resample.empirical(seen, null_correlations(s, d), ["a", "b"], "pearson")
+    t = resample.empirical(seen, null_correlations(s, d, reps), ["a", "b"], "pearson")
     return rounded(benjamini_hochberg(t, "p_empirical", ["a", "b"]))
 
 
-def bootstrap(s, d):
+def bootstrap(s, d, reps=REPS):
     c = contrasts(s, d)
     lab = labels(c)
-    t = detect.residuals(resample.bootstrap_cells(hits(s, d), lab, resample.draws(lab, resample.repetitions(s, REPS)), c))
+    t = detect.residuals(resample.bootstrap_cells(hits(s, d), lab, resample.draws(lab, resample.repetitions(s, reps)), c))
     per = matrix.correlations(t, "log2_ratio", ["rep"])
     return rounded(resample.bootstrap_ci(per, ["a", "b"], "pearson"), 5)
 
 
-def attribute(s, d):
+def attribute(s, d, reps=200):
     pairs = matrix.correlations(ratio(s, d), "log2_ratio").select("a", "b", "pearson")
     kinds = contrasts(s, d).select("condition").distinct().withColumn("attribute", F.when(F.col("condition").rlike("^[0-9]"), "priority").otherwise("segment"))
-    return rounded(resample.attribute_permutation(pairs, kinds, "pearson", resample.repetitions(s, 200)))
+    return rounded(resample.attribute_permutation(pairs, kinds, "pearson", resample.repetitions(s, reps)))
 
 
 def spearman(s, d):
@@ -145,3 +147,17 @@ QUERIES = {
         "SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(gap) >= abs(observed) - 1e-9) + 1)::DOUBLE / (count(*) + 1), 6) AS p_value, count(*) AS valid FROM gp CROSS JOIN ob WHERE rep >= 0 AND gap IS NOT NULL GROUP BY observed",
     ),
 }
+
+
+def _counted(name: str, old: int, new: int) -> str:
+    """A query's SQL with another number of repetitions."""
+    sql = QUERIES[name][1]
+    assert sql.count(f"range({old})") == 1
+    return sql.replace(f"range({old})", f"range({new})")
+
+
+QUERIES |= {
+    "empirical_p_pairs_full": (lambda s, d: empirical_pairs(s, d, SHUFFLES), _counted("empirical_p_pairs", REPS, SHUFFLES)),
+    "bootstrap_ci_full": (lambda s, d: bootstrap(s, d, DRAWS), _counted("bootstrap_ci", REPS, DRAWS)),
+    "attr_permutation_full": (lambda s, d: attribute(s, d, PERMUTATIONS), _counted("attr_permutation", 200, PERMUTATIONS)),
+}
