@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontra.functions.stats import draw
@@ -58,8 +61,8 @@ def frame(s, models, **more):
 
 
 def model_selection(s, d):
-    specs = [Spec(f"k{k}_d{q}", (q,) * k, seed) for k in (2, 3, 4, 5, 6) for q in (0, 1) for seed in range(3)]
-    return frame(s, subspace.best(subspace.fit(rows(s, d), specs, 15)).values())
+    specs = [Spec(f"k{k}_d{q}", (q,) * k, seed) for k in range(2, 26) for q in (0, 1) for seed in range(STARTS)]
+    return frame(s, subspace.best(subspace.fit(rows(s, d), specs, PASSES)).values())
 
 
 def heterogeneous(s, d):
@@ -75,26 +78,45 @@ def mixture(s, d):
     return subspace.assign(rows(s, d), list(subspace.best(lines(s, d, 4)).values())[:1]).select("entity", "label")
 
 
+def consensus_runs(name, runs, starts, **more):
+    """Specs of independent runs, each the best of its starts."""
+    return [Spec(f"{name}|{r}", (1,) * K, r * starts + i, **more) for r in range(runs) for i in range(starts)]
+
+
+def consensus_of(s, d, models):
+    return cluster.consensus(cluster.aligned(subspace.assign(rows(s, d), models), K))
+
+
 def mixture_consensus(s, d):
-    return cluster.consensus(cluster.aligned(subspace.assign(rows(s, d), lines(s, d)), K))
+    return consensus_of(s, d, list(subspace.best(subspace.fit(rows(s, d), consensus_runs("run", 30, 20), PASSES)).values()))
 
 
 def bootstrap_stability(s, d):
-    ref = subspace.best([m for m in lines(s, d, 3)])
-    boots = subspace.fit(rows(s, d), [Spec(f"boot{i}", (1,) * K, 100 + i, resample=i) for i in range(6)], 15)
-    reference = subspace.assign(rows(s, d), [max(ref.values(), key=lambda m: m.log_likelihood)]).select("entity", "label")
-    t = cluster.agreement(subspace.assign(rows(s, d), boots), reference, ["run"])
-    return t.groupBy().agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), F.count("ari").alias("n"))
+    """k, mean, sd, n: agreement of resampled fits with the fit of all rows, for each k."""
+    ks = range(3, 16)
+    specs = [Spec(f"{k}|all", (1,) * k, i) for k in ks for i in range(STARTS)]
+    specs += [Spec(f"{k}|{r}", (1,) * k, 100 + 5 * r + i, resample=r) for k in ks for r in range(15) for i in range(5)]
+    found = subspace.best(subspace.fit(rows(s, d), specs, PASSES))
+    out = []
+    for k in ks:
+        boots = [found[f"{k}|{r}"] for r in range(15) if f"{k}|{r}" in found]
+        if f"{k}|all" in found and boots:
+            reference = subspace.assign(rows(s, d), [found[f"{k}|all"]]).select("entity", "label")
+            out.append(cluster.agreement(subspace.assign(rows(s, d), boots), reference, ["run"]).select(F.lit(k).alias("k"), "ari"))
+    t = reduce(DataFrame.unionByName, out) if out else s.createDataFrame([], "k int, ari double")
+    return t.groupBy("k").agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), F.count("ari").alias("n"))
 
 
 def jackknife(s, d):
+    """config, ari: agreement of the consensus of 10 runs without a condition with that of all conditions."""
     names = conditions(s, d)
-    full = subspace.assign(rows(s, d), [max(lines(s, d, 3), key=lambda m: m.log_likelihood)]).select("entity", "label")
-    specs = [Spec(f"without {c}", (1,) * K, seed, dims=tuple(j for j in range(len(names)) if j != i)) for i, c in enumerate(names) for seed in range(2)]
-    models = list(subspace.best(subspace.fit(rows(s, d), specs, 12)).values())
-    t = cluster.agreement(subspace.assign(rows(s, d), models), full, ["run"])
-    key = s.createDataFrame([(i, m.spec.name) for i, m in enumerate(models)], "run int, config string")
-    return t.join(F.broadcast(key), "run").select("config", "ari").orderBy("ari")
+    configs = {f"without {c}": tuple(j for j in range(len(names)) if j != i) for i, c in enumerate(names)}
+    specs = consensus_runs("all", 10, 15) + [x for name, dims in configs.items() for x in consensus_runs(name, 10, 15, dims=dims)]
+    found = subspace.best(subspace.fit(rows(s, d), specs, PASSES))
+    of = lambda name: consensus_of(s, d, [found[f"{name}|{r}"] for r in range(10)]).select("entity", "label")
+    full = of("all").persist()
+    out = [cluster.agreement(of(name).withColumn("config", F.lit(name)), full, ["config"]) for name in configs]
+    return reduce(DataFrame.unionByName, out).select("config", "ari").orderBy("ari")
 
 
 def likelihood_permutation(s, d):

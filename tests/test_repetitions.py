@@ -34,3 +34,14 @@ def test_full_counts_are_registered():
     sql = registry.oracle_sql()
     for name, n in (("empirical_p_pairs_full", 100), ("bootstrap_ci_full", 200), ("attr_permutation_full", 10_000)):
         assert f"range({n})" in sql[name]
+
+
+def test_sweeps(spark, monkeypatch):
+    specs, passes = asked(monkeypatch, "model_selection", spark)
+    assert passes == 100 and {len(s.latent) for s in specs} == set(range(2, 26)) and len(specs) == 24 * 2 * 10
+    specs, passes = asked(monkeypatch, "bootstrap_stability", spark)
+    assert passes == 100 and {len(s.latent) for s in specs} == set(range(3, 16)) and len(specs) == 13 * (10 + 15 * 5)
+    specs, passes = asked(monkeypatch, "subspace_consensus", spark)
+    assert passes == 100 and len({s.name for s in specs}) == 30 and len(specs) == 30 * 20
+    specs, passes = asked(monkeypatch, "condition_jackknife", spark)
+    assert passes == 100 and len(specs) == 11 * 10 * 15
