@@ -140,14 +140,16 @@ def refusals(cases: DataFrame) -> DataFrame:
     return cases.agg(F.try_divide(both, F.nullif(F.count_if(refused), F.lit(0))).alias("precision"), F.try_divide(both, F.nullif(F.count_if(should), F.lit(0))).alias("recall"), F.avg((F.col("accepted") == F.col("expected")).cast("double")).alias("exact"))
 
 
-def perceptron(rows: DataFrame, hidden: int = 24, classes: int = 2, features: int = 256, seed: int = 1):
-    """A one-hidden-layer classifier on unit-length word counts: (fitted pipeline)."""
+def perceptron(rows: DataFrame, hidden: int = 24, classes: int = 2, seed: int = 1):
+    """A one-hidden-layer classifier on unit-length counts of all words of the training texts: (fitted pipeline)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer
 
-    steps = [RegexTokenizer(inputCol="text", outputCol="w", gaps=False, pattern="[a-z0-9]+"), CountVectorizer(inputCol="w", outputCol="c", vocabSize=features), Normalizer(inputCol="c", outputCol="features")]
-    size = min(features, len(Pipeline(stages=steps[:2]).fit(rows).stages[1].vocabulary))
+    words = RegexTokenizer(inputCol="text", outputCol="w", gaps=False, pattern="[a-z0-9]+")
+    types = words.transform(rows).select(F.explode("w").alias("w")).distinct().count()
+    steps = [words, CountVectorizer(inputCol="w", outputCol="c", vocabSize=max(types, 1)), Normalizer(inputCol="c", outputCol="features")]
+    size = len(Pipeline(stages=steps[:2]).fit(rows).stages[1].vocabulary)
     return Pipeline(stages=[*steps, MultilayerPerceptronClassifier(layers=[size, hidden, classes], labelCol="label", seed=seed, maxIter=40)]).fit(rows)
 
 
