@@ -119,6 +119,15 @@ def jackknife(s, d):
     return reduce(DataFrame.unionByName, out).select("config", "ari").orderBy("ari")
 
 
+def subsample_stability(s, d):
+    """ARI of every two of RUNS fits, each on its own subsample of 0.8 of the rows, on the rows they share."""
+    full = rows(s, d)
+    taken = resample.subsamples(full.select(F.col("id").alias("entity")), resample.repetitions(s, RUNS), 0.8)
+    part = full.drop("grp").join(taken.select(F.col("entity").alias("id"), F.col("rep").cast("int").alias("grp")), "id").select("id", "grp", "x")
+    models = subspace.fit(part, [Spec(f"sub{g}", (1,) * K, seed, group=g) for g in range(RUNS) for seed in range(STARTS)], PASSES)
+    return resample.stability(subspace.assign(part, list(subspace.best(models).values())))
+
+
 def likelihood_permutation(s, d):
     reps, names = SHUFFLES, conditions(s, d)
     shuffled = resample.shuffled_columns(z(s, d), resample.repetitions(s, reps), "z").groupBy("rep", "entity").pivot("condition", names).agg(F.first("z"))
@@ -220,6 +229,7 @@ QUERIES = {
     "bootstrap_stability": (bootstrap_stability, None),
     "condition_jackknife": (jackknife, None),
     "likelihood_permutation": (likelihood_permutation, None),
+    "subsample_stability": (subsample_stability, None),
     "restart_comparison": (restarts, None),
     "kmeans_baseline": (kmeans_baseline, None),
     "pca_conditions": (pca_conditions, None),

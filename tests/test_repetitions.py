@@ -1,7 +1,7 @@
 """The resampling and sweep queries run as many repetitions as the reference."""
 
 from kontra.operators import subspace
-from kontra.plans import registry
+from kontra.plans import clustering, registry
 
 
 class Asked(Exception):
@@ -45,3 +45,16 @@ def test_sweeps(spark, monkeypatch):
     assert passes == 100 and len({s.name for s in specs}) == 30 and len(specs) == 30 * 20
     specs, passes = asked(monkeypatch, "condition_jackknife", spark)
     assert passes == 100 and len(specs) == 11 * 10 * 15
+
+
+def test_subsamples_are_refitted(spark, monkeypatch):
+    fit, sizes = subspace.fit, []
+
+    def short(rows, specs, max_iter):
+        sizes.extend(r["count"] for r in rows.groupBy("grp").count().collect())
+        return fit(rows, [x for x in specs if x.group < 3 and x.seed == 0], 2)
+
+    monkeypatch.setattr(subspace, "fit", short)
+    got = registry.queries()["subsample_stability"](spark, "/root/testdata/sf0.001").collect()
+    assert len(sizes) == clustering.RUNS and len(set(sizes)) == 1
+    assert len(got) == 3 and all(-1 <= r.ari <= 1 and r.shared < sizes[0] for r in got)
