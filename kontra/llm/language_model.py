@@ -16,8 +16,12 @@ from kontra.llm import textkit as tk
 from kontra.llm.learn import fold, ragged
 from kontra.llm.scratch import Scratch
 
-END = np.uint64(0x5DEECE66D)
 SHAPES = 8
+#: The end token; the low three bits of a token are its shape, which its word tells.
+END = np.uint64(0x5DEECE668 | 7)
+SHAPE = np.uint64(SHAPES - 1)
+#: Bytes tokenised at a time, so that a kernel's arrays stay in the processor's cache.
+SPAN = 1 << 17
 _ENDS = np.zeros(256, dtype=np.int64)
 _ENDS[[ord(c) for c in ".!?"]] = 1
 _ENDS[[ord(c) for c in ",;:"]] = 2
@@ -27,56 +31,54 @@ _ENDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".!?,
 @dataclass(frozen=True)
 class Recurrent:
     """Parameters.  The network starts from weights fitted to ``rows`` whole documents and then learns from all
-    training documents, in groups of about ``group_tokens``.  ``head``, ``words`` and ``classes`` are least sizes.
+    training documents, in groups of about ``group_tokens``.  ``head`` and ``words`` are least sizes.
     """
 
     head: int = 200_000
     words: int = 1500
-    classes: int = 48
     hidden: int = 32
     embed: int = 24
     rows: int = 900
     lanes: int = 32
-    window: int = 24
+    window: int = 16
     epochs: int = 3
     rate: float = 0.008
     group_tokens: int = 1 << 21
     group_lanes: int = 256
-    group_rate: float = 0.004
+    group_rate: float = 0.008
     scored_together: int = 2048
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash and shape of every token, first token of each row); every row ends with the end token, of shape 7.
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(every token, first token of each row); every row ends with the end token.
 
-    The shape of a word is told by its bytes alone: how it ends, and whether it has letters beyond ASCII.
+    A token is the word's 61-bit hash and its shape, which its bytes alone tell: how it ends, and whether it has
+    letters beyond ASCII.
     """
     h, starts, ends, rows = tk.words(data, offsets)
-    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
     kind = _ENDS[data[ends - 1]] if len(ends) else np.zeros(0, np.int64)
-    shape = np.where(kind == 6, 6, kind + 3 * (wide[ends] > wide[starts]))
+    # between two words there is white space only, which is ASCII
+    wide = np.maximum.reduceat(data, starts) >= 0x80 if len(starts) else np.zeros(0, bool)
+    shape = np.where(kind == 6, 6, kind + 3 * wide)
     n = np.diff(rows)
     first = rows + np.arange(len(rows))
-    out, kinds = np.full(first[-1], END, dtype=np.uint64), np.full(first[-1], 7, dtype=np.int64)
-    at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-    out[at], kinds[at] = h, shape
-    return out, kinds, first
+    out = np.full(first[-1], END, dtype=np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = (h & ~SHAPE) | shape.astype(np.uint64)
+    return out, first
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(h, shape, c): how often each token occurs in the training documents (column t); partial counts of a batch are summed before the shuffle."""
+    """(h, c): how often each token occurs in the training documents (column t); partial counts of a batch are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.buffers(batch.column(0))
-            seen = [tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2] for lo, hi in tk.spans(offsets, 1 << 19)]
-            if not seen:
-                continue
-            h = np.concatenate([s[0] for s in seen])
-            values, at, c = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.concatenate([s[1] for s in seen])[at].astype(np.int32)), pa.array(c)], names=["h", "shape", "c"])
+            seen = [tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0] for lo, hi in tk.spans(offsets, SPAN)]
+            if seen:
+                values, c = np.unique(np.concatenate(seen), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return docs.select("t").mapInArrow(run, "h bigint, shape int, c bigint").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
+    return docs.select("t").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -96,21 +98,36 @@ class Vocabulary:
     tokens: int
     types: int
 
+    def __post_init__(self):
+        # the first of the sorted hashes with each value of the upper bits
+        self.shift = np.uint64(64 - max(1, (2 * len(self.hashes)).bit_length()))
+        upper = (self.hashes >> self.shift).astype(np.int64)
+        self.start = np.searchsorted(upper, np.arange(1 << int(64 - self.shift))).astype(np.int32)
+        self.longest = int(np.bincount(upper).max())
+
     @property
     def n_words(self) -> int:
         return len(self.unigram) - SHAPES + 1
 
-    def look(self, h: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1 if not among the frequent words, symbol) of tokens."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = self.start[(h >> self.shift).astype(np.int64)]
+        last = np.int32(len(self.hashes) - 1)
+        at = np.minimum(at, last)
         found = self.hashes[at] == h
+        for _ in range(1, self.longest):
+            rest = np.flatnonzero(~found & (self.hashes[at] < h) & (at < last))
+            if not len(rest):
+                break
+            at[rest] += 1
+            found[rest] = self.hashes[at[rest]] == h[rest]
         symbol = np.where(found, self.symbol[at], -1)
-        return np.where(found, self.counts[at], -1), np.where(symbol < 0, self.n_words + np.minimum(shape, SHAPES - 2), symbol)
+        return np.where(found, self.counts[at], -1), np.where(symbol < 0, self.n_words + np.minimum(h & SHAPE, SHAPES - 2).astype(np.int64), symbol)
 
 
 def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
     """Only totals and the most frequent words reach the driver; the network's words grow with the square root of the types."""
-    shape = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    shape = counts.groupBy(F.col("h").bitwiseAND(F.lit(SHAPES - 1)).cast("int").alias("shape")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
     mass = np.full(SHAPES, 0.5)
     for r in shape:
         mass[r["shape"]] += r["c"] + 0.5 * r["n"]
@@ -128,7 +145,7 @@ def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
     head = counts.where(step >= least).toArrow() if least is not None else None
     h = np.asarray(head["h"]).view(np.uint64) if head is not None else np.zeros(0, np.uint64)
     c = np.asarray(head["c"]) if head is not None else np.zeros(0, np.int64)
-    kind = np.asarray(head["shape"]).astype(np.int64) if head is not None else np.zeros(0, np.int64)
+    kind = (h & SHAPE).astype(np.int64)
     best = np.lexsort((h, -c))
     best = best[h[best] != END][:words]
     symbol = np.full(len(h), -1, dtype=np.int64)
@@ -144,23 +161,58 @@ def vocabulary(counts: DataFrame, how: Recurrent) -> Vocabulary:
 
 
 class Adam:
-    """Steps of Adam on clipped gradients."""
+    """Steps of Adam on clipped gradients, in place; the gradients are spent.  A gradient (rows, values) moves only those rows and their averages."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.t = p, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.work = {k: np.empty_like(v) for k, v in p.items()}
 
-    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
-        p, m, s = self.p, self.m, self.s
+    def step(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], rate: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (v[1] if isinstance(v, tuple) else v for v in g.values())))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
+        first, second = rate / (1 - 0.9**self.t), 1 / np.sqrt(1 - 0.99**self.t)
         for k, v in g.items():
-            v *= scale
-            m[k] += 0.1 * (v - m[k])
-            s[k] += 0.01 * (v * v - s[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(s[k] / (1 - 0.99**self.t)) + 1e-6)
+            if isinstance(v, tuple):
+                at, v = v
+                m, s, w = self.m[k][at], self.s[k][at], np.empty_like(v)
+            else:
+                at, m, s, w = slice(None), self.m[k], self.s[k], self.work[k]
+            np.multiply(v, v, out=w)
+            w *= 0.01 * scale * scale
+            s *= 0.99
+            s += w
+            v *= 0.1 * scale
+            m *= 0.9
+            m += v
+            np.sqrt(s, out=w)
+            w *= second
+            w += 1e-6
+            np.divide(m, w, out=w)
+            w *= first
+            self.p[k][at] -= w
+            if not isinstance(at, slice):
+                self.m[k][at], self.s[k][at] = m, s
+
+
+PRODUCT = 1.5
+
+
+def word_classes(p: np.ndarray) -> np.ndarray:
+    """The class of each word, in order of frequency: classes of about equal square-root mass, as many as make a token cheapest.
+
+    A class costs its own logit and, if it has several words, as much as PRODUCT logits for its products.
+    """
+    body, best = np.cumsum(np.sqrt(p)) / np.sqrt(p).sum(), None
+    for classes in range(4, 4 * isqrt(len(p)) + 5):
+        cut = np.minimum((body * classes - 1e-9).astype(np.int64), classes - 1)
+        size = np.bincount(cut)
+        cost = np.count_nonzero(size) + PRODUCT * np.count_nonzero(size > 1) + float((p * np.where(size == 1, 0, size)[cut]).sum())
+        if best is None or cost < best[0]:
+            best = cost, cut
+    return np.unique(best[1], return_inverse=True)[1]
 
 
 class Network:
@@ -171,11 +223,8 @@ class Network:
         rng = np.random.Generator(np.random.PCG64(23))
         n, h, e = len(vocab.unigram), how.hidden, how.embed
         p = vocab.unigram
-        # classes of about equal square-root mass, words in order of frequency; each tail shape is a class
-        body = np.sqrt(p[: vocab.n_words])
-        classes = max(how.classes, isqrt(vocab.n_words))
-        cut = np.minimum((np.cumsum(body) / body.sum() * classes - 1e-9).astype(np.int64), classes - 1)
-        cut = np.unique(cut, return_inverse=True)[1]
+        # each tail shape is a class of its own
+        cut = word_classes(p[: vocab.n_words])
         self.of = np.concatenate([cut, cut.max() + 1 + np.arange(SHAPES - 1)])
         k = int(self.of.max()) + 1
         self.first = np.searchsorted(self.of, np.arange(k + 1))
@@ -188,37 +237,52 @@ class Network:
         """One step from inputs x = e w + b and state h: (new state, gates, candidate, recurrent part)."""
         n = h.shape[1]
         u = h @ self.p["u"]
+        # the logistic function by the hyperbolic tangent, which cannot overflow
         g = x[:, : 2 * n] + u[:, : 2 * n]
-        np.negative(g, out=g)
-        np.exp(g, out=g)
-        g += 1
-        np.reciprocal(g, out=g)
+        g *= 0.5
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
         z, r = g[:, :n], g[:, n:]
         c = r * u[:, 2 * n :]
         c += x[:, 2 * n :]
         np.tanh(c, out=c)
         return c + z * (h - c), g, c, u[:, 2 * n :]
 
+    def bounded(self, weights: str, bias: str) -> bool:
+        """Whether no logit can leave +-60, so that a softmax in float32 needs no greatest logit taken off."""
+        return float((np.abs(self.p[weights]).sum(0) + np.abs(self.p[bias])).max()) < 60
+
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of symbols y after states h."""
-        a = h @ self.p["c"] + self.p["cb"]
-        k = self.of[y]
-        a -= a.max(1, keepdims=True)
-        out = a[np.arange(len(y)), k].astype(np.float64)
-        np.exp(a, out=a)
-        out -= np.log(a.sum(1, dtype=np.float32))
+        """Natural log probability of symbols y after states h (within +-1, as a GRU's are)."""
+        k = self.of[y].astype(np.int16)
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.first)))
+        h, y, k = h[order], y[order], k[order]
+        inside = bool(np.abs(h).max(initial=0) <= 1)
+        near, close = inside and self.bounded("c", "cb"), inside and self.bounded("o", "ob")
+        total = np.empty(len(y))
+        for lo in range(0, len(y), TOGETHER):
+            a = h[lo : lo + TOGETHER] @ self.p["c"]
+            a += self.p["cb"]
+            if not near:
+                a -= a.max(1, keepdims=True)
+            total[lo : lo + TOGETHER] = a[np.arange(len(a)), k[lo : lo + TOGETHER]]
+            np.exp(a, out=a)
+            total[lo : lo + TOGETHER] -= np.log(a.sum(1))
         for c in np.flatnonzero(np.diff(edge)):
-            lo, hi = self.first[c], self.first[c + 1]
+            lo, hi, i, j = self.first[c], self.first[c + 1], edge[c], edge[c + 1]
             if hi - lo == 1:
                 continue
-            i = order[edge[c] : edge[c + 1]]
-            b = h[i] @ self.p["o"][:, lo:hi] + self.p["ob"][lo:hi]
-            b -= b.max(1, keepdims=True)
-            got = b[np.arange(len(i)), y[i] - lo]
+            b = h[i:j] @ self.p["o"][:, lo:hi]
+            b += self.p["ob"][lo:hi]
+            if not close:
+                b -= b.max(1, keepdims=True)
+            total[i:j] += b[np.arange(j - i), y[i:j] - lo]
             np.exp(b, out=b)
-            out[i] += got - np.log(b.sum(1))
+            total[i:j] -= np.log(b.sum(1))
+        out = np.empty(len(y))
+        out[order] = total
         return out
 
     def fit(self, symbols: np.ndarray, first: np.ndarray) -> Network:
@@ -262,64 +326,79 @@ class Network:
         return done
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Mean gradients over one window (lanes x steps) from states h, and the states after it; that of the embedding has only the rows used."""
         p, n = self.p, self.how.hidden
         lanes, steps = x.shape
-        kept = []
-        table = p["e"] @ p["w"] + p["b"]
+        kind = p["u"].dtype
+        ids, want, total = x.T.ravel(), y.T.ravel(), x.size
+        inputs = (p["e"] @ p["w"] + p["b"])[ids].reshape(steps, lanes, 3 * n)
+        live = (ids != 0).astype(kind).reshape(steps, lanes, 1)
+        before, after, kept = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind), []
         for j in range(steps):
-            h = np.where((x[:, j] == 0)[:, None], 0, h).astype(np.float32)
-            new, g, c, uc = self.step(table[x[:, j]], h)
-            kept.append((h, g, c, uc))
-            h = new
-        states = np.stack([k[0] for k in kept[1:]] + [h], 1) if steps > 1 else h[:, None]
-        # states after each step, before the clearing at a document's start
-        after = np.stack([c + g[:, :n] * (hp - c) for hp, g, c, _ in kept], 1)
-        del states
-        flat, want = after.reshape(-1, n), y.reshape(-1)
-        total = len(want)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        a = flat @ p["c"] + p["cb"]
-        a = np.exp(a - a.max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        k = self.of[want]
-        a[np.arange(total), k] -= 1
-        a /= total
+            np.multiply(h, live[j], out=before[j])
+            after[j], *parts = self.step(inputs[j], before[j])
+            kept.append(parts)
+            h = after[j]
+        inside = bool(np.abs(before[0]).max(initial=0) <= 1)
+        grad = {k: np.zeros_like(v) if k in ("o", "ob") else None for k, v in p.items()}
+        flat = after.reshape(total, n)
+        a = flat @ p["c"]
+        a += p["cb"]
+        if not (inside and self.bounded("c", "cb")):
+            a -= a.max(1, keepdims=True)
+        np.exp(a, out=a)
+        a *= 1 / (total * a.sum(1, keepdims=True))
+        k = self.of[want].astype(np.int16)
+        a[np.arange(total), k] -= 1 / total
         grad["c"], grad["cb"] = flat.T @ a, a.sum(0)
         dh = a @ p["c"].T
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.first)))
+        states, aim, more = flat[order], want[order], np.zeros((total, n), kind)
+        close = inside and self.bounded("o", "ob")
         for c in np.flatnonzero(np.diff(edge)):
-            lo, hi = self.first[c], self.first[c + 1]
+            lo, hi, i, j = self.first[c], self.first[c + 1], edge[c], edge[c + 1]
             if hi - lo == 1:
                 continue
-            i = order[edge[c] : edge[c + 1]]
-            b = flat[i] @ p["o"][:, lo:hi] + p["ob"][lo:hi]
-            b = np.exp(b - b.max(1, keepdims=True))
-            b /= b.sum(1, keepdims=True)
-            b[np.arange(len(i)), want[i] - lo] -= 1
-            b /= total
-            grad["o"][:, lo:hi], grad["ob"][lo:hi] = flat[i].T @ b, b.sum(0)
-            dh[i] += b @ p["o"][:, lo:hi].T
-        dh = dh.reshape(lanes, steps, n)
-        back = np.zeros((lanes, n), np.float32)
-        dx = np.zeros((lanes, steps, 3 * n), np.float32)
+            o = p["o"][:, lo:hi]
+            b = states[i:j] @ o
+            b += p["ob"][lo:hi]
+            if not close:
+                b -= b.max(1, keepdims=True)
+            np.exp(b, out=b)
+            b *= 1 / (total * b.sum(1, keepdims=True))
+            b[np.arange(j - i), aim[i:j] - lo] -= 1 / total
+            grad["o"][:, lo:hi], grad["ob"][lo:hi] = states[i:j].T @ b, b.sum(0)
+            np.matmul(b, o.T, out=more[i:j])
+        dh[order] += more
+        dh = dh.reshape(steps, lanes, n)
+        back = np.zeros((lanes, n), kind)
+        dx, du = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
         for j in range(steps - 1, -1, -1):
-            hp, g, c, uc = kept[j]
-            d = dh[:, j] + back
+            hp, (g, c, uc) = before[j], kept[j]
             z, r = g[:, :n], g[:, n:]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (hp - c) * z * (1 - z)
-            dr = dc * uc * r * (1 - r)
-            dx[:, j] = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            grad["u"] += hp.T @ du
-            back = np.where((x[:, j] == 0)[:, None], 0, du @ p["u"].T + d * z).astype(np.float32)
-        flat_dx, ids = dx.reshape(-1, 3 * n), x.reshape(-1)
-        grad["w"], grad["b"] = p["e"][ids].T @ flat_dx, flat_dx.sum(0)
-        de = flat_dx @ p["w"].T
-        order = np.argsort(ids, kind="stable")
+            d = dh[j]
+            d += back
+            left = d * (1 - z)
+            dc = left * (1 - c * c)
+            dx[j, :, 2 * n :] = dc
+            left *= hp - c
+            np.multiply(left, z, out=dx[j, :, :n])
+            np.multiply(dc, r, out=du[j, :, 2 * n :])
+            dc *= uc
+            dc *= r
+            np.multiply(dc, 1 - r, out=dx[j, :, n : 2 * n])
+            du[j, :, : 2 * n] = dx[j, :, : 2 * n]
+            back = du[j] @ p["u"].T
+            d *= z
+            back += d
+            back *= live[j]
+        flat = dx.reshape(total, 3 * n)
+        grad["u"] = before.reshape(total, n).T @ du.reshape(total, 3 * n)
+        grad["w"], grad["b"] = p["e"][ids].T @ flat, flat.sum(0)
+        order = np.argsort(ids.astype(np.uint16) if len(self.of) <= 1 << 16 else ids, kind="stable")
         at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grad["e"][ids[order[at]]] = np.add.reduceat(de[order], at)
+        grad["e"] = ids[order[at]], np.add.reduceat((flat @ p["w"].T)[order], at)
         return grad, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray, window: int = 64) -> np.ndarray:
@@ -331,25 +410,32 @@ class Network:
         for lo in range(0, len(order), self.how.scored_together):
             rows = order[lo : lo + self.how.scored_together]
             size, at = n[rows], first[rows]
+            # how many rows still have a symbol at each step
+            lives = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()
             h = np.zeros((len(rows), self.how.hidden), np.float32)
             last = np.zeros(len(rows), np.int64)
             total = np.zeros(len(rows))
-            for start in range(0, int(size[0]), window):
-                states, wants, owners = [], [], []
-                for j in range(start, min(start + window, int(size[0]))):
-                    live = int(np.searchsorted(-size, -j, side="left"))
-                    h = self.step(table[last[:live]], h[:live])[0]
-                    y = symbols[at[:live] + j]
-                    states.append(h)
-                    wants.append(y)
-                    owners.append(live)
-                    last = y
-                lp = self.log_p(np.concatenate(states), np.concatenate(wants))
-                total += np.bincount(np.concatenate([np.arange(o) for o in owners]), lp, minlength=len(rows))
+            states, wants, owners, held = [], [], [], 0
+            for j, live in enumerate(lives):
+                h = self.step(table[last[:live]], h[:live])[0]
+                last = symbols[at[:live] + j]
+                states.append(h)
+                wants.append(last)
+                owners.append(live)
+                held += live
+                if len(states) == window or held >= 1 << 14 or j + 1 == len(lives):
+                    lp = self.log_p(np.concatenate(states), np.concatenate(wants))
+                    done = 0
+                    for o in owners:
+                        total[:o] += lp[done : done + o]
+                        done += o
+                    states, wants, owners, held = [], [], [], 0
             out[rows] = total
         return out
 
 
+#: Rows whose class logits are in the processor's cache together.
+TOGETHER = 4096
 BLOCK = 1 << 16
 
 
@@ -428,9 +514,9 @@ def language_model(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.buffers(batch.column(0))
-            for lo, hi in tk.spans(offsets, 1 << 20):
-                h, shape, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                s = sent_words.value.look(h, shape)[1].astype(np.int32)
+            for lo, hi in tk.spans(offsets, SPAN):
+                h, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                s = sent_words.value.look(h)[1].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s)), batch.column(1).slice(lo, hi - lo)], names=["s", "id"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -445,12 +531,12 @@ def language_model(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         v, net = sent.value
         for batch in batches:
             data, offsets = tk.buffers(batch.column(0))
-            for lo, hi in tk.spans(offsets, 24 << 20):
+            for lo, hi in tk.spans(offsets, 12 << 20):
                 c_, s_, h_, n_ = [], [], [], []
-                for a, b in tk.spans(offsets[lo : hi + 1] - offsets[lo], 1 << 19):
+                for a, b in tk.spans(offsets[lo : hi + 1] - offsets[lo], SPAN):
                     a, b = a + lo, b + lo
-                    h, shape, first = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    c, s = v.look(h, shape)
+                    h, first = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    c, s = v.look(h)
                     c_.append(c), s_.append(s), h_.append(h), n_.append(np.diff(first))
                 c, s, h, n = (np.concatenate(x) for x in (c_, s_, h_, n_))
                 first = np.concatenate([[0], np.cumsum(n)])

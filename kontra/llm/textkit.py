@@ -16,11 +16,13 @@ import pyarrow as pa
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 2**64) for i in range(64)], dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER_CODE = BYTE_CODE[LOWER]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,12 +59,13 @@ def spans(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def powers(n: int, _kept: list = [np.ones(1, dtype=np.uint64)]) -> np.ndarray:  # noqa: B006
-    if len(_kept[0]) < n:
-        full = np.full(max(n, 4096), BASE, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = BASE, _kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """At least n powers of ``base``, from 1."""
+    if base not in _kept or len(_kept[base]) < n:
+        full = np.full(max(n, 4096), base, dtype=np.uint64)
         full[0] = 1
-        _kept[0] = np.multiply.accumulate(full)
-    return _kept[0]
+        _kept[base] = np.multiply.accumulate(full)
+    return _kept[base]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +85,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     lens = ends - starts
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64), starts, ends, np.zeros(len(offsets), dtype=np.int64)
-    first = np.cumsum(lens) - lens
-    letters = data[inside]
-    code = BYTE_CODE[LOWER[letters] if lower else letters]
-    at = np.arange(len(letters), dtype=np.int64) - np.repeat(first, lens)
-    h = np.add.reduceat(code * powers(int(lens.max()))[at], first)
+    # sum(code[i] * BASE**(i - start)) over a word is a difference of prefix sums, divided by BASE**start
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    code = (LOWER_CODE if lower else BYTE_CODE)[data]
+    code *= powers(n)[:n]
+    np.cumsum(code, out=sums[1:])
+    h = (sums[ends] - sums[starts]) * powers(n, BACK)[starts]
     return mix64(h + lens.astype(np.uint64)), starts, ends, np.searchsorted(starts, offsets)
 
 
