@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 class Scratch:
@@ -42,11 +43,30 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
-def if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> tuple[DataFrame, bool]:
-    """``df`` (a written table) marked for broadcast if its counted rows fit ``limit`` bytes, and whether they do."""
-    small = df.count() * row_bytes <= limit
+def if_small(df: DataFrame, row_bytes: int | None = None, limit: int = 32 << 20) -> tuple[DataFrame, bool]:
+    """``df`` (a written table) marked for broadcast if its rows fit ``limit`` bytes, and whether they do.
+
+    ``row_bytes`` is given for rows of fixed size; otherwise texts and arrays are measured, with 16 bytes a column.
+    """
+    if row_bytes is None:
+        sizes = [F.coalesce(size(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema.fields]
+        total = df.agg(F.sum(sum(sizes, F.lit(16 * len(sizes))).cast("bigint"))).first()[0] or 0
+    else:
+        total = df.count() * row_bytes
+    small = total <= limit
     return (F.broadcast(df) if small else df), small
 
 
+def size(c: Column, kind: DataType) -> Column:
+    """Bytes that a value takes beyond its slot."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.octet_length(c)
+    if isinstance(kind, ArrayType):
+        return F.size(c) * 8 if not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)) else F.aggregate(c, F.lit(0), lambda a, x: a + 16 + F.coalesce(size(x, kind.elementType), F.lit(0)))
+    if isinstance(kind, StructType):
+        return sum((F.coalesce(size(c[f.name], f.dataType), F.lit(0)) for f in kind.fields), F.lit(16 * len(kind.fields)))
+    return F.lit(0)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
