@@ -19,11 +19,14 @@ BITS, BLOCKS = 128, 16
 
 @dataclass(frozen=True)
 class Windows:
-    """Parameters.  Any fingerprint within ``radius`` of an item's has a block of 8 bits that differs in at most radius // 16."""
+    """Parameters.  Any fingerprint within ``radius`` of an item's has a block of 8 bits that differs in at most radius // 16.
+
+    A radius of 128 lets every fingerprint pass: then nothing but the exact similarity decides.
+    """
 
     k: int = 5
     threshold: float = 0.8
-    radius: int = 31
+    radius: int = 47
     bytes_per_pass: int = 16 << 20
 
 
@@ -150,9 +153,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     if fewer) has weighted Jaccard similarity of five-word shingle counts of 0.8 or more
     with it.  Words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased.  Items of
     one to four words take that many words as their only shingle; items and documents
-    without words match nothing.  Columns: doc_id, item_id, first_word (of the best
-    window, the first of equals), n_words, similarity.  Repeated rows give repeated
-    results; null ids are passed on.
+    without words match nothing; null texts are empty.  Columns: doc_id, item_id,
+    first_word (of the best window, the first of equals), n_words, similarity.  Repeated
+    rows give repeated results; null ids are passed on; further columns are not read.  Of
+    items with one id each is looked for.  An empty table of either kind gives no rows.
     """
     spark, out = docs.sparkSession, None
     kind, key = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType
@@ -176,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", how: Windows = Windows()) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; the rest are unchanged."""
+    """``docs`` without those that hold a benchmark item (see ``contaminated``); the rest are unchanged, whatever their columns, null and empty texts included."""
     names = docs.columns
     at = names.index(text)
     for items, _ in passes(benchmark, item_id, item_text, how):

@@ -63,3 +63,30 @@ def test_empty(spark):
     df, bench = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert contaminated(df, bench).count() == 0 and decontaminated(df, bench).count() == 1
     assert contaminated(df.limit(0), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
+
+
+def planted(r, size):
+    """An item and a document with the last words of a window replaced, as many as similarity 0.8 allows."""
+    item = ["%x" % r.getrandbits(40) for _ in range(size)]
+    m = max(x for x in range(size) if (size - 4 - x) * 5 >= (size - 4 + x) * 4)
+    return " ".join(item), " ".join(item[: size - m] + ["%x" % r.getrandbits(40) for _ in range(m + 30)])
+
+
+def test_windows_at_the_threshold_are_found(spark):
+    r = random.Random(4)
+    items, docs = zip(*[planted(r, size) for size in (13, 22, 40, 59, 59, 80) * 60], strict=True)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    for how in (Windows(), Windows(radius=128)):
+        assert sorted((x.doc_id, x.item_id) for x in contaminated(df, bench, how=how).collect()) == [(i, i) for i in range(len(items))]
+
+
+def test_nulls_repeats_and_long_texts(spark):
+    passage = " ".join("p%d" % i for i in range(40))
+    docs = [(None, passage, 1), (7, passage, 2), (7, passage, 2), (8, "w " * 30000 + passage.upper() + " w" * 30000, 3), (9, None, 4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int")
+    bench = spark.createDataFrame([(None, passage), (3, passage), (3, passage), (4, None)], "item_id bigint, text string")
+    got = sorted((x.doc_id or 0, x.item_id or 0, x.first_word) for x in contaminated(df, bench).collect())
+    assert got == sorted((d, i, 30000 if d == 8 else 0) for d in (0, 7, 7, 8) for i in (0, 3, 3))
+    kept = decontaminated(df, bench)
+    assert kept.columns == df.columns and [x.doc_id for x in kept.collect()] == [9]
