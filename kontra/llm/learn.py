@@ -24,6 +24,13 @@ def labelled(labels: DataFrame, target: str, parts: int, held: int, bound: int)
     return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, text: str, target: str, parts: int, held: int, bound: int) -> DataFrame:
+    """(t, y, id): the texts of ``labelled``; of documents with one id the least text, so that there are no more rows than ``bound``."""
+    few = labelled(labels, target, parts, held, bound).withColumnRenamed("doc_id", "id")
+    some = docs.select(F.col(text).alias("t"), F.col("doc_id").alias("id")).join(F.broadcast(few), "id")
+    return some.groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("t", "y", "id")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
