@@ -141,7 +141,9 @@ def _inputs(docs: DataFrame, text: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", target: str = "quality", parts: int = 5, held: int = 0, how: Machine = Machine()) -> Factors:
     """Fit on at most ``how.rows`` labelled documents (their features, not their texts, reach the driver)."""
     sample = labelled(labels, target, parts, held, how.rows).withColumnRenamed("doc_id", "id")
-    some = _inputs(docs, text).join(F.broadcast(sample), "id").select("t", "n", "y", "id")
+    # of documents with one id the least text is learnt from, so that no more rows than the bound reach the driver
+    some = _inputs(docs, text).join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.struct("t", "n")).alias("d"), F.first("y").alias("y"))
+    some = some.select("d.t", "d.n", "y", "id")
 
     def run(batches):
         for batch, lo, hi, (i, x, f) in _batches(batches, how):
@@ -180,7 +182,8 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", parts: int =
     n_chars (metadata; may be absent or null); labels, lang, source and doc_id are not.
     Null and empty texts get the score of a text without words.  Rows with a null doc_id
     are scored, never learnt from and not held out.  Without labels every score is 0.5.
-    Repeated rows are scored alike; further columns are not read.
+    Repeated rows are scored alike; further columns are not read.  An empty table gives an
+    empty one.
     """
     out = scored(docs, train(docs, labels, text, "quality", parts, held, how), text)
     return out.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score", "predicted")
