@@ -4,7 +4,8 @@ The join works on *units* (a whole document, or one line of it).  Units with equ
 normal form are one *class*, known by a 128-bit hash of that form.  Steps:
 
 1. one Arrow pass over the documents: classes and band keys of each unit;
-2. keys shared by two or more classes stay (a pre-aggregated count), and of keys
+2. keys shared by two or more classes stay (a pre-aggregated count of 64-bit
+   fingerprints), and of keys
    with the very same members only the first band's;
 3. a key with many or long members is cut into slices by hash (about ``slice_rows``
    of them or ``slice_values`` shingles), and
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -44,7 +46,7 @@ UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint>>", "array<ar
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters.  ``unit``: "text" or "line"; ``kind``: "words" or "chars" shingles of ``k``."""
+    """Parameters.  ``unit``: "text" or "line"; ``kind``: "words" or "chars" shingles of ``k``; ``passes``: in how many parts band keys are counted."""
 
     unit: str
     kind: str
@@ -55,6 +57,7 @@ class Join:
     tolerance: float = 1e-7
     slice_rows: int = 768
     slice_values: int = 1 << 20
+    passes: int = 1
 
     def hasher(self) -> tk.MinHash:
         return tk.MinHash(self.bands, self.rows)
@@ -166,14 +169,24 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
+def shared(unit: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
+    """Written table of the keys that two or more classes have; ``unit`` has fp1 and bands. Equal rows meet before the shuffle.
+
+    Bands are counted ``passes`` at a time, so that only a part of all keys lies on disk together.
+    """
+    step, out = -(-how.bands // how.passes), []
+    for lo in range(0, how.bands, step):
+        keyed = unit.select("fp1", F.explode(F.slice("bands", lo + 1, step)).alias("key"))
+        found = keyed.groupBy("key").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).where("lo != hi").select("key")
+        del keyed
+        out.append(scratch.save(found, f"live{lo}", release=True))
+    return reduce(DataFrame.unionByName, out)
+
+
 def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
     """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
     unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), F.col("units.n").alias("n"), "bands")).alias("u")).select("u.*")
-    # 2. keys of two or more classes; equal rows meet before the shuffle
-    keyed = unit.select(F.shiftrightunsigned("fp1", 33).cast("int").alias("f"), F.explode("bands").alias("key"))
-    live = scratch.save(keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo != hi").select("key"), "live", release=True)
-    del keyed
-    live, _ = if_small(live, 16)
+    live, _ = if_small(shared(unit, how, scratch), 16)
     members = unit.select("fp1", "fp2", "n", F.posexplode("bands").alias("band", "key")).join(live, "key", "left_semi").distinct()
     members = scratch.save(members, "members", release=True)
     sets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(20,0)")).alias("s"), F.bit_xor("fp2").alias("x"), F.sum("n").alias("v"))
@@ -195,7 +208,7 @@ def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Jo
     tiles = tiles.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     out = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, texts bigint, rows bigint"
     links = scratch.save(tiles.select("key", "ti", "tj", "right", "fp1", "fp2", "weight", "body").mapInArrow(Tiles(how), out), "links", release=True)
-    scratch.drop("placed", "bodies", "active", "buckets", "live")
+    scratch.drop("placed", "bodies", "active", "buckets", *[f"live{lo}" for lo in range(0, how.bands, -(-how.bands // how.passes))])
     node = F.struct(F.col("a1").alias("fp1"), F.col("a2").alias("fp2"))
     edges = links.where("b1 is not null").select(node.alias("a"), F.struct(F.col("b1").alias("fp1"), F.col("b2").alias("fp2")).alias("b"))
     roots = components(edges, scratch)

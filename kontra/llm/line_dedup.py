@@ -9,7 +9,7 @@ from kontra.llm.fuzzy import Join, annotate, near
 from kontra.llm.scratch import Scratch, if_small
 
 #: Miss rate at similarity 0.8 exactly: (1 - 0.8^4)^16 = 2e-4; at 0.85 it is 8e-6.
-DEFAULT = Join(unit="line", kind="chars", k=8, bands=16, rows=4)
+DEFAULT = Join(unit="line", kind="chars", k=8, bands=16, rows=4, passes=2)
 
 
 def _lines(text: str) -> Column:

@@ -3,7 +3,8 @@
 import random
 import re
 
-from kontra.llm.fuzzy import Join
+from kontra.llm.scratch import Scratch, if_small
+from kontra.llm.fuzzy import shared, Join
 from kontra.llm.ngram_join import ngram_join, one_per_group
 
 
@@ -90,3 +91,26 @@ def test_empty_slices_count_no_pair_again(spark):
     # two members of a long bucket make many slices, most of them empty
     rows = corpus(13, 12)
     assert result(spark, rows, how=Join(unit="text", kind="words", k=5, bands=30, rows=5, slice_values=60)) == brute(rows)
+
+
+def test_fingerprints_with_equal_upper_bits_are_two_classes(spark):
+    rows = [(5 << 20, [11, 22, 33]), ((5 << 20) + 1, [11, 24, 33]), (9, [12, 25, 35]), (9, [12, 25, 35]), (7, None)]
+    unit = spark.createDataFrame(rows, "fp1 bigint, bands array<bigint>")
+    for passes in (1, 2, 3):
+        how = Join(unit="text", kind="words", k=5, bands=3, rows=1, passes=passes)
+        assert sorted(r.key for r in shared(unit, how, Scratch(spark, "t")).collect()) == [11, 33]
+
+
+def test_small_is_measured(spark):
+    t = spark.createDataFrame([("x" * 1000, [1.0] * 100)] * 50, "a string, v array<double>")
+    assert if_small(t, limit=50 * 1900)[1] and not if_small(t, limit=50 * 1700)[1]
+    assert not if_small(t, 64, limit=100)[1]
+
+
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    from kontra.llm import fuzzy, ngram_join as module
+
+    never = lambda df, row_bytes=None, limit=0: (df, False)
+    monkeypatch.setattr(fuzzy, "if_small", never)
+    monkeypatch.setattr(module, "if_small", never)
+    test_same_as_brute_force(spark)
