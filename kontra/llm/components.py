@@ -47,4 +47,6 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", limit: int =
         found = found.join(best.select(F.col("node").alias("root"), F.col("to").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root"))
         if k % 4 == 0:
             found = scratch.save(found, f"{tag}-f{k}")
-    return scratch.save(found, f"{tag}-roots")
+    found = scratch.save(found, f"{tag}-roots")
+    scratch.drop(*[f"{tag}-{x}{k}" for k in range(len(steps) + 1) for x in "mef"])
+    return found

@@ -299,6 +299,7 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     told = scratch.save(told.select("label", "v", "root", "rep", (F.coalesce("rows", F.lit(0)) + F.col("weight") - 1).alias("links")), "told")
     least = told.groupBy("root").agg(F.min("rep").alias("component"))
     told = scratch.save(told.join(least, "root").select("label", "v", "links", "component"), "named")
+    scratch.drop("classes", "links", "told", "cc-roots")
     told, _ = if_small(told)
     out = plain.withColumn("key", F.when(good, F.col("v"))).join(told.withColumnRenamed("v", "key"), ["label", "key"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -77,6 +77,14 @@ def fold(units: Column, seed: int) -> Column:
     return F.aggregate(units, begin, step)
 
 
+def numbered(rows: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """Each row as many times as ``m`` says, numbered from 1 by ``dup``; a row that stands for many is dealt over tasks in chunks."""
+    few = rows.where(F.col("m") <= chunk).withColumn("dup", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    many = rows.where(F.col("m") > chunk).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / chunk)))).repartition("doc_id", "c")
+    many = many.withColumn("dup", F.explode(F.sequence(F.col("c") * chunk + 1, F.least("m", (F.col("c") + 1) * chunk)))).drop("c")
+    return few.unionByName(many)
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, fan: int = 64, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document.
 
@@ -100,7 +108,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.least(F.floor(rate), F.lit(int(most)))).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     units = counted.where("size > 0").join(goal.select(F.col("source").alias("s"), "sid", "p", F.ceil(F.col("n") / fan).alias("groups")).where("p > 0"), same(F.col("source"), F.col("s")))
-    units = units.withColumn("dup", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    units = numbered(units)
     key = F.xxhash64(F.col("doc_id").cast("string"), "size", "dup", F.lit(seed))
     unit = F.struct("size", key.alias("key"), "p", F.col("doc_id").cast("string").alias("id"), "dup")
     level = units.select("sid", "groups", unit.alias("u"))
@@ -121,7 +129,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
             break
     goal = goal.select("source", "source_size", "sid", "target", "whole", "p")
     # documents without a fraction to decide
-    plain = counted.join(goal.withColumnRenamed("source", "s"), same(F.col("source"), F.col("s"))).where("size = 0 or p = 0").withColumn("dup", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    plain = counted.join(goal.withColumnRenamed("source", "s"), same(F.col("source"), F.col("s"))).where("size = 0 or p = 0")
+    plain = numbered(plain)
     out = plain.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole")).cast("int").alias("copies"))
     for part in decided:
         part = part.join(goal, "sid").select(F.col("id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", (F.col("whole") + F.col("up")).cast("int").alias("copies"))

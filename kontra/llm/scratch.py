@@ -1,7 +1,7 @@
 """Tables between steps, in the folder that the cluster names in ``spark.checkpoint.dir``.
 
 A written table cuts lineage and survives lost executors.  Where the setting is
-absent (tests) a folder of the session's own is made and set.
+absent a local session gets a folder of its own; a cluster must name one that all share.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="kontra-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

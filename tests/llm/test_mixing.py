@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from kontra.llm.mixing import mix
+from kontra.llm.mixing import mix, numbered
 
 
 def goals(sizes):
@@ -53,3 +53,12 @@ def test_mix(spark):
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
     check(spark, [(1, None, "a"), (2, "", None)])
+
+
+def test_rows_that_stand_for_many_are_numbered_in_chunks(spark):
+    from kontra.llm.mixing import numbered
+
+    t = spark.createDataFrame([(1, 5), (2, 3), (None, 7)], "doc_id bigint, m bigint")
+    for chunk in (2, 3, 100):
+        got = sorted((r.doc_id or 0, r.dup) for r in numbered(t, chunk).collect())
+        assert got == sorted((d, k) for d, m in ((1, 5), (2, 3), (0, 7)) for k in range(1, m + 1))
