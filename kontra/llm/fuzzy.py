@@ -46,7 +46,7 @@ UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint>>", "array<ar
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters.  ``unit``: "text" or "line"; ``kind``: "words" or "chars" shingles of ``k``; ``passes``: in how many parts band keys are counted."""
+    """Parameters.  ``unit``: "text" or "line"; ``kind``: "words" or "chars" shingles of ``k``."""
 
     unit: str
     kind: str
@@ -57,7 +57,6 @@ class Join:
     tolerance: float = 1e-7
     slice_rows: int = 768
     slice_values: int = 1 << 20
-    passes: int = 1
 
     def hasher(self) -> tk.MinHash:
         return tk.MinHash(self.bands, self.rows)
@@ -169,24 +168,60 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def shared(unit: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
-    """Written table of the keys that two or more classes have; ``unit`` has fp1 and bands. Equal rows meet before the shuffle.
+#: Band keys that one task brings together.
+KEYS = 4 << 20
 
-    Bands are counted ``passes`` at a time, so that only a part of all keys lies on disk together.
+
+def ends(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, least and greatest fingerprint of each)."""
+    order = np.argsort(key)
+    key, fp = key[order], fp[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first)
+
+
+def shared(annotated: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
+    """Written table of the keys that two or more classes have.
+
+    Of each key in a batch the least and greatest fingerprint are sent on, so equal and
+    crowded units meet before the shuffle; they go as blocks of bytes, one for each range
+    of keys, not as rows.
     """
-    step, out = -(-how.bands // how.passes), []
-    for lo in range(0, how.bands, step):
-        keyed = unit.select("fp1", F.explode(F.slice("bands", lo + 1, step)).alias("key"))
-        found = keyed.groupBy("key").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).where("lo != hi").select("key")
-        del keyed
-        out.append(scratch.save(found, f"live{lo}", release=True))
-    return reduce(DataFrame.unionByName, out)
+    units = annotated.agg(F.sum(F.size("units"))).first()[0] or 0
+    parts = max(1, min(-(-units * how.bands // KEYS), 1 << 14))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1).flatten()
+            key = np.asarray(bands.flatten()).view(np.uint64)
+            if not len(key):
+                continue
+            fp = np.asarray(batch.column(0).flatten())[np.asarray(bands.value_lengths().fill_null(0)) > 0]
+            key, lo, hi = ends(key, np.repeat(fp, how.bands))
+            more = lo != hi
+            part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            p = np.concatenate([part, part[more]]).astype(np.int32)
+            order = np.argsort(p, kind="stable")
+            both = np.stack([np.concatenate([key.view(np.int64), key[more].view(np.int64)]), np.concatenate([lo, hi[more]])], 1)[order]
+            cut = np.searchsorted(p[order], np.arange(parts + 1))
+            has = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array([both[cut[i] : cut[i + 1]].tobytes() for i in has], pa.binary())], names=["p", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(b, np.int64).reshape(-1, 2) for batch in batches for b in batch.column(1).to_pylist()]
+        if held:
+            both = np.concatenate(held)
+            key, lo, hi = ends(both[:, 0], both[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo != hi])], names=["key"])
+
+    dealt = annotated.select(F.col("units.fp1").alias("fp1"), "bands").mapInArrow(deal, "p int, b binary").repartitionById(parts, "p")
+    return scratch.save(dealt.mapInArrow(meet, "key bigint"), "live", release=True)
 
 
 def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
     """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
     unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), F.col("units.n").alias("n"), "bands")).alias("u")).select("u.*")
-    live, _ = if_small(shared(unit, how, scratch), 16)
+    live, _ = if_small(shared(annotated, how, scratch), 16)
     members = unit.select("fp1", "fp2", "n", F.posexplode("bands").alias("band", "key")).join(live, "key", "left_semi").distinct()
     members = scratch.save(members, "members", release=True)
     sets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(20,0)")).alias("s"), F.bit_xor("fp2").alias("x"), F.sum("n").alias("v"))
@@ -208,7 +243,7 @@ def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Jo
     tiles = tiles.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     out = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, texts bigint, rows bigint"
     links = scratch.save(tiles.select("key", "ti", "tj", "right", "fp1", "fp2", "weight", "body").mapInArrow(Tiles(how), out), "links", release=True)
-    scratch.drop("placed", "bodies", "active", "buckets", *[f"live{lo}" for lo in range(0, how.bands, -(-how.bands // how.passes))])
+    scratch.drop("placed", "bodies", "active", "buckets", "live")
     node = F.struct(F.col("a1").alias("fp1"), F.col("a2").alias("fp2"))
     edges = links.where("b1 is not null").select(node.alias("a"), F.struct(F.col("b1").alias("fp1"), F.col("b2").alias("fp2")).alias("b"))
     roots = components(edges, scratch)

@@ -93,12 +93,17 @@ def test_empty_slices_count_no_pair_again(spark):
     assert result(spark, rows, how=Join(unit="text", kind="words", k=5, bands=30, rows=5, slice_values=60)) == brute(rows)
 
 
-def test_fingerprints_with_equal_upper_bits_are_two_classes(spark):
-    rows = [(5 << 20, [11, 22, 33]), ((5 << 20) + 1, [11, 24, 33]), (9, [12, 25, 35]), (9, [12, 25, 35]), (7, None)]
-    unit = spark.createDataFrame(rows, "fp1 bigint, bands array<bigint>")
-    for passes in (1, 2, 3):
-        how = Join(unit="text", kind="words", k=5, bands=3, rows=1, passes=passes)
-        assert sorted(r.key for r in shared(unit, how, Scratch(spark, "t")).collect()) == [11, 33]
+def test_fingerprints_with_equal_upper_bits_are_two_classes(spark, monkeypatch):
+    from kontra.llm import fuzzy
+
+    rows = [[(0, 5 << 20, 1, 1, [11, 22, 33]), (1, 9, 1, 1, [12, 25, 35]), (2, 9, 1, 1, [])], [(0, 77, 1, 1, []), (0, (5 << 20) + 1, 1, 1, [11, 24, 33])], [(0, 9, 1, 1, [12, 25, 35])], [], [(0, -(5 << 40), 1, 1, [-7, 24, -9])]]
+    data = [([u[:4] for u in r], [u[4] for u in r]) for r in rows]
+    table = spark.createDataFrame(data, f"units {fuzzy.UNIT}, bands {fuzzy.BANDS}").repartition(3)
+    how = Join(unit="text", kind="words", k=5, bands=3, rows=1)
+    for keys in (4 << 20, 2):
+        monkeypatch.setattr(fuzzy, "KEYS", keys)
+        assert sorted(r.key for r in shared(table, how, Scratch(spark, "t")).collect()) == [11, 24, 33]
+    assert shared(table.limit(0), how, Scratch(spark, "t")).count() == 0
 
 
 def test_small_is_measured(spark):
