@@ -41,7 +41,8 @@ from kontra.llm.scratch import Scratch, if_small
 #: Bytes handled at a time, so that a kernel's arrays stay in the processor's cache, rows of a small group,
 #: and bytes of text verified together.
 SPAN, SMALL, PART = 1 << 17, 8, 2 << 20
-UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint>>", "array<array<bigint>>"
+#: ``one``: the unit's band keys, 8 bytes each, stand in ``bands``, in the order of the units.
+UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint,one:boolean>>", "binary"
 
 
 @dataclass(frozen=True)
@@ -77,30 +78,37 @@ class Join:
         return s, first, (s[np.minimum(i + np.repeat(first[:-1], m), np.repeat(first[1:] - 1, m))], f)
 
 
+PLAIN = tk.LOWER.copy()
+PLAIN[tk.IS_SPACE] = 32
+
+
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased rows with runs of white space made one blank and none at the ends."""
     n = len(data)
     if n == 0:
         return data, offsets
     space = tk.IS_SPACE[data]
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    keep = ~space
-    # the last blank of a run stays, if a word of its row follows it and one stands before it
-    last = space[:-1] & keep[1:] & ~cut[1:-1]
-    begin = keep.copy()
-    begin[1:] &= space[:-1] | cut[1:-1]
-    begins = np.flatnonzero(begin)
-    if len(begins):
-        first = begins[np.minimum(np.searchsorted(begins, offsets[:-1]), len(begins) - 1)]
-        first = first[first > 0]
-        last[first[~cut[first]] - 1] = False
-    keep[:-1] |= last
-    out = tk.LOWER[data]
-    out[space] = 32
-    count = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(keep, out=count[1:])
-    return out[keep], count[offsets]
+    blank = np.flatnonzero(space)
+    # the last blank of a run stays, if a word of its row follows it ...
+    stays = np.append(~space, False)[blank + 1]
+    edge = offsets[1:-1][offsets[1:-1] < n]
+    at = np.searchsorted(blank, edge - 1)
+    hit = (at < len(blank)) & (edge > 0)
+    at, edge = at[hit], edge[hit]
+    stays[at[blank[at] == edge - 1]] = False
+    # ... and one stands before it
+    starts, stops = offsets[:-1], offsets[1:]
+    led = (starts < stops) & space[np.minimum(starts, n - 1)]
+    if led.any():
+        last = np.flatnonzero(stays)
+        k = np.searchsorted(blank[last], starts[led])
+        ok = k < len(last)
+        k, stop = last[k[ok]], stops[led][ok]
+        k = k[blank[k] < stop]
+        stays[k] = False
+    gone = blank[~stays]
+    out = PLAIN[data]
+    return (np.delete(out, gone) if len(gone) else out), offsets - np.searchsorted(gone, offsets)
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +157,11 @@ def annotate(docs: DataFrame, text: str, how: Join, scratch: Scratch, name: str)
         one[np.unique(np.stack([fp1, fp2], 1), axis=0, return_index=True)[1]] = True
         owner = np.searchsorted(first, unit, side="right") - 1
         n = np.bincount(owner, minlength=rows) if len(owner) else np.zeros(rows, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(one) * how.bands]), pa.int32()), pa.array(keys[one].ravel()))
-        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2), pa.array(values.astype(np.int64))], names=["pos", "fp1", "fp2", "n"])
-        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-        return [pa.ListArray.from_arrays(ends, inner), pa.ListArray.from_arrays(ends, bands)]
+        inner = pa.StructArray.from_arrays([pa.array((unit - first[owner]).astype(np.int32)), pa.array(fp1), pa.array(fp2), pa.array(values.astype(np.int64)), pa.array(one)], names=["pos", "fp1", "fp2", "n", "one"])
+        cut = np.concatenate([[0], np.cumsum(n)])
+        bytes_ = (8 * how.bands * np.concatenate([[0], np.cumsum(one)])[cut]).astype(np.int32)
+        bands = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(bytes_), pa.py_buffer(np.ascontiguousarray(keys[one]))])
+        return [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), inner), bands]
 
     return scratch.save(plain.mapInArrow(run, schema).withColumn("row_uid", F.monotonically_increasing_id()), name, release=True)
 
@@ -180,6 +189,15 @@ def ends(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return key[first], np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first)
 
 
+def banded(batch: pa.RecordBatch, bands: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of the units with band keys (given as columns of lists, the last one ``one``, then ``bands``), and their keys."""
+    one = np.asarray(batch.column(batch.num_columns - 2).flatten())
+    raw = pa.concat_arrays([batch.column(batch.num_columns - 1)])
+    at = np.frombuffer(raw.buffers()[1], np.int32)[: len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+    keys = np.frombuffer(raw.buffers()[2] or b"", np.int64)[at[0] // 8 : at[-1] // 8].reshape(-1, bands)
+    return [np.asarray(batch.column(i).flatten())[one] for i in range(batch.num_columns - 2)], keys
+
+
 def shared(annotated: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
     """Written table of the keys that two or more classes have.
 
@@ -192,12 +210,10 @@ def shared(annotated: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = batch.column(1).flatten()
-            key = np.asarray(bands.flatten()).view(np.uint64)
-            if not len(key):
+            (fp,), keys = banded(batch, how.bands)
+            if not len(keys):
                 continue
-            fp = np.asarray(batch.column(0).flatten())[np.asarray(bands.value_lengths().fill_null(0)) > 0]
-            key, lo, hi = ends(key, np.repeat(fp, how.bands))
+            key, lo, hi = ends(keys.ravel().view(np.uint64), np.repeat(fp, how.bands))
             more = lo != hi
             part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             p = np.concatenate([part, part[more]]).astype(np.int32)
@@ -214,15 +230,33 @@ def shared(annotated: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
             key, lo, hi = ends(both[:, 0], both[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(key[lo != hi])], names=["key"])
 
-    dealt = annotated.select(F.col("units.fp1").alias("fp1"), "bands").mapInArrow(deal, "p int, b binary").repartitionById(parts, "p")
+    dealt = annotated.select(F.col("units.fp1").alias("fp1"), F.col("units.one").alias("one"), "bands").mapInArrow(deal, "p int, b binary").repartitionById(parts, "p")
     return scratch.save(dealt.mapInArrow(meet, "key bigint"), "live", release=True)
 
 
 def near(annotated: DataFrame, bodies: Callable[[DataFrame], DataFrame], how: Join, scratch: Scratch) -> DataFrame:
     """``bodies`` gives (fp1, fp2, body) of every unit.  Written table of the classes with links: node struct<fp1,fp2>, root, n_texts, n_rows (links to other classes, and to their rows)."""
-    unit = annotated.select(F.explode(F.arrays_zip(F.col("units.fp1").alias("fp1"), F.col("units.fp2").alias("fp2"), F.col("units.n").alias("n"), "bands")).alias("u")).select("u.*")
-    live, _ = if_small(shared(annotated, how, scratch), 16)
-    members = unit.select("fp1", "fp2", "n", F.posexplode("bands").alias("band", "key")).join(live, "key", "left_semi").distinct()
+    # 2. keys of two or more classes, and their members
+    live = shared(annotated, how, scratch)
+    _, few = if_small(live, 16)
+    sent = annotated.sparkSession.sparkContext.broadcast(np.sort(np.asarray(live.toArrow()["key"])) if few else None)
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            columns, keys = banded(batch, how.bands)
+            if wanted is None:
+                hit = np.ones(keys.shape, dtype=bool)
+            elif len(wanted):
+                hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+            else:
+                continue
+            row, band = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[row]) for c in columns], pa.array(band.astype(np.int32)), pa.array(keys[row, band])], names=["fp1", "fp2", "n", "band", "key"])
+
+    held = annotated.select(*[F.col(f"units.{c}").alias(c) for c in ("fp1", "fp2", "n", "one")], "bands")
+    members = held.mapInArrow(holders, "fp1 bigint, fp2 bigint, n bigint, band int, key bigint")
+    members = (members if few else members.join(live, "key", "left_semi")).distinct()
     members = scratch.save(members, "members", release=True)
     sets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(20,0)")).alias("s"), F.bit_xor("fp2").alias("x"), F.sum("n").alias("v"))
     first = sets.where("n > 1").groupBy("n", "s", "x", "v").agg(F.min(F.struct("band", "key")).alias("b"))

@@ -117,11 +117,11 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(data) or data.max() < 0x80:
         return BYTE_CODE[data], offsets
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    follow = np.flatnonzero((data & 0xC0) == 0x80)
     code = BYTE_CODE[points & np.uint32(0xFF)]
     wide = np.flatnonzero(points > 0x7F)
     code[wide] = mix64(points[wide].astype(np.uint64) + BASE)
-    return code, leads[offsets]
+    return code, offsets - np.searchsorted(follow, offsets)
 
 
 def runs(codes: np.ndarray, k: int) -> np.ndarray:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from kontra.llm.scratch import Scratch, if_small
 from kontra.llm.fuzzy import shared, Join
 from kontra.llm.ngram_join import ngram_join, one_per_group
@@ -97,7 +99,7 @@ def test_fingerprints_with_equal_upper_bits_are_two_classes(spark, monkeypatch):
     from kontra.llm import fuzzy
 
     rows = [[(0, 5 << 20, 1, 1, [11, 22, 33]), (1, 9, 1, 1, [12, 25, 35]), (2, 9, 1, 1, [])], [(0, 77, 1, 1, []), (0, (5 << 20) + 1, 1, 1, [11, 24, 33])], [(0, 9, 1, 1, [12, 25, 35])], [], [(0, -(5 << 40), 1, 1, [-7, 24, -9])]]
-    data = [([u[:4] for u in r], [u[4] for u in r]) for r in rows]
+    data = [([(*u[:4], bool(u[4])) for u in r], np.array([k for u in r for k in u[4]], np.int64).tobytes()) for r in rows]
     table = spark.createDataFrame(data, f"units {fuzzy.UNIT}, bands {fuzzy.BANDS}").repartition(3)
     how = Join(unit="text", kind="words", k=5, bands=3, rows=1)
     for keys in (4 << 20, 2):
@@ -119,3 +121,17 @@ def test_beyond_the_broadcast_limit(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "if_small", never)
     monkeypatch.setattr(module, "if_small", never)
     test_same_as_brute_force(spark)
+
+
+def test_squeezed():
+    import re
+
+    from kontra.llm.fuzzy import squeezed
+
+    r = random.Random(3)
+    rows = ["".join(r.choice(" \t\n\rABcdé") for _ in range(r.randint(0, 9))) for _ in range(4000)]
+    raw = [x.encode() for x in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    data, at = squeezed(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    want = [re.sub(r"[ \t\n\r]+", " ", x).strip(" ").replace("A", "a").replace("B", "b") for x in rows]
+    assert [data[lo:hi].tobytes().decode() for lo, hi in zip(at[:-1], at[1:], strict=True)] == want
