@@ -39,8 +39,9 @@ def fisher(k: Column, study: Column, category: Column, universe: Column, side: s
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """ad / bc; null where bc is 0."""
-    return F.try_divide((a * d).cast("double"), F.nullif((b * c).cast("double"), F.lit(0.0)))
+    """ad / bc; where bc is 0, infinite, or NaN if ad is 0 too."""
+    top, bottom = (a * d).cast("double"), (b * c).cast("double")
+    return F.when(bottom != 0, F.try_divide(top, bottom)).otherwise(F.when(top > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: list[str], family: list[str] | None = None, name: str = "q") -> DataFrame:
@@ -62,11 +63,26 @@ def wilson(up: Column, n: Column, upper: bool) -> Column:
     return F.when(n > 0, 100 * (centre + half if upper else centre - half))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0: a series of positive terms below 2, a continued fraction beyond."""
+    steps = F.sequence(F.lit(0), F.lit(59))
+    pair = "struct<term:double,sum:double>"
+    begin = F.struct(x.cast("double").alias("term"), F.lit(0.0).alias("sum")).cast(pair)
+    series = F.aggregate(steps, begin, lambda a, n: F.struct((a.term * 2 * x * x / (2 * n + 3)).alias("term"), (a.sum + a.term).alias("sum")).cast(pair), lambda a: a.sum)
+    fraction = F.aggregate(steps, F.lit(1.0), lambda f, n: 1 + (60 - n) / (2 * x * x) / f)
+    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series).otherwise(F.exp(-x * x) / (F.greatest(x, F.lit(1.0)) * math.sqrt(math.pi) * fraction))
+
+
 def chi2_tail(x: Column, df: int) -> Column:
-    """P(chi-square > x) for an even number of degrees of freedom."""
-    if df % 2:
-        raise ValueError("the closed form needs an even number of degrees of freedom")
+    """P(chi-square > x): a finite sum, and for odd degrees of freedom the normal tail."""
     half = x / 2
+    if df % 2:
+        # each term is the one before by half / (i + 1/2)
+        term, total = F.sqrt(half) * (2 / math.sqrt(math.pi)), F.lit(0.0)
+        for i in range(1, (df + 1) // 2):
+            total = total + term
+            term = term * half / (i + 0.5)
+        return erfc(F.sqrt(half)) + F.exp(-half) * total
     total = F.lit(1.0)
     for i in range(1, df // 2):
         total = total + F.pow(half, F.lit(i)) / float(math.factorial(i))

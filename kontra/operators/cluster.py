@@ -81,7 +81,7 @@ def robust(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys in both, only in the first and only in the second table."""
     x, y = a.select(*keys), b.select(*keys)
     tag = lambda df, w: df.withColumn("found_in", F.lit(w))
-    return tag(x.intersect(y), "both").unionByName(tag(x.exceptAll(y), "first")).unionByName(tag(y.exceptAll(x), "second"))
+    return tag(x.intersect(y), "both").unionByName(tag(x.subtract(y), "first")).unionByName(tag(y.subtract(x), "second"))
 
 
 def squared_distance(x: Column, y: Column) -> Column:

@@ -55,15 +55,17 @@ def sensitivity(contrast: DataFrame, thresholds: list[float], n_conditions: int
     return each.groupBy("threshold").agg(F.count_if(F.expr("m > 0")).alias("union_size"), F.count_if(F.expr("m = 1")).alias("exactly_one"), F.count_if(F.col("m") == n_conditions).alias("all_conditions"))
 
 
-def exact_patterns(hits: DataFrame, names: list[str]) -> DataFrame:
-    """Entities by exact set of detecting conditions: label, degree, count.
+def exact_patterns(hits: DataFrame, names: list[str], universe: DataFrame | None = None) -> DataFrame:
+    """Entities by exact set of detecting conditions: label, degree, count; with ``universe`` also those of it under none.
 
     The set is a bit mask per entity, so the second aggregate has at most 2^10 groups.
     """
     masks = hits.groupBy("entity").agg(F.sum(F.expr("shiftleft(1, ord - 1)")).alias("mask"))
+    if universe is not None:
+        masks = universe.select("entity").distinct().join(masks, "entity", "left").fillna(0, ["mask"])
     by = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("gene_count"))
     active = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(names)]
-    return by.select(F.concat_ws(" & ", *active).alias("intersection"), F.bit_count("mask").alias("degree"), "gene_count")
+    return by.select(F.when(F.col("mask") == 0, "none").otherwise(F.concat_ws(" & ", *active)).alias("intersection"), F.bit_count("mask").alias("degree"), "gene_count")
 
 
 def unique_shared(hits: DataFrame) -> DataFrame:
@@ -129,19 +131,23 @@ def module_preference(cells: DataFrame) -> DataFrame:
 
 
 def contributions(contrast: DataFrame, hits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Thirteen measures of each module under each condition, with a 95 % interval of the share of ups."""
+    """Thirteen measures of each module under each condition, with a 95 % interval of the share of ups.
+
+    Effects, strength and core are those of the whole module, detected or not; a labelled
+    entity without a row under a condition counts as one that is not detected.
+    """
     hit = hits.select("entity", "condition", F.lit(True).alias("hit"))
-    t = labels.join(contrast, "entity").join(hit, ["entity", "condition"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    when = lambda c: F.when(F.col("hit"), c)
+    grid = labels.crossJoin(F.broadcast(contrast.select("condition").distinct()))
+    t = grid.join(contrast.select("entity", "condition", "effect"), ["entity", "condition"], "left").join(hit, ["entity", "condition"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     g = t.groupBy("condition", "module").agg(
         F.count(F.lit(1)).alias("module_entities"),
         F.count_if("hit").alias("detected"),
         F.count_if(F.col("hit") & (F.col("effect") > 0)).alias("up"),
         F.count_if(F.col("hit") & (F.col("effect") < 0)).alias("down"),
-        F.avg(when(F.col("effect"))).alias("mean_effect"),
-        F.percentile(when(F.col("effect")), 0.5).alias("median_effect"),
-        F.avg(when(F.col("strength"))).alias("mean_strength"),
-        F.count_if(F.col("hit") & (F.col("strength") >= 0.8)).alias("core"),
+        F.avg("effect").alias("mean_effect"),
+        F.percentile("effect", 0.5).alias("median_effect"),
+        F.avg("strength").alias("mean_strength"),
+        F.count_if(F.col("strength") >= 0.8).alias("core"),
     )
     n = F.col("detected")
     total = F.sum("detected").over(Window.partitionBy("condition"))

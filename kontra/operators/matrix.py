@@ -25,21 +25,27 @@ def top_n(contrast: DataFrame, n: int) -> DataFrame:
     return contrast.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).groupBy("entity").agg(F.count(F.lit(1)).alias("chosen_by"))
 
 
+def largest_significant(contrast: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Entities among some condition's n largest significant effects."""
+    order = Window.partitionBy("condition").orderBy(F.abs("effect").desc(), "entity")
+    return contrast.where(F.col("fdr") < threshold).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).select("entity").distinct()
+
+
 def zero_masked(contrast: DataFrame, threshold: float, n: int) -> DataFrame:
     """The audited legacy matrix: effects that are not significant become 0; entities are the union of
     each condition's n largest significant effects; values are percent ranks, standardised by row."""
     hit = F.col("fdr") < threshold
-    order = Window.partitionBy("condition").orderBy(F.abs("effect").desc(), "entity")
-    chosen = contrast.where(hit).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).select("entity").distinct()
+    chosen = largest_significant(contrast, threshold, n)
     kept = contrast.join(chosen, "entity", "left_semi").withColumn("masked", F.when(hit, F.col("effect")).otherwise(F.lit(0.0)))
     ranked = kept.withColumn("rank", average_rank_pct("masked", ["condition"]))
     return zscore(ranked, "rank")
 
 
-def mask_diagnostics(contrast: DataFrame, threshold: float) -> DataFrame:
-    """Per condition: share of rows forced to zero, of them with an effect, and the size of the tie at zero."""
+def mask_diagnostics(contrast: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Per condition, over the entities of ``zero_masked``: their number, the share forced to zero, of them with an effect, and the size of the tie at zero."""
     off = F.col("fdr") >= threshold
-    return contrast.groupBy("condition").agg(F.avg(off.cast("double")).alias("forced_zero"), F.count_if(off & (F.col("effect") != 0)).alias("nonzero_forced"), F.count_if(off | (F.col("effect") == 0)).alias("zero_tie"))
+    chosen = contrast.join(largest_significant(contrast, threshold, n), "entity", "left_semi")
+    return chosen.groupBy("condition").agg(F.count(F.lit(1)).alias("entities"), F.avg(off.cast("double")).alias("forced_zero"), F.count_if(off & (F.col("effect") != 0)).alias("nonzero_forced"), F.count_if(off | (F.col("effect") == 0)).alias("zero_tie"))
 
 
 def profile_mean(matrix: DataFrame, labels: DataFrame, value: str = "z") -> DataFrame:

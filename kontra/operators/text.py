@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kontra.functions.stats import keyed
 
+# fixed value: what a token is
 TOKEN = "[a-z0-9][a-z0-9_-]+"
 # fixed values: words that are not indexed
 STOP = ["the", "and", "for", "with", "from", "that", "this", "into", "are", "was", "what"]
@@ -35,8 +36,13 @@ def token_set(c: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)), F.array(*[F.lit(w) for w in STOP]))
 
 
-def document_frequency(chunked: DataFrame, text: str = "text") -> DataFrame:
-    return chunked.select(F.explode(token_set(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def chunk_tokens() -> Column:
+    """The tokens of a chunk are those of its heading and its text."""
+    return token_set(F.concat_ws(" ", "heading", "text"))
+
+
+def document_frequency(chunked: DataFrame) -> DataFrame:
+    return chunked.select(F.explode(chunk_tokens()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def retrieve(queries: DataFrame, chunked: DataFrame, k: int = 4, least: float = 0.08) -> DataFrame:
@@ -46,7 +52,7 @@ def retrieve(queries: DataFrame, chunked: DataFrame, k: int = 4, least: float =
     index is a join on tokens; a query's tokens go to the chunks, whose text does not move
     beyond its distinct tokens.
     """
-    d = chunked.select("chunk_id", token_set(F.col("text")).alias("ts")).withColumn("dn", F.greatest(F.size("ts"), F.lit(1)))
+    d = chunked.select("chunk_id", chunk_tokens().alias("ts")).withColumn("dn", F.greatest(F.size("ts"), F.lit(1)))
     q = queries.select("query_id", token_set(F.col("text")).alias("ts")).withColumn("qn", F.greatest(F.size("ts"), F.lit(1)))
     total = d.agg(F.count(F.lit(1)).alias("total"))
     want = q.select("query_id", "qn", F.explode("ts").alias("token"))

@@ -59,13 +59,17 @@ def fisher_sql(k: str, n: str, K: str, M: str, side: str = "two-sided") -> str:
     return f"least(1.0::DOUBLE, {FISHER_SQL.format(k=k, n=n, K=K, M=M, test=test)})"
 
 
+def odds_sql(top: str, bottom: str) -> str:
+    return f"CASE WHEN {bottom} <> 0 THEN ({top})::DOUBLE / ({bottom}) WHEN {top} > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END"
+
+
 def bh_sql(source: str, p: str, key: str, family: str = "", name: str = "q") -> str:
     part = f"PARTITION BY {family}" if family else ""
     return f"(SELECT * EXCLUDE (rn_, m_), least(1.0::DOUBLE, min({p} * m_ / rn_) OVER ({part} ORDER BY rn_ DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS {name} FROM (SELECT *, row_number() OVER ({part} ORDER BY {p}, {key}) AS rn_, count(*) OVER ({part}) AS m_ FROM {source}))"
 
 
 def q_families(spark, d):
-    t = contrasts(spark, d).where("p_value < 0.2")
+    t = contrasts(spark, d)
     return rounded(benjamini_hochberg(t.select("entity", "condition", "p_value"), "p_value", ["entity"], ["condition"]), 9)
 
 
@@ -93,6 +97,10 @@ QUERIES = {
         f"WITH {CONTRAST_SQL}, m AS (SELECT t AS threshold, entity, count(*) FILTER (fdr < t) AS m FROM contrast CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.05, 0.1]) AS t) GROUP BY ALL) SELECT threshold, count(*) FILTER (m > 0) AS union_size, count(*) FILTER (m = 1) AS exactly_one, count(*) FILTER (m = 10) AS all_conditions FROM m GROUP BY threshold",
     ),
     "exact_intersections": (_patterns(0), _patterns_sql("")),
+    "exact_intersections_all": (
+        lambda s, d: detect.exact_patterns(detect.detected(contrasts(s, d)), conditions(s, d), contrasts(s, d)),
+        f"WITH {CONTRAST_SQL}, m AS (SELECT entity, coalesce(string_agg(condition, ' & ' ORDER BY ord) FILTER (fdr < 0.05), 'none') AS intersection, (count(*) FILTER (fdr < 0.05))::INTEGER AS degree FROM contrast GROUP BY entity) SELECT intersection, degree, count(*) AS gene_count FROM m GROUP BY ALL",
+    ),
     "exact_intersections_up": (_patterns(1), _patterns_sql("AND effect > 0")),
     "exact_intersections_down": (_patterns(-1), _patterns_sql("AND effect < 0")),
     "unique_shared": (
@@ -109,13 +117,13 @@ QUERIES = {
 o AS (SELECT x.ord AS oa, y.ord AS ob, count(*) AS overlap, count(*) FILTER (sign(x.effect) = sign(y.effect)) AS agree FROM hits x JOIN hits y ON x.entity = y.entity AND x.ord < y.ord GROUP BY ALL),
 p AS (SELECT x.condition AS a, y.condition AS b, x.u AS u, x.n AS na, y.n AS nb, coalesce(overlap, 0) AS k, coalesce(agree, 0) AS agree FROM c x JOIN c y ON x.ord < y.ord LEFT JOIN o ON oa = x.ord AND ob = y.ord),
 t AS (SELECT a, b, k AS overlap, k / nullif(na + nb - k, 0)::DOUBLE AS jaccard, k / nullif(least(na, nb), 0)::DOUBLE AS overlap_coefficient, 100.0::DOUBLE * agree / nullif(k, 0) AS concordant_pct,
- (k * (u - na - nb + k))::DOUBLE / nullif((na - k) * (nb - k), 0) AS odds_ratio, {fisher_sql('k', 'na', 'nb', 'u', 'greater')} AS p_raw FROM p)
+ {odds_sql('k * (u - na - nb + k)', '(na - k) * (nb - k)')} AS odds_ratio, {fisher_sql('k', 'na', 'nb', 'u', 'greater')} AS p_raw FROM p)
 SELECT a, b, overlap, round(jaccard, 6) AS jaccard, round(overlap_coefficient, 6) AS overlap_coefficient, round(concordant_pct, 6) AS concordant_pct, round(odds_ratio, 6) AS odds_ratio, round(p_raw, 6) AS p_raw, round(q, 6) AS q FROM {bh_sql('t', 'p_raw', 'a, b')}""",
     ),
     "module_preference": (
         lambda s, d: rounded(detect.module_preference(cells(s, d))),
         f"""{cells_sql()}, t AS (SELECT condition, module, size, universe, observed, detected, expected, log2((observed + 0.5) / (expected + 0.5)) AS log2_ratio, (observed - expected) / sqrt(nullif(expected, 0)) AS pearson_residual,
- (observed * (universe - detected - size + observed))::DOUBLE / nullif((detected - observed) * (size - observed), 0) AS odds_ratio, {fisher_sql('observed', 'detected', 'size', 'universe')} AS p_raw FROM r)
+ {odds_sql('observed * (universe - detected - size + observed)', '(detected - observed) * (size - observed)')} AS odds_ratio, {fisher_sql('observed', 'detected', 'size', 'universe')} AS p_raw FROM r)
 SELECT condition, module, size, universe, observed, detected, round(expected, 6) AS expected, round(log2_ratio, 6) AS log2_ratio, round(pearson_residual, 6) AS pearson_residual, round(odds_ratio, 6) AS odds_ratio, round(p_raw, 6) AS p_raw, round(q, 6) AS q FROM {bh_sql('t', 'p_raw', 'condition, module')}""",
     ),
     "residual_observed_expected": (
@@ -124,14 +132,14 @@ SELECT condition, module, size, universe, observed, detected, round(expected, 6)
     ),
     "module_contributions": (
         lambda s, d: rounded(detect.contributions(contrasts(s, d), detect.detected(contrasts(s, d)), labels(contrasts(s, d)))),
-        f"""WITH {CONTRAST_SQL}, {LABELS_SQL}, t AS (SELECT *, fdr < 0.05 AS hit FROM labels JOIN contrast USING (entity)),
-g AS (SELECT condition, module, count(*) AS module_entities, count(*) FILTER (hit) AS detected, count(*) FILTER (hit AND effect > 0) AS up, count(*) FILTER (hit AND effect < 0) AS down, avg(effect) FILTER (hit) AS mean_effect, quantile_cont(effect, 0.5) FILTER (hit) AS median_effect, avg(strength) FILTER (hit) AS mean_strength, count(*) FILTER (hit AND strength >= 0.8) AS core FROM t GROUP BY ALL),
+        f"""WITH {CONTRAST_SQL}, {LABELS_SQL}, t AS (SELECT *, coalesce(fdr < 0.05, false) AS hit FROM labels CROSS JOIN (SELECT DISTINCT condition FROM contrast) LEFT JOIN contrast USING (entity, condition)),
+g AS (SELECT condition, module, count(*) AS module_entities, count(*) FILTER (hit) AS detected, count(*) FILTER (hit AND effect > 0) AS up, count(*) FILTER (hit AND effect < 0) AS down, avg(effect) AS mean_effect, quantile_cont(effect, 0.5) AS median_effect, avg(strength) AS mean_strength, count(*) FILTER (strength >= 0.8) AS core FROM t GROUP BY ALL),
 w AS (SELECT *, greatest(detected, 1)::DOUBLE AS m, up / greatest(detected, 1)::DOUBLE AS s, 1.959963984540054::DOUBLE AS z FROM g)
 SELECT condition, module, module_entities, detected, up, down, round(mean_effect, 6) AS mean_effect, round(median_effect, 6) AS median_effect, round(mean_strength, 6) AS mean_strength, core,
  round(100.0::DOUBLE * detected / module_entities, 6) AS pct_module_detected, round(100.0::DOUBLE * detected / nullif(sum(detected) OVER (PARTITION BY condition), 0)::DOUBLE, 6) AS pct_condition_in_module, round(100.0::DOUBLE * up / nullif(detected, 0), 6) AS pct_up,
  CASE WHEN detected > 0 THEN round(100 * ((s + z * z / (2 * m)) / (1 + z * z / m) - z * sqrt(s * (1 - s) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) END AS pct_up_low,
  CASE WHEN detected > 0 THEN round(100 * ((s + z * z / (2 * m)) / (1 + z * z / m) + z * sqrt(s * (1 - s) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) END AS pct_up_high FROM w""",
     ),
-    "bh_families": (q_families, f"WITH {CONTRAST_SQL}, t AS (SELECT entity, condition, p_value FROM contrast WHERE p_value < 0.2) SELECT entity, condition, round(p_value, 9) AS p_value, round(q, 9) AS q FROM {bh_sql('t', 'p_value', 'entity', 'condition')}"),
+    "bh_families": (q_families, f"WITH {CONTRAST_SQL}, t AS (SELECT entity, condition, p_value FROM contrast) SELECT entity, condition, round(p_value, 9) AS p_value, round(q, 9) AS q FROM {bh_sql('t', 'p_value', 'entity', 'condition')}"),
     "manifest": (lambda s, d: integrity.manifest(s, f"{d}/nation.parquet"), None),
 }

@@ -99,8 +99,8 @@ QUERIES = {
         f"WITH {CONTRAST_SQL}, ch AS (SELECT DISTINCT entity FROM (SELECT entity, row_number() OVER (PARTITION BY condition ORDER BY abs(effect) DESC, entity) AS rn FROM contrast WHERE fdr < 0.05) WHERE rn <= 300), m AS (SELECT entity, condition, CASE WHEN fdr < 0.05 THEN effect ELSE 0 END AS masked FROM contrast SEMI JOIN ch USING (entity)), r AS (SELECT entity, condition, {_avg_rank('masked', 'condition')} AS rk FROM m), q AS (SELECT entity, condition, rk, avg(rk) OVER w AS mu, stddev_pop(rk) OVER w AS sd FROM r WINDOW w AS (PARTITION BY entity)) SELECT entity, condition, round((rk - mu) / sd, 6) AS z FROM q WHERE sd > 1e-12",
     ),
     "legacy_mask_diagnostics": (
-        lambda s, d: rounded(matrix.mask_diagnostics(contrasts(s, d), 0.05)),
-        f"WITH {CONTRAST_SQL} SELECT condition, round(avg((fdr >= 0.05)::INT), 6) AS forced_zero, count(*) FILTER (fdr >= 0.05 AND effect <> 0) AS nonzero_forced, count(*) FILTER (fdr >= 0.05 OR effect = 0) AS zero_tie FROM contrast GROUP BY condition",
+        lambda s, d: rounded(matrix.mask_diagnostics(contrasts(s, d), 0.05, 300)),
+        f"WITH {CONTRAST_SQL}, ch AS (SELECT DISTINCT entity FROM (SELECT entity, row_number() OVER (PARTITION BY condition ORDER BY abs(effect) DESC, entity) AS rn FROM contrast WHERE fdr < 0.05) WHERE rn <= 300) SELECT condition, count(*) AS entities, round(avg((fdr >= 0.05)::INT), 6) AS forced_zero, count(*) FILTER (fdr >= 0.05 AND effect <> 0) AS nonzero_forced, count(*) FILTER (fdr >= 0.05 OR effect = 0) AS zero_tie FROM contrast SEMI JOIN ch USING (entity) GROUP BY condition",
     ),
     "module_profile_mean": (
         lambda s, d: rounded(matrix.profile_mean(z(s, d), labels(contrasts(s, d)))),

@@ -90,6 +90,7 @@ _TOK = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-
 _CHUNK = r"""trimmed AS (SELECT doc_id, text AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
 raw AS (SELECT doc_id, t, s, unnest(range(0, (length(s) + 1799) // 1800)) AS part FROM trimmed WHERE s <> ''),
 ch AS (SELECT doc_id, doc_id || ':0:' || part AS chunk_id, regexp_replace(substr(s, (part * 1800 + 1)::BIGINT, 1800), '^\s+|\s+$', '', 'g') AS text, regexp_replace(split_part(s, chr(10), 1), '^\s+|\s+$', '', 'g') AS heading, t FROM raw)"""
+_BOTH = "concat_ws(' ', heading, text)"
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _VOC = f"voc AS (SELECT w AS token, count(*) AS n, row_number() OVER (ORDER BY w) - 1 AS index FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w)"
 _SPLIT = r"""d0 AS (SELECT doc_id, lang, source, lang || ':' || source AS grp, lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS norm FROM documents),
@@ -117,10 +118,10 @@ SELECT request_id, intent, array_to_string(conds, ',') AS conditions, array_to_s
 
 QUERIES = {
     "chunk_documents": (lambda s, d: chunked(s, d).select("doc_id", "chunk_id", "heading", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "source_sha256"), f"WITH {_CHUNK} SELECT doc_id, chunk_id, heading, length(text)::INTEGER AS n_chars, md5(text) AS digest, sha256(t) AS source_sha256 FROM ch WHERE text <> ''"),
-    "token_df": (lambda s, d: text.document_frequency(chunked(s, d)), f"WITH {_CHUNK} SELECT token, count(*) AS df FROM (SELECT unnest({_TOK.format(c='text')}) AS token FROM ch WHERE text <> '') GROUP BY token"),
+    "token_df": (lambda s, d: text.document_frequency(chunked(s, d)), f"WITH {_CHUNK} SELECT token, count(*) AS df FROM (SELECT unnest({_TOK.format(c=_BOTH)}) AS token FROM ch WHERE text <> '') GROUP BY token"),
     "lexical_retrieval": (
         lambda s, d: text.retrieve(queries_of(s, d), chunked(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
-        f"""WITH {_CHUNK}, d AS (SELECT chunk_id, {_TOK.format(c='text')} AS ts FROM ch WHERE text <> ''), q AS (SELECT item_id AS query_id, {_TOK.format(c='text')} AS ts FROM benchmark),
+        f"""WITH {_CHUNK}, d AS (SELECT chunk_id, {_TOK.format(c=_BOTH)} AS ts FROM ch WHERE text <> ''), q AS (SELECT item_id AS query_id, {_TOK.format(c='text')} AS ts FROM benchmark),
 dt AS (SELECT chunk_id, greatest(len(ts), 1) AS dn, unnest(ts) AS token FROM d), qt AS (SELECT query_id, greatest(len(ts), 1) AS qn, unnest(ts) AS token FROM q), f AS (SELECT token, ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM dt GROUP BY token),
 s AS (SELECT query_id, chunk_id, round(sum(idf) / sqrt(any_value(qn) * any_value(dn)), 9) AS score FROM dt JOIN qt USING (token) JOIN f USING (token) GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s WHERE score >= 0.08) WHERE rank <= 4""",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kontra.operators import detect, integrity
+from kontra.operators import detect, integrity, matrix
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,33 @@ def test_pairs_and_cells(contrast):
         assert sum(r.observed for r in t if r.condition == c) == pytest.approx(sum(r.expected for r in t if r.condition == c))
     con = detect.contributions(contrast, hits, labels).collect()
     assert len({(r.condition, r.module) for r in con}) == len(con) == 50
-    assert all(r.core == r.detected and r.up + r.down == r.detected for r in con)
+    assert all(r.core == r.module_entities and r.up + r.down == r.detected for r in con)
+
+
+def test_contributions_are_of_the_whole_module(spark):
+    rows = [(1, "a", 2.0, 0.01), (2, "a", -1.0, 0.9), (3, "a", 6.0, 0.5), (1, "b", 1.0, 0.5), (2, "b", 1.0, 0.01)]
+    t = spark.createDataFrame(rows, "entity long, condition string, effect double, fdr double")
+    labels = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.5), (3, 0, 0.8), (4, 0, 0.2)], "entity long, module int, strength double")
+    got = {r.condition: r for r in detect.contributions(t, t.where("fdr < 0.05"), labels).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.module_entities, a.detected, a.up, a.core, b.module_entities, b.detected) == (4, 1, 1, 2, 4, 1)
+    assert (a.mean_effect, a.median_effect, a.mean_strength) == (pytest.approx(7 / 3), 2.0, pytest.approx(0.6))
+    assert b.mean_effect == 1.0 and a.pct_module_detected == 25.0
+
+
+def test_diagnostics_are_of_the_selected_entities(spark):
+    rows = [(1, "a", 2.0, 0.01), (2, "a", 1.0, 0.02), (3, "a", 9.0, 0.5), (1, "b", 0.0, 0.5), (2, "b", 5.0, 0.5), (3, "b", 4.0, 0.01)]
+    t = spark.createDataFrame(rows, "entity long, condition string, effect double, fdr double")
+    got = {r.condition: (r.entities, r.forced_zero, r.nonzero_forced, r.zero_tie) for r in matrix.mask_diagnostics(t, 0.05, 1).collect()}
+    assert got == {"a": (2, 0.5, 1, 1), "b": (2, 0.5, 0, 1)}
+
+
+def test_undetected_entities_are_a_pattern(contrast):
+    hits = detect.detected(contrast)
+    every = {r.intersection: r.gene_count for r in detect.exact_patterns(hits, NAMES, contrast).collect()}
+    some = {r.intersection: r.gene_count for r in detect.exact_patterns(hits, NAMES).collect()}
+    assert sum(every.values()) == contrast.select("entity").distinct().count()
+    assert {k: v for k, v in every.items() if k != "none"} == some
 
 
 def test_integrity(spark, contrast):

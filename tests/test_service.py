@@ -1,6 +1,7 @@
 """Plan, approve, execute: statuses, tampering, determinism; and text operators on inline rows."""
 
 import dataclasses
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,11 +83,16 @@ def test_chunks(spark):
 
 
 def test_retrieval_and_vectors(spark):
-    docs = spark.createDataFrame([("d1", "alpha beta gamma"), ("d2", "alpha delta"), ("d3", "the and for")], "chunk_id string, text string")
-    q = spark.createDataFrame([(1, "alpha beta"), (2, "the and")], "query_id int, text string")
+    docs = spark.createDataFrame([("d1", "Greek", "alpha beta gamma"), ("d2", "Greek", "alpha delta"), ("d3", "the", "the and for"), ("d4", "Omega notes", "alpha")], "chunk_id string, heading string, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "the and"), (3, "omega")], "query_id int, text string")
     got = text.retrieve(q, docs, 1).collect()
-    assert [(r.query_id, r.chunk_id) for r in got] == [(1, "d1")]
-    rows = docs.withColumnRenamed("chunk_id", "doc_id")
+    assert sorted((r.query_id, r.chunk_id) for r in got) == [(1, "d1"), (3, "d4")]
+    # five of four chunks plus one over one with the token plus one, by the root of one and three tokens
+    assert {r.chunk_id: r.score for r in got}["d4"] == round((math.log(5 / 2) + 1) / math.sqrt(3), 9)
+    # a later slice of a section has its heading's tokens too
+    long = text.chunks(spark.createDataFrame([(1, "# Zeta\n" + "word " * 30)], "doc_id int, text string"), size=40)
+    assert {r.token: r.df for r in text.document_frequency(long).collect()}["zeta"] == long.count() > 1
+    rows = docs.drop("heading").withColumnRenamed("chunk_id", "doc_id")
     v = text.vectors(rows, text.vocabulary(rows)).groupBy("doc_id").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-12 for r in v)
     voc = text.vocabulary(spark.createDataFrame([(1, "b a a c1 b")], "doc_id int, text string"), least=2).collect()

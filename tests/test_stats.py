@@ -18,7 +18,7 @@ def test_fisher_golden(spark):
     r = one(spark, p=stats.fisher(F.lit(1915), F.lit(9161), F.lit(1915), F.lit(10255)), q=stats.fisher(F.lit(79), F.lit(320), F.lit(105), F.lit(742)), o=stats.odds_ratio(F.lit(616), F.lit(8545), F.lit(880), F.lit(214)), none=stats.odds_ratio(F.lit(1), F.lit(0), F.lit(1), F.lit(1)))
     assert r.p == pytest.approx(5.5876e-105, rel=1e-4)
     assert r.q == pytest.approx(9.3478e-13, rel=1e-4)
-    assert r.o == pytest.approx(0.01753072, rel=1e-6) and r.none is None
+    assert r.o == pytest.approx(0.01753072, rel=1e-6) and r.none == math.inf
 
 
 def test_fisher_small_tables(spark):
@@ -51,8 +51,10 @@ def test_wilson_chi2_ari(spark):
     r = one(spark, lo=stats.wilson(F.lit(0), F.lit(1), False), hi=stats.wilson(F.lit(0), F.lit(1), True), none=stats.wilson(F.lit(0), F.lit(0), True), chi=stats.chi2_tail(F.lit(769.3421), 4))
     assert r.lo == pytest.approx(0, abs=1e-9) and r.hi == pytest.approx(79.345068562) and r.none is None
     assert r.chi == pytest.approx(3.355e-165, rel=1e-3)
-    with pytest.raises(ValueError):
-        stats.chi2_tail(F.lit(1.0), 9)
+    for df, x, p in ((9, 1.0, 0.999437), (9, 16.918977604620448, 0.05), (1, 3.841458820694124, 0.05), (3, 30.0, 1.3800570312932545e-06), (1, 0.0, 1.0), (5, 100.0, 5.285e-20)):
+        assert one(spark, v=stats.chi2_tail(F.lit(x), df)).v == pytest.approx(p, rel=1e-4 if p > 0.9 or p < 1e-9 else 1e-9)
+    for x in (0.0, 0.3, 1.0, 1.99, 2.0, 2.5, 5.0, 20.0):
+        assert one(spark, v=stats.erfc(F.lit(x))).v == pytest.approx(math.erfc(x), rel=1e-11)
     cells = spark.createDataFrame([(0, 0, 2), (1, 1, 1), (1, 2, 1)], "la int, lb int, n bigint")
     assert stats.adjusted_rand(cells, [], "la", "lb").first().ari == pytest.approx(4 / 7)
     same = spark.createDataFrame([(0, 0, 5)], "la int, lb int, n bigint")
