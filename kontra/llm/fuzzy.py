@@ -178,7 +178,7 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 #: Band keys that one task brings together.
-KEYS = 4 << 20
+KEYS = 1 << 20
 
 
 def ends(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -102,7 +102,7 @@ def test_fingerprints_with_equal_upper_bits_are_two_classes(spark, monkeypatch):
     data = [([(*u[:4], bool(u[4])) for u in r], np.array([k for u in r for k in u[4]], np.int64).tobytes()) for r in rows]
     table = spark.createDataFrame(data, f"units {fuzzy.UNIT}, bands {fuzzy.BANDS}").repartition(3)
     how = Join(unit="text", kind="words", k=5, bands=3, rows=1)
-    for keys in (4 << 20, 2):
+    for keys in (1 << 20, 2):
         monkeypatch.setattr(fuzzy, "KEYS", keys)
         assert sorted(r.key for r in shared(table, how, Scratch(spark, "t")).collect()) == [11, 24, 33]
     assert shared(table.limit(0), how, Scratch(spark, "t")).count() == 0
