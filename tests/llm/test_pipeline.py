@@ -79,3 +79,31 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder[0])
     assert {"doc_id", "size", "source_size", "target", "taken"} <= set(got.columns) and got.count() > 0
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_nulls_repeats_and_clashing_columns(spark, folder, tmp_path, keep):
+    """Each stage by itself, on rows that the planted corpus lacks and on an empty table."""
+    sf, items = folder
+    long = "\n".join("line %d of a very long text with words" % k for k in range(5000))
+    rows = [(None, None, None, None, None, 1), (None, "some words here", "en", None, 3, 2), (7, None, "en", "a", 0, 3), (8, "", "en", "a", 0, 4), (9, long, "en", "b", len(long), 5), (10, "one two three four five six", "en", "a", 27, 6), (10, "one two three four five six", "en", "a", 27, 6), (11, items[0][1], "en", "a", 9, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, units int")
+    docs = docs.withColumnRenamed("units", "row_uid") if keep else docs.limit(0).withColumnRenamed("units", "c1")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got[name] = out.collect()
+        if name != "source_mixing":
+            assert out.columns == docs.columns
+    if not keep:
+        assert not any(got.values())
+        return
+    ids = lambda name: sorted((r.doc_id or 0, r.text or "") for r in got[name])
+    every = sorted((r[0] or 0, r[1] or "") for r in rows)
+    want = [(d, n) for d, n, p in ((r.doc_id, r.text, r.predicted) for r in quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()) if p]
+    assert {x for x in ids("quality_classifier") if x[0]} == {(d, t or "") for d, t in want}
+    # of the repeated row's lines one is left, so the second row, then empty, goes; blank and null texts stay
+    assert ids("line_dedup") == sorted({*every})
+    assert ids("ngram_jaccard_join") == sorted({*every})
+    assert ids("benchmark_decontamination") == sorted(x for x in every if x[0] != 11)
+    assert sorted((r.doc_id or 0, r.size) for r in got["source_mixing"]) == sorted((d, len(t.split())) for d, t in every)
