@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of documents.
+columns of documents, whatever else they are called.  An empty table gives an empty one,
+a null text is an empty one that stays null, and a null doc_id is a document like others.
 """
 
 from __future__ import annotations
@@ -18,27 +19,30 @@ from kontra.llm.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score under 0.3) go."""
+    """Documents that the classifier rejects (score under 0.3) go; repeated rows fare alike, empty texts get a score too."""
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, exactly or nearly, go; so do documents of which nothing is left."""
+    """Lines that repeat an earlier one, exactly or nearly, go; so do documents of which nothing is left.
+
+    Of repeated rows one keeps its lines; blank lines, and texts that were blank or null before, stay.
+    """
     return deduplicated(docs)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the smallest doc_id, nulls last; texts without words are in no group."""
     return one_per_group(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; items without words are in none."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document, and its words."""
+    """How often the mix takes each document, and its words; a null source is one, the last, and empty texts take nothing."""
     return mix(docs)
 
 
