@@ -46,15 +46,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: What an entry of a table counts beside its characters, and the characters and entries that a table's share stands for.
+ENTRY, CHARACTERS = 16, 24
+
+
 class Counts(dict):
     """Tokens of a word with a blank before it, kept for words seen of late."""
 
     def __init__(self, model: Prefixes, most: int):
-        self.model, self.most = model, most
+        self.model, self.most, self.held = model, most, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
+        # words are bounded by their characters, so that long ones can't fill the worker
+        if self.held > CHARACTERS * self.most:
             self.clear()
+            self.held = 0
+        self.held += ENTRY + len(word)
         n = self[word] = self.model.plain(" " + word)
         return n
 
@@ -97,7 +104,7 @@ class Prefixes:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if special else None
         self.pairs: dict[int, bool] = {}
         self.tables: dict[str, bytes | tuple[int, ...]] = {}
-        self.kept = kept
+        self.kept, self.held = kept, 0
         self.after_blank = Counts(self, 2 * kept)
 
     def follows(self, a: bytes, b: bytes) -> bool:
@@ -157,8 +164,10 @@ class Prefixes:
             # cut inside, the mark and the letter are pieces of their own
             out[1] = self.table(piece[0])[0] + self.table(piece[1])[0]
         got = bytes(out) if max(out) < 256 else tuple(out)
-        if len(self.tables) >= self.kept:
+        if self.held > CHARACTERS * self.kept:
             self.tables.clear()
+            self.held = 0
+        self.held += ENTRY + len(piece)
         self.tables[piece] = got
         return got
 

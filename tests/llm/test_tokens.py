@@ -40,3 +40,17 @@ def test_query(spark):
             assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((t or "").encode()), n > 20)
             assert r.prefix_tokens[-1] == n and r.prefix_tokens[r.fit_chars] <= 20
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_tables_are_bounded_by_characters():
+    from kontra.llm.tokens import CHARACTERS, Prefixes
+
+    model, r = Prefixes(kept=400), random.Random(5)
+    longest = 6000
+    for k in range(60):
+        # a text without blanks, as of base64, then many short words
+        piece = "".join(r.choice("abcdefghijklmnop") for _ in range(longest))
+        text = piece + " " + " ".join("w%dx" % r.randrange(10**6) for _ in range(20))
+        assert model.count(text) == len(model.library.encode(text, add_special_tokens=False).ids)
+        for table, most in ((model.tables, model.kept), (model.after_blank, model.after_blank.most)):
+            assert sum(map(len, table)) <= CHARACTERS * most + longest + 1
