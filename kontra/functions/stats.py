@@ -31,11 +31,17 @@ def fisher(k: Column, study: Column, category: Column, universe: Column, side: s
     def log_p(j: Column) -> Column:
         return fixed - log_factorial(j) - log_factorial(category - j) - log_factorial(study - j) - log_factorial(universe - category - study + j)
 
-    if side == "greater":
-        return F.least(F.lit(1.0), F.aggregate(F.sequence(k, hi), F.lit(0.0), lambda a, j: a + F.exp(log_p(j))))
-    at = log_p(k) + 1e-7
-    terms = F.transform(F.sequence(lo, hi), log_p)
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(t <= at, F.exp(t)).otherwise(F.lit(0.0))))
+    first, at = (k, F.lit(1.0)) if side == "greater" else (lo, log_p(k) + 1e-7)
+    kind = "struct<t:double,s:double,at:double>"
+    begin = F.struct(log_p(first).alias("t"), F.lit(0.0).alias("s"), at.alias("at")).cast(kind)
+
+    def step(a: Column, j: Column) -> Column:
+        # the next term by its ratio to this one: one logarithm instead of four factorials
+        ratio = (category - j).cast("double") * (study - j) / ((j + 1).cast("double") * (universe - category - study + j + 1))
+        more = F.when(a["t"] <= a["at"], F.exp(a["t"])).otherwise(F.lit(0.0))
+        return F.struct((a["t"] + F.log(ratio)).alias("t"), (a["s"] + more).alias("s"), a["at"].alias("at")).cast(kind)
+
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(first, hi), begin, step, lambda a: a["s"]))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
