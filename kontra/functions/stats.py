@@ -131,3 +131,8 @@ def keyed(*parts: Column) -> Column:
 def draw(n: Column, *parts: Column) -> Column:
     """A reproducible integer in [0, n)."""
     return F.pmod(F.conv(F.substring(keyed(*parts), 1, 8), 16, 10).cast("bigint"), n)
+
+
+def display(c: str | Column, digits: int) -> Column:
+    """Rounded for a report, ties to the even digit."""
+    return F.bround(c, digits)

@@ -110,3 +110,16 @@ def lloyd(points: DataFrame, k: int, steps: int) -> DataFrame:
     for _ in range(steps):
         out = nearest(points, centroids(out, "label"))
     return out
+
+
+def blocks(labels: DataFrame) -> DataFrame:
+    """module, first, last, middle: the rows each module takes once entities stand in module order; counts only, no sort of entities."""
+    before = Window.orderBy("module").rowsBetween(Window.unboundedPreceding, -1)
+    n = labels.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    t = n.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return t.select("module", "first", (F.col("first") + F.col("n") - 1).alias("last"), (F.col("first") + F.col("n") / 2).alias("middle"))
+
+
+def with_selection(stability: DataFrame, selection: DataFrame, config: str) -> DataFrame:
+    """Every k of the stability sweep with the BIC that model selection (k, config, bic) gives that configuration, null if none."""
+    return stability.join(F.broadcast(selection.where(F.col("config") == config).select("k", "bic")), "k", "left")

@@ -64,9 +64,52 @@ def family(studies: DataFrame, population: DataFrame, full: DataFrame, least: in
     big = eligible(studies, back).where(F.col("mapped") >= least).select("study", "namespace", F.col("mapped").alias("study_n"))
     hits = studies.select("study", "entity").distinct().join(terms, "entity").groupBy("study", "namespace", "term").agg(F.count(F.lit(1)).alias("study_count"))
     t = F.broadcast(big).join(pop, "namespace").join(F.broadcast(pop_n), "namespace").join(hits, ["study", "namespace", "term"], "left").fillna(0, ["study_count"])
+    return _judged(t, ["study", "namespace", "term"])
+
+
+def _judged(t: DataFrame, key: list[str]) -> DataFrame:
     k, n, K, M = (F.col(c) for c in ("study_count", "study_n", "pop_count", "pop_n"))
     t = t.withColumn("p_raw", fisher(k, n, K, M)).withColumn("enrichment", F.when(k * M > K * n, "e").otherwise("p"))
-    return benjamini_hochberg(t, "p_raw", ["study", "namespace", "term"])
+    return benjamini_hochberg(t, "p_raw", key)
+
+
+def family_within(studies: DataFrame, population: DataFrame, full: DataFrame, least: int = 10) -> DataFrame:
+    """As ``family``, but each study (study, stratum, entity) has the background of its stratum (stratum, entity)."""
+    back = full.select("namespace", "entity").distinct().join(population.select("stratum", "entity").distinct(), "entity")
+    terms = full.join(back, ["namespace", "entity"])
+    at = ["stratum", "namespace"]
+    pop = terms.groupBy(*at, "term").agg(F.count(F.lit(1)).alias("pop_count"))
+    pop_n = back.groupBy(*at).agg(F.count(F.lit(1)).alias("pop_n"))
+    own = studies.select("study", "stratum", "entity").distinct()
+    big = own.join(back, ["stratum", "entity"]).groupBy("study", *at).agg(F.count(F.lit(1)).alias("study_n")).where(F.col("study_n") >= least)
+    hits = own.join(terms, ["stratum", "entity"]).groupBy("study", *at, "term").agg(F.count(F.lit(1)).alias("study_count"))
+    t = big.join(pop, at).join(pop_n, at).join(hits, ["study", *at, "term"], "left").fillna(0, ["study_count"])
+    return _judged(t, ["study", "namespace", "term"])
+
+
+def study_counts(shown: DataFrame, studies: DataFrame) -> DataFrame:
+    """condition, module, terms of every study named condition|Mk, 0 for those that show none."""
+    n = shown.groupBy("study").agg(F.count(F.lit(1)).alias("terms"))
+    t = studies.select("study").distinct().join(n, "study", "left").fillna(0, ["terms"])
+    part = F.split("study", r"\|")
+    return t.select(part[0].alias("condition"), F.substring(part[1], 2, 9).cast("int").alias("module"), "terms")
+
+
+def containing(rows: DataFrame, column: str, phrase: str) -> DataFrame:
+    """Rows whose text contains the phrase in any case; null contains nothing."""
+    return rows.where(F.coalesce(F.lower(column).contains(phrase.lower()), F.lit(False)))
+
+
+def side_by_side(single: DataFrame, consensus: DataFrame, tested_single: DataFrame, tested_consensus: DataFrame, cap: int) -> DataFrame:
+    """Per module of the consensus: its entities and best specific term in either labeling (entity, module; studies Mk)."""
+
+    def side(labels: DataFrame, tested: DataFrame, name: str) -> DataFrame:
+        size = labels.groupBy("module").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        best = best_specific(tested, cap).select(F.substring("study", 2, 9).cast("int").alias("module"), F.col("term").alias(f"top_{name}"))
+        return size.join(best, "module", "left").fillna("no specific term", [f"top_{name}"])
+
+    t = side(consensus, tested_consensus, "consensus").join(side(single, tested_single, "single"), "module", "left")
+    return t.fillna(0, ["n_single"]).fillna("no specific term", ["top_single"])
 
 
 def top_terms(tested: DataFrame, by: list[str], n: int, q: float = 0.05) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,15 @@ RULES: list[tuple[list[str], str, str]] = [
     (["prove", "causes", "causal", "guarantees"], ABSTAIN, "unsupported_claim"),
     (["retracted", "percent-per-module"], ABSTAIN, "retracted_method"),
 ]
+#: Words that together fall under the rule of the retracted method.
+TOGETHER = ["module", "correlation"]
 ID = r"#(\d+)"
 NAMED = r"\b\d-[a-z]+"
 THRESHOLD = r"(?:fdr|alpha)\s*(?:<|=|at)?\s*(0?\.\d+)"
 
 
-def _has(text: Column, words: list[str]) -> Column:
+def matches(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text on its own."""
     return text.rlike("(^|[^a-z0-9_])(" + "|".join(w.replace(".", r"\.") for w in words) + ")([^a-z0-9_]|$)")
 
 
@@ -42,7 +46,7 @@ def plan_table(requests: DataFrame, names: list[str], known: DataFrame) -> DataF
     ``known`` (entity) is joined on the ids that requests mention, never collected.
     """
     q = F.lower("question")
-    found = F.array_compact(F.array(*[F.when(_has(q, [c.lower()]), F.lit(c)) for c in names]))
+    found = F.array_compact(F.array(*[F.when(matches(q, [c.lower()]), F.lit(c)) for c in names]))
     heads = [c.lower().split(" ")[0] for c in names]
     threshold = F.regexp_extract(q, THRESHOLD, 1)
     t = requests.select("request_id", "question", q.alias("q"), found.alias("conditions"), F.array_distinct(F.regexp_extract_all("question", F.lit(ID), 1)).alias("ids"), F.when(threshold == "", F.lit(0.05)).otherwise(F.expr("try_cast(nullif(regexp_extract(lower(question), '" + THRESHOLD.replace("\\", "\\\\") + "', 1), '') as double)")).alias("threshold"))
@@ -52,15 +56,16 @@ def plan_table(requests: DataFrame, names: list[str], known: DataFrame) -> DataF
     q, n = F.col("q"), F.size("conditions")
     intent = (
         F.when(F.size("ids") > 0, LOOKUP)
-        .when(_has(q, ["terms", "ontology", "category"]), TERMS)
-        .when((n >= 2) & _has(q, ["compare", "similar", "shared", "pair"]), PAIR)
-        .when((n > 0) | _has(q, ["detections", "differential", "summary", "response"]), SUMMARY)
+        .when(matches(q, ["terms", "ontology", "category"]), TERMS)
+        .when((n >= 2) & matches(q, ["compare", "similar", "shared", "pair"]), PAIR)
+        .when((n > 0) | matches(q, ["detections", "differential", "summary", "response"]), SUMMARY)
     )
     unknown = F.size(F.array_except(F.regexp_extract_all("q", F.lit(NAMED), 0), F.array(*[F.lit(h) for h in heads]))) > 0
     t = t.withColumn("intent", intent)
     code = F.when(unknown, F.lit("unknown_condition"))
     for words, _, name in RULES:
-        code = code.when(_has(q, words), F.lit(name))
+        code = code.when(matches(q, words), F.lit(name))
+    code = code.when(matches(q, TOGETHER[:1]) & matches(q, TOGETHER[1:]), F.lit("retracted_method"))
     code = code.when(F.col("absent"), F.lit("unknown_id")).when(F.col("intent").isNull(), F.lit("ambiguous_request"))
     code = code.when((F.col("intent") == SUMMARY) & ~((F.col("threshold") > 0) & (F.col("threshold") <= MAX_THRESHOLD)), F.lit("invalid_threshold"))
     t = t.withColumn("code", code)
@@ -69,6 +74,53 @@ def plan_table(requests: DataFrame, names: list[str], known: DataFrame) -> DataF
     return t.select("request_id", "intent", "conditions", "ids", "threshold", status.alias("status"), F.coalesce("code", F.lit("ok")).alias("code"))
 
 
+def file_digest(path: Path) -> str:
+    """sha256 in blocks of one MiB; of a folder that of its files' names and digests."""
+    if path.is_dir():
+        each = [f"{f.relative_to(path)}:{file_digest(f)}" for f in sorted(path.rglob("*")) if f.is_file()]
+        return hashlib.sha256("\n".join(each).encode()).hexdigest()
+    h = hashlib.sha256()
+    with path.open("rb") as f:
+        while block := f.read(1 << 20):
+            h.update(block)
+    return h.hexdigest()
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """A file below the catalog's root, and the intents that may rest on it."""
+
+    source: str
+    intents: tuple[str, ...]
+
+
+class Catalog:
+    """Evidence by intent; digests are taken from the files each time they are asked for."""
+
+    def __init__(self, root: str, records: list[Evidence]):
+        self.root, self.records = Path(root).resolve(), list(records)
+
+    def path(self, source: str) -> Path:
+        at = (self.root / source).resolve()
+        if not at.is_relative_to(self.root):
+            raise ValueError(f"{source} lies outside the catalog")
+        return at
+
+    def retrieve(self, intent: str) -> tuple[tuple[str, str], ...]:
+        """(source, sha256) of the intent's evidence; a file that is not there is an error."""
+        wanted = [r.source for r in self.records if intent in r.intents]
+        gone = [w for w in wanted if not self.path(w).exists()]
+        if gone:
+            raise FileNotFoundError(f"evidence of {intent} is not there: {gone}")
+        return tuple(sorted((w, file_digest(self.path(w))) for w in wanted))
+
+    def verify(self, cited: tuple[tuple[str, str], ...]) -> None:
+        for source, sha in cited:
+            at = self.path(source)
+            if not at.exists() or file_digest(at) != sha:
+                raise ValueError(f"{source} has changed since the plan was made")
+
+
 @dataclass(frozen=True)
 class Plan:
     status: str
@@ -110,10 +162,10 @@ class Result:
 class Service:
     """Plans, checks approvals and runs the four allowed queries; every input has a digest."""
 
-    def __init__(self, spark: SparkSession, contrast: DataFrame, labels: DataFrame, tested: DataFrame, pairs: DataFrame, names: list[str], evidence: dict[str, str]):
+    def __init__(self, spark: SparkSession, contrast: DataFrame, labels: DataFrame, tested: DataFrame, pairs: DataFrame, names: list[str], catalog: Catalog):
         self.spark, self.names = spark, names
         self.contrast, self.labels, self.tested, self.pairs = contrast, labels, tested, pairs
-        self.evidence = dict(evidence)
+        self.catalog = catalog
 
     def health(self) -> dict[str, int]:
         row = self.contrast.agg(F.count_distinct("condition").alias("conditions"), F.count_distinct("entity").alias("entities")).first()
@@ -128,7 +180,7 @@ class Service:
         r = plan_table(one, self.names, self.contrast).first()
         if r["status"] != READY:
             return Plan(r["status"], r["intent"], code=r["code"])
-        return Plan(READY, r["intent"], tuple(r["conditions"]), tuple(int(i) for i in r["ids"]), r["threshold"], "ok", tuple(sorted(self.evidence.items())))
+        return Plan(READY, r["intent"], tuple(r["conditions"]), tuple(int(i) for i in r["ids"]), r["threshold"], "ok", self.catalog.retrieve(r["intent"]))
 
     def execute(self, plan: Plan, review: Review) -> Result:
         if plan.status != READY:
@@ -137,11 +189,7 @@ class Service:
             raise ValueError("the review did not approve this plan")
         if review.plan_digest != plan.digest():
             raise ValueError("the approval does not match the plan")
-        for source, sha in plan.evidence:
-            if ".." in source or source.startswith("/"):
-                raise ValueError("evidence outside the catalog")
-            if self.evidence.get(source) != sha:
-                raise ValueError(f"evidence changed after planning: {source}")
+        self.catalog.verify(plan.evidence)
         provenance = {s: {"sha256": h, "roles": ["planning_evidence", "result_input"]} for s, h in plan.evidence}
         run = json.dumps({"plan": plan.digest(), "inputs": {s: h for s, h in plan.evidence}}, sort_keys=True).encode()
         return Result(hashlib.sha256(run).hexdigest()[:20], plan.digest(), self.records(plan), provenance)
@@ -162,6 +210,11 @@ def lookup(labels: DataFrame, ids: list[int]) -> DataFrame:
     return labels.where(F.col("entity").isin(ids))
 
 
+def membership(assignment: DataFrame, strength: DataFrame, ids: list[str]) -> DataFrame:
+    """Assignments (id, module) of the wanted ids, in whatever case they are written, with their strength; null where there is none."""
+    return assignment.where(F.upper("id").isin([i.upper() for i in ids])).join(strength, "id", "left")
+
+
 def terms_per_module(tested: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("study").orderBy("q", "p_raw", "namespace", "term")
     return tested.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("study", "rank", "namespace", "term", "q")
@@ -172,3 +225,15 @@ def pair_lookup(pairs: DataFrame, wanted: list[str]) -> DataFrame:
     key = lambda a, b: F.array_sort(F.array(a, b))
     return pairs.where(key(F.col("a"), F.col("b")) == F.array(*[F.lit(c) for c in sorted(wanted)])) if len(wanted) == 2 else pairs.limit(0)
 
+
+
+def pair_label(a: Column, b: Column) -> Column:
+    return F.concat_ws("-", a, b)
+
+
+def labelled_pair(pairs: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows whose label (pair) is that of the two names in either order; names may hold hyphens themselves."""
+    if len(wanted) != 2:
+        return pairs.limit(0)
+    a, b = (F.lit(w) for w in wanted)
+    return pairs.where(F.col("pair").isin(pair_label(a, b), pair_label(b, a)))

@@ -92,7 +92,7 @@ def mixture_consensus(s, d):
 
 
 def bootstrap_stability(s, d):
-    """k, mean, sd, n: agreement of resampled fits with the fit of all rows, for each k."""
+    """k, mean, sd, n, bic: agreement of resampled fits with the fit of all rows, for each k, and that fit's BIC."""
     ks = range(3, 16)
     specs = [Spec(f"{k}|all", (1,) * k, i) for k in ks for i in range(STARTS)]
     specs += [Spec(f"{k}|{r}", (1,) * k, 100 + 5 * r + i, resample=r) for k in ks for r in range(15) for i in range(5)]
@@ -104,7 +104,9 @@ def bootstrap_stability(s, d):
             reference = subspace.assign(rows(s, d), [found[f"{k}|all"]]).select("entity", "label")
             out.append(cluster.agreement(subspace.assign(rows(s, d), boots), reference, ["run"]).select(F.lit(k).alias("k"), "ari"))
     t = reduce(DataFrame.unionByName, out) if out else s.createDataFrame([], "k int, ari double")
-    return t.groupBy("k").agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), F.count("ari").alias("n"))
+    t = t.groupBy("k").agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), F.count("ari").alias("n"))
+    whole = [(k, "lines", float(found[f"{k}|all"].bic)) for k in ks if f"{k}|all" in found]
+    return cluster.with_selection(t, s.createDataFrame(whole, "k int, config string, bic double"), "lines")
 
 
 def jackknife(s, d):

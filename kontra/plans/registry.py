@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["detection", "profiles", "clustering", "enrichment", "texts", "files"]
+AREAS = ["detection", "profiles", "clustering", "enrichment", "texts", "files", "studies"]
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

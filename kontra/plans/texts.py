@@ -10,7 +10,7 @@ from kontra.plans.enrichment import _MODULES, family_sql, tested
 from kontra.plans.profiles import _REAL, ratio
 from kontra.sources.tables import CONTRAST_SQL, conditions, contrasts, table
 
-_TEMPLATES = ["Summary of detections under {c} at fdr 0.05", "Compare {c} with {d}", "Which module has #{i}?", "Show terms for {c}", "Prove that {c} causes it", "Use Excel for {c}", "Detections under {c} with alpha = 0.5", "Compare 9-RUSH with {c}", "Please look deeper", "The page on {c}", "Mean age under {c}", "Use the retracted method on {c}"]
+_TEMPLATES = ["Summary of detections under {c} at fdr 0.05", "Compare {c} with {d}", "Which module has #{i}?", "Show terms for {c}", "Prove that {c} causes it", "Use Excel for {c}", "Detections under {c} with alpha = 0.5", "Compare 9-RUSH with {c}", "Please look deeper", "The page on {c}", "Mean age under {c}", "Use the retracted method on {c}", "Correlation of {c} with its module", "Data?"]
 
 
 def request_rows(names: list[str]) -> list[tuple[int, str]]:
@@ -46,7 +46,13 @@ def split_rows(s, d):
     docs = documents(s, d).select("doc_id", "lang", "source", text.normalized(F.col("text")).alias("norm"))
     docs = docs.withColumn("grp", F.concat_ws(":", "lang", "source"))
     groups = text.group_split(docs.select("lang", "grp").distinct(), ["lang"], "grp")
-    return docs.join(F.broadcast(groups.select("grp", "split")), "grp")
+    return docs.join(groups.select("grp", "split"), "grp")
+
+
+def leaky_rows(s, d):
+    """The split rows, and those of even doc_id once more as test rows: a leak that must be found."""
+    t = split_rows(s, d)
+    return t.unionByName(t.where("doc_id % 2 = 0").withColumn("split", F.lit("test")))
 
 
 def judged(s, d):
@@ -107,6 +113,7 @@ def _plan_sql() -> str:
     found = "list_filter([" + ", ".join(f"CASE WHEN {has([c.lower()])} THEN '{c}' END" for c in NAMES) + "], lambda x: x IS NOT NULL)"
     heads = "[" + ", ".join(f"'{c.lower().split(' ')[0]}'" for c in NAMES) + "]"
     rules = " ".join(f"WHEN {has(ws)} THEN '{code}'" for ws, _, code in service.RULES)
+    rules += f" WHEN {has(['module'])} AND {has(['correlation'])} THEN 'retracted_method'"
     return f"""WITH {CONTRAST_SQL}, rq(request_id, question) AS (VALUES {values}), a AS (SELECT request_id, question, lower(question) AS q FROM rq),
 b AS (SELECT *, {found} AS conds, list_distinct(regexp_extract_all(question, '#(\\d+)', 1)) AS ids, coalesce(TRY_CAST(nullif(regexp_extract(q, '(?:fdr|alpha)\\s*(?:<|=|at)?\\s*(0?\\.\\d+)', 1), '') AS DOUBLE), 0.05::DOUBLE) AS threshold FROM a),
 ab AS (SELECT request_id FROM (SELECT request_id, unnest(ids)::BIGINT AS e FROM b) u WHERE NOT EXISTS (SELECT 1 FROM contrast WHERE entity = e)),
@@ -132,7 +139,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_nu
         f"WITH {_VOC}, c AS (SELECT doc_id, index, count(*) AS c FROM (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) JOIN voc USING (token) WHERE n >= 5 GROUP BY ALL) SELECT doc_id, index, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM c",
     ),
     "group_split": (lambda s, d: split_rows(s, d).groupBy("lang", "grp", "split").agg(F.count(F.lit(1)).alias("rows")), f"WITH {_SPLIT} SELECT lang, grp, split, count(*) AS rows FROM d1 GROUP BY ALL"),
-    "leakage_groups": (lambda s, d: text.leakage(split_rows(s, d), "grp"), f"WITH {_SPLIT} {_LEAK.format(k='grp')}"),
+    "leakage_groups": (lambda s, d: text.leakage(leaky_rows(s, d), "grp"), f"WITH {_SPLIT.replace('d1 AS', 'd2 AS')}, d1 AS (SELECT * FROM d2 UNION ALL SELECT * REPLACE ('test' AS split) FROM d2 WHERE doc_id % 2 = 0) {_LEAK.format(k='grp')}"),
     "leakage_texts": (lambda s, d: text.leakage(split_rows(s, d), "norm"), f"WITH {_SPLIT} {_LEAK.format(k='norm')}"),
     "dedup_last_wins": (lambda s, d: text.last_wins(documents(s, d), "text", "doc_id"), "SELECT sha256(lower(trim(text, ' '))) AS fingerprint, max(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "generated_requests": (

@@ -12,12 +12,20 @@ NAMES = ["1-URGENT", "5-LOW", "BUILDING"]
 
 
 @pytest.fixture(scope="module")
-def svc(spark):
+def root(tmp_path_factory):
+    at = tmp_path_factory.mktemp("catalog")
+    (at / "contrast.csv").write_text("one")
+    (at / "notes.md").write_text("two")
+    return at
+
+
+@pytest.fixture(scope="module")
+def svc(spark, root):
     contrast = spark.createDataFrame([(e, c, 0.01 if e < 2 else 0.5, 1.0) for e in range(10) for c in NAMES], "entity bigint, condition string, fdr double, effect double")
     labels = spark.createDataFrame([(e, e % 2, 0.9) for e in range(10)], "entity bigint, module int, strength double")
     tested = spark.createDataFrame([("M0", "n", f"t{i}", i / 10, i / 20) for i in range(8)], "study string, namespace string, term string, q double, p_raw double")
     pairs = spark.createDataFrame([("1-URGENT", "5-LOW", 0.5)], "a string, b string, r double")
-    return service.Service(spark, contrast, labels, tested, pairs, NAMES, {"contrast.parquet": "ab" * 32})
+    return service.Service(spark, contrast, labels, tested, pairs, NAMES, service.Catalog(str(root), [service.Evidence("contrast.csv", (service.SUMMARY, service.PAIR, service.LOOKUP)), service.Evidence("notes.md", (service.SUMMARY, service.TERMS))]))
 
 
 @pytest.mark.parametrize(
@@ -33,6 +41,7 @@ def svc(spark):
         ("prove that BUILDING matters", service.ABSTAIN, "unsupported_claim"),
         ("9-RUSH counts", service.INCOMPATIBLE, "unknown_condition"),
         ("detections at fdr < 0.4 in BUILDING", service.ABSTAIN, "invalid_threshold"),
+        ("correlation of module profiles in BUILDING", service.ABSTAIN, "retracted_method"),
         ("hello", service.CLARIFY, "ambiguous_request"),
     ],
 )
@@ -55,9 +64,10 @@ def test_execution_and_tampering(svc):
     with pytest.raises(ValueError, match="ready"):
         svc.execute(svc.plan("hello"), ok)
     escaped = dataclasses.replace(p, evidence=(("../x", "ab" * 32),))
+    assert [e[0] for e in p.evidence] == ["contrast.csv", "notes.md"] and [e[0] for e in svc.plan("show terms").evidence] == ["notes.md"]
     with pytest.raises(ValueError, match="catalog"):
         svc.execute(escaped, service.Review("approved", escaped.digest()))
-    stale = dataclasses.replace(p, evidence=(("contrast.parquet", "cd" * 32),))
+    stale = dataclasses.replace(p, evidence=(("contrast.csv", "cd" * 32),))
     with pytest.raises(ValueError, match="changed"):
         svc.execute(stale, service.Review("approved", stale.digest()))
     with pytest.raises(ValueError):
@@ -67,6 +77,22 @@ def test_execution_and_tampering(svc):
     assert svc.health() == {"conditions": 3, "entities": 10} and svc.contract()["max_threshold"] == 0.1
 
 
+def test_evidence_is_hashed_again(svc, root):
+    p = svc.plan("Summary for BUILDING")
+    ok = service.Review("approved", p.digest())
+    svc.execute(p, ok)
+    try:
+        (root / "notes.md").write_text("changed")
+        with pytest.raises(ValueError, match="changed"):
+            svc.execute(p, ok)
+        (root / "notes.md").unlink()
+        with pytest.raises(FileNotFoundError):
+            svc.plan("Summary for BUILDING")
+    finally:
+        (root / "notes.md").write_text("two")
+    svc.execute(p, ok)
+
+
 def test_queries(svc):
     run = lambda q: svc.execute(p := svc.plan(q), service.Review("approved", p.digest())).records.collect()
     assert [r.entity for r in run("where is #3")] == [3]
