@@ -74,7 +74,7 @@ def assignment(s, d):
     return labels(contrasts(s, d)).select(F.concat(F.lit("Part"), F.col("entity").cast("string")).alias("id"), "module", "strength")
 
 
-WANTED = ["part3", "PART7", "pArt19", "Part42", "part77", "part1000000000"]
+WANTED = [("part", "PART", "pArt")[i % 3] + str(i) for i in range(1, 90)] + ["part1000000000"]
 
 
 def membership(s, d):
