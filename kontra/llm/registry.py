@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontra.llm import chat, embedding_dedup, ngram_join
+from kontra.llm import chat, embedding_dedup, merkle, ngram_join, vector_codes
 from kontra.llm.decontaminate import op9_query
 from kontra.llm.language_model import op8_query
 from kontra.llm.line_dedup import op4_query
 from kontra.llm.mixing import op7_query
+from kontra.llm.packing import op13_query
 from kontra.llm.quality import op6_query
 from kontra.llm.tokens import op2_query
 from kontra.llm.toxicity import op10_query
@@ -28,6 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_query,
         "op9_benchmark_decontamination": op9_query,
         "op10_toxicity": op10_query,
+        "op11_vector_codes": vector_codes.op11_query,
+        "op12_merkle_manifest": merkle.op12_query,
+        "op13_packing": op13_query,
     }
 
 
@@ -36,4 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_near_dedup": embedding_dedup.ORACLE,
         "op3_chat_formatting": chat.ORACLE,
         "op5_ngram_jaccard_join": ngram_join.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
+        "op12_merkle_manifest": merkle.ORACLE,
     }
