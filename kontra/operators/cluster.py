@@ -18,6 +18,20 @@ def agreement(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFr
     return adjusted_rand(contingency(a, b, by), by or [], "la", "lb")
 
 
+def pairwise_agreement(single: DataFrame, whole: DataFrame) -> DataFrame:
+    """variant_a, variant_b, shared, ari_single, ari_consensus of every two variants (variant, entity, label) on the entities that both have."""
+
+    def pairs(t: DataFrame) -> DataFrame:
+        a = t.select("entity", F.col("variant").alias("variant_a"), F.col("label").alias("la"))
+        b = t.select("entity", F.col("variant").alias("variant_b"), F.col("label").alias("lb"))
+        return a.join(b, "entity").where("variant_a < variant_b").groupBy("variant_a", "variant_b", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+
+    by, one, all_ = ["variant_a", "variant_b"], pairs(single), pairs(whole)
+    shared = one.groupBy(*by).agg(F.sum("n").alias("shared"))
+    a = adjusted_rand(one, by, "la", "lb").withColumnRenamed("ari", "ari_single")
+    return shared.join(a, by).join(adjusted_rand(all_, by, "la", "lb").withColumnRenamed("ari", "ari_consensus"), by)
+
+
 def best_assignment(weight: list[list[int]]) -> list[int]:
     """Column for each row of a small square table with the greatest sum; of equals the lexicographically least."""
     k = len(weight)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontra.functions.stats import average_rank_pct, benjamini_hochberg, chi2_tail, pearson
+from kontra.functions.ranks import average_rank_share
+from kontra.functions.stats import benjamini_hochberg, beta_tail, chi2_tail, pearson
 
 
 def zscore(matrix: DataFrame, value: str = "effect") -> DataFrame:
@@ -16,7 +17,7 @@ def zscore(matrix: DataFrame, value: str = "effect") -> DataFrame:
 
 
 def percent_rank_matrix(contrast: DataFrame) -> DataFrame:
-    return contrast.select("entity", "condition", average_rank_pct("effect", ["condition"]).alias("pct_rank"))
+    return average_rank_share(contrast.select("entity", "condition", "effect"), "effect", ["condition"], "pct_rank").select("entity", "condition", "pct_rank")
 
 
 def top_n(contrast: DataFrame, n: int) -> DataFrame:
@@ -37,8 +38,7 @@ def zero_masked(contrast: DataFrame, threshold: float, n: int) -> DataFrame:
     hit = F.col("fdr") < threshold
     chosen = largest_significant(contrast, threshold, n)
     kept = contrast.join(chosen, "entity", "left_semi").withColumn("masked", F.when(hit, F.col("effect")).otherwise(F.lit(0.0)))
-    ranked = kept.withColumn("rank", average_rank_pct("masked", ["condition"]))
-    return zscore(ranked, "rank")
+    return zscore(average_rank_share(kept, "masked", ["condition"], "rank"), "rank")
 
 
 def mask_diagnostics(contrast: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -75,11 +75,18 @@ def correlations(profile: DataFrame, value: str, by: list[str] | None = None) ->
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns: Pearson's of average ranks."""
-    t = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    t = t.withColumn("_g", F.lit(1))
-    t = t.withColumn("rx", average_rank_pct(x, ["_g"])).withColumn("ry", average_rank_pct(y, ["_g"]))
-    return t.groupBy().agg(pearson(F.col("rx"), F.col("ry")).alias("spearman"), F.count(F.lit(1)).alias("pairs"))
+    """spearman, pairs, p_value: Pearson's correlation of average ranks, and its two-sided p by Student's t.
+
+    t = r sqrt((n - 2) / (1 - r^2)) with n - 2 degrees of freedom; p is null below three pairs, and 0 where r is 1 or -1.
+    """
+    held = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")).persist()
+    t = average_rank_share(average_rank_share(held, "x", [], "rx"), "y", [], "ry")
+    # one row: the table that is ranked is read many times, and let go here
+    one = t.groupBy().agg(pearson(F.col("rx"), F.col("ry")).alias("r"), F.count(F.lit(1)).alias("pairs")).first()
+    held.unpersist()
+    t = pairs.sparkSession.createDataFrame([tuple(one)], "r double, pairs bigint")
+    r2 = F.least(F.col("r") * F.col("r"), F.lit(1.0))
+    return t.select(F.col("r").alias("spearman"), "pairs", F.when(F.col("pairs") > 2, beta_tail(1 - r2, F.col("pairs") - 2)).alias("p_value"))
 
 
 def uniformity(cells: DataFrame, modules: int) -> DataFrame:

@@ -9,11 +9,12 @@ from kontra.operators import service
 
 #: Requests shorter than this, blanks at the ends aside, say too little.
 SHORTEST = 12
+#: What ``Service.records`` runs for an intent, operation by operation.
 STEPS = {
-    service.LOOKUP: ["check ids", "join assignment and strength", "report membership with its strength"],
-    service.TERMS: ["choose the set", "take the mapped background", "correct over the declared family", "report terms"],
-    service.PAIR: ["load contrasts", "compute the corrected similarity", "compare with the null", "report over several k"],
-    service.SUMMARY: ["check the universe", "apply the threshold per condition", "count directions", "state the scope"],
+    service.LOOKUP: ["filter the labels by the entities named"],
+    service.TERMS: ["number each study's tested terms by q", "keep the first five of every study"],
+    service.PAIR: ["order the two names", "filter the stored correlations by that pair"],
+    service.SUMMARY: ["filter the long table by the conditions named", "count its rows, and those with fdr under the threshold, by condition"],
 }
 #: What a plan of an intent must be read with.
 WARNINGS = {
@@ -24,7 +25,8 @@ WARNINGS = {
 }
 #: Status of the planner -> status of a proposal.
 PROPOSED = {service.READY: "accepted", service.CLARIFY: "needs_clarification", service.INCOMPATIBLE: "incompatible", service.ABSTAIN: "abstain"}
-FORBIDDEN = ["proves that", "causes harm", "confirmed mechanism"]
+#: Claims that no answer from these tables supports.
+FORBIDDEN = ["demonstrates causation", "is the cause of", "beyond doubt"]
 
 
 def _lookup(names: dict, key: Column) -> Column:

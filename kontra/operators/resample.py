@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kontra.functions.ranks import numbered, numbered_by_key
 from kontra.functions.stats import adjusted_rand, draw, keyed, pearson
 
 
@@ -20,21 +23,17 @@ def shuffled_labels(labels: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, entity, module: the labels dealt anew over the entities, sizes preserved.
 
     Entities in md5 order take the labels in entity order, so a repetition is a
-    permutation; windows are per repetition.
+    permutation; neither order is taken in one task.
     """
-    numbered = labels.select("entity", "module").withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("entity")))
-    dealt = numbered.crossJoin(F.broadcast(reps))
-    order = Window.partitionBy("rep").orderBy(keyed(F.col("rep"), F.col("entity")), "entity")
-    dealt = dealt.withColumn("j", F.row_number().over(order))
+    dealt = numbered(labels.select("entity", "module"), [], [F.col("entity")], "i").crossJoin(F.broadcast(reps))
+    dealt = numbered_by_key(dealt.withColumn("_k", keyed(F.col("rep"), F.col("entity"))), ["rep"], "_k", [F.col("entity")], "j").drop("_k")
     return dealt.select("rep", "entity", F.col("j").alias("i")).join(dealt.select("rep", "i", "module"), ["rep", "i"]).select("rep", "entity", "module")
 
 
 def shuffled_columns(matrix: DataFrame, reps: DataFrame, value: str) -> DataFrame:
     """rep, entity, condition, value: each condition's values permuted over the entities on its own."""
-    base = Window.partitionBy("condition").orderBy("entity")
-    t = matrix.select("entity", "condition", value).withColumn("i", F.row_number().over(base)).crossJoin(F.broadcast(reps))
-    order = Window.partitionBy("rep", "condition").orderBy(keyed(F.col("rep"), F.col("condition"), F.col("entity")), "entity")
-    t = t.withColumn("j", F.row_number().over(order))
+    t = numbered(matrix.select("entity", "condition", value), ["condition"], [F.col("entity")], "i").crossJoin(F.broadcast(reps))
+    t = numbered_by_key(t.withColumn("_k", keyed(F.col("rep"), F.col("condition"), F.col("entity"))), ["rep", "condition"], "_k", [F.col("entity")], "j").drop("_k")
     return t.select("rep", "condition", "entity", F.col("j").alias("i")).join(t.select("rep", "condition", "i", value), ["rep", "condition", "i"]).select("rep", "entity", "condition", value)
 
 
@@ -67,9 +66,10 @@ def null_summary(null: DataFrame, value: str) -> DataFrame:
 
 def draws(entities: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, entity, copies: as many entities as there are, drawn with replacement in each repetition."""
-    e = entities.select("entity").withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("entity")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    taken = e.crossJoin(F.broadcast(reps)).select("rep", draw(F.col("n"), F.col("rep"), F.col("i")).alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("copies"))
-    return taken.join(e.select("i", "entity"), "i").select("rep", "entity", "copies")
+    e = numbered(entities.select("entity"), [], [F.col("entity")], "i").withColumn("i", F.col("i") - 1)
+    n = entities.agg(F.count(F.lit(1)).alias("n"))
+    taken = e.select("i").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(reps)).select("rep", draw(F.col("n"), F.col("rep"), F.col("i")).alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("copies"))
+    return taken.join(e, "i").select("rep", "entity", "copies")
 
 
 def bootstrap_ci(per_rep: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -93,16 +93,15 @@ def attribute_permutation(pairs: DataFrame, attributes: DataFrame, value: str, r
 
     pairs: a, b, value.  attributes: condition, attribute (one row for each condition).
     """
-    base = attributes.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("condition")))
-    t = base.crossJoin(F.broadcast(reps))
-    order = Window.partitionBy("rep").orderBy(keyed(F.col("rep"), F.col("condition")), "condition")
-    t = t.withColumn("j", F.row_number().over(order))
-    perm = t.select("rep", "condition", F.col("j").alias("i")).join(t.select("rep", "i", "attribute"), ["rep", "i"]).select("rep", "condition", "attribute")
-    real = attributes.select(F.lit(-1).alias("rep"), "condition", "attribute")
-    every = perm.unionByName(real)
-    left = every.select("rep", F.col("condition").alias("a"), F.col("attribute").alias("ta"))
-    right = every.select(F.col("rep").alias("r2"), F.col("condition").alias("b"), F.col("attribute").alias("tb"))
-    j = F.broadcast(pairs).join(left, "a").join(right, (F.col("rep") == F.col("r2")) & (right["b"] == pairs["b"])).drop(right["b"])
+    # a row for each condition, so one array holds them all: a repetition is a row, whatever the number of repetitions
+    held = attributes.groupBy().agg(F.array_sort(F.collect_list(F.struct("condition", "attribute"))).alias("own"))
+    order = lambda r: F.array_sort(F.transform("own", lambda x: F.struct(keyed(r, x.condition).alias("k"), x.condition.alias("condition"))))
+    deal = lambda r: F.map_from_arrays(F.transform(order(r), lambda x: x.condition), F.transform("own", lambda x: x.attribute))
+    plain = F.map_from_arrays(F.transform("own", lambda x: x.condition), F.transform("own", lambda x: x.attribute))
+    every = reps.select("rep").crossJoin(F.broadcast(held)).select("rep", deal(F.col("rep")).alias("of"))
+    every = every.unionByName(held.select(F.lit(-1).alias("rep"), plain.alias("of")))
+    j = every.crossJoin(F.broadcast(pairs.groupBy().agg(F.collect_list(F.struct("a", "b", F.col(value).alias("v"))).alias("ps"))))
+    j = j.select("rep", F.inline(F.transform("ps", lambda p: F.struct(F.element_at("of", p.a).alias("ta"), F.element_at("of", p.b).alias("tb"), p.v.alias(value)))))
     v, same = F.col(value), F.col("ta") == F.col("tb")
     gap = j.groupBy("rep").agg((F.avg(F.when(same, v)) - F.avg(F.when(~same, v))).alias("gap")).where("gap is not null")
     seen = gap.where("rep = -1").select(F.col("gap").alias("observed"))
@@ -114,9 +113,10 @@ def subsamples(entities: DataFrame, reps: DataFrame, fraction: float) -> DataFra
     """rep, entity: int(n * fraction) entities without replacement in each repetition."""
     if not 0.5 <= fraction < 1:
         raise ValueError("the fraction lies in [0.5, 1)")
-    t = entities.select("entity").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).crossJoin(F.broadcast(reps))
-    order = Window.partitionBy("rep").orderBy(keyed(F.col("rep"), F.col("entity")), "entity")
-    return t.withColumn("j", F.row_number().over(order)).where(F.col("j") <= F.floor(F.col("n") * fraction)).select("rep", "entity")
+    n = entities.agg(F.count(F.lit(1)).alias("n"))
+    t = entities.select("entity").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(reps)).withColumn("_k", keyed(F.col("rep"), F.col("entity")))
+    t = numbered_by_key(t, ["rep"], "_k", [F.col("entity")], "j")
+    return t.where(F.col("j") <= F.floor(F.col("n") * fraction)).select("rep", "entity")
 
 
 def stability(runs: DataFrame) -> DataFrame:
@@ -128,5 +128,18 @@ def stability(runs: DataFrame) -> DataFrame:
     return adjusted_rand(c, ["run_a", "run_b"], "la", "lb").join(shared, ["run_a", "run_b"])
 
 
+def bootstrap_ari(fit: Callable, assign: Callable, reps: int) -> DataFrame:
+    """mean, sd, n: agreement of models of resampled rows with the model of all rows, on all rows.
+
+    ``fit`` takes resamples (None: all rows) and gives a model for each, in the same
+    passes where it can; ``assign`` takes models and gives run, entity, label.
+    """
+    found = fit([None, *range(reps)])
+    boots = [found[r] for r in range(reps) if r in found]
+    reference = assign([found[None]]).select("entity", "label")
+    c = assign(boots).join(reference.withColumnRenamed("label", "lb"), "entity").groupBy("run", F.col("label").alias("la"), "lb").agg(F.count(F.lit(1)).alias("n"))
+    return adjusted_rand(c, ["run"], "la", "lb").agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("sd"), F.count("ari").alias("n"))
+
+
 def correlate(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(pearson(F.col(x), F.col(y)).alias("r"))

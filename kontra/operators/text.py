@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +17,30 @@ TOKEN = "[a-z0-9][a-z0-9_-]+"
 STOP = ["the", "and", "for", "with", "from", "that", "this", "into", "are", "was", "what"]
 
 
+# fixed values: where a section begins, a chunk's characters, and how many chunks of which score are retrieved
+HEADING, SIZE, BEST, LEAST = r"^#{1,6}\s+", 1800, 4, 0.08
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1800) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, dealt over the executors if their files give fewer tasks than there are cores, as one row group of texts does."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """Sections before headings, cut into slices: chunk_id (document:section:part), heading, text, source digest.
 
     Sections count from 0 with the piece before the first heading, also where it is empty.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    t = docs.select(F.col(doc_id).alias("doc_id"), body.alias("t"), F.posexplode(F.split(body, r"(?m)(?=^#{1,6}\s+)")).alias("pos", "raw"))
-    t = t.withColumn("section", F.col("pos") + F.col("t").rlike(r"^#{1,6}\s+").cast("int")).withColumn("s", stripped(F.col("raw"))).where("s != ''")
+    t = spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), body.alias("t"), F.posexplode(F.split(body, f"(?m)(?={HEADING})")).alias("pos", "raw"))
+    t = t.withColumn("section", F.col("pos") + F.col("t").rlike(HEADING).cast("int")).withColumn("s", stripped(F.col("raw"))).where("s != ''")
     first = F.split("s", "\n", 2)[0]
-    heading = stripped(F.regexp_replace(first, r"^#{1,6}\s+", ""))
+    heading = stripped(F.regexp_replace(first, HEADING, ""))
     t = t.select("doc_id", "section", "s", F.when(heading == "", "Introduction").otherwise(heading).alias("heading"), F.sha2("t", 256).alias("source_sha256"), F.posexplode(F.sequence(F.lit(1), F.length("s"), F.lit(size))).alias("part", "at"))
     t = t.withColumn("text", stripped(F.substring(F.col("s"), F.col("at"), F.lit(size)))).where("text != ''")
     return t.select("doc_id", F.concat_ws(":", "doc_id", "section", "part").alias("chunk_id"), "heading", "text", "source_sha256")
@@ -45,26 +59,96 @@ def document_frequency(chunked: DataFrame) -> DataFrame:
     return chunked.select(F.explode(chunk_tokens()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def retrieve(queries: DataFrame, chunked: DataFrame, k: int = 4, least: float = 0.08) -> DataFrame:
-    """The k best chunks of every query: (query_id, chunk_id, score), all queries in one job.
+def retrieve(queries: DataFrame, chunked: DataFrame, k: int = BEST, least: float = LEAST, limit: int = 32 << 20) -> DataFrame:
+    """The k best chunks of every query: (query_id, chunk_id, score, rank), all queries in one job.
 
-    score = sum over common tokens of (ln((N + 1) / (df + 1)) + 1) / sqrt(|q| |d|).  The
-    index is a join on tokens; a query's tokens go to the chunks, whose text does not move
-    beyond its distinct tokens.
+    score = sum over common tokens of (ln((N + 1) / (df + 1)) + 1) / sqrt(|q| |d|).  Where
+    the queries' tokens fit ``limit`` bytes, by count, they go to the executors: the
+    patterns run once, a chunk keeps its number of tokens and those that some query has,
+    and each task scores its chunks and keeps its k best of every query, so that no pair
+    of chunk and query is shuffled but those.  More queries meet the chunks in a join.
     """
-    d = chunked.select("chunk_id", chunk_tokens().alias("ts")).withColumn("dn", F.greatest(F.size("ts"), F.lit(1)))
     q = queries.select("query_id", token_set(F.col("text")).alias("ts")).withColumn("qn", F.greatest(F.size("ts"), F.lit(1)))
-    total = d.agg(F.count(F.lit(1)).alias("total"))
     want = q.select("query_id", "qn", F.explode("ts").alias("token"))
-    have = d.select("chunk_id", "dn", F.explode("ts").alias("token")).join(want.select("token").distinct(), "token", "left_semi")
-    df = have.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    want = want.join(df, "token").crossJoin(F.broadcast(total)).select("query_id", "qn", "token", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    s = have.join(want, "token").groupBy("query_id", "chunk_id", "qn", "dn").agg(F.sum("idf").alias("s"))
-    s = s.select("query_id", "chunk_id", F.round(F.col("s") / F.sqrt(F.col("qn") * F.col("dn")), 9).alias("score")).where(F.col("score") >= least)
+    d = chunked.select("chunk_id", chunk_tokens().alias("ts")).withColumn("dn", F.greatest(F.size("ts"), F.lit(1)))
+    if want.agg(F.coalesce(F.sum(F.length("token") + 128), F.lit(0))).first()[0] <= limit:
+        s = _best_of_tasks(d, want.toArrow(), queries.schema["query_id"].dataType.simpleString(), k, least)
+    else:
+        s = _joined(d, want, least)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _joined(d: DataFrame, want: DataFrame, least: float) -> DataFrame:
+    """(query_id, chunk_id, qn, dn, score) of every pair that shares a token."""
+    total = d.agg(F.count(F.lit(1)).alias("total"))
+    have = d.select("chunk_id", "dn", F.explode("ts").alias("token")).join(want.select("token").distinct(), "token", "left_semi")
+    df = have.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weights = want.join(df, "token").crossJoin(F.broadcast(total)).select("query_id", "qn", "token", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    s = have.join(weights, "token").groupBy("query_id", "chunk_id", "qn", "dn").agg(F.sum("idf").alias("s"))
+    return s.select("query_id", "chunk_id", F.round(F.col("s") / F.sqrt(F.col("qn") * F.col("dn")), 9).alias("score")).where(F.col("score") >= least)
+
+
+def _best_of_tasks(d: DataFrame, want: pa.Table, kind: str, k: int, least: float) -> DataFrame:
+    """(query_id, chunk_id, score): of each task its k best chunks of every query."""
+    context = d.sparkSession.sparkContext
+    ids = list(dict.fromkeys(want["query_id"].to_pylist()))
+    place = {q: i for i, q in enumerate(ids)}
+    size = np.ones(len(ids))
+    for q, n in zip(want["query_id"].to_pylist(), want["qn"].to_pylist(), strict=True):
+        size[place[q]] = n
+    tokens = {t: i for i, t in enumerate(sorted(set(want["token"].to_pylist())))}
+    token, query = np.array([tokens[t] for t in want["token"].to_pylist()], dtype=np.int64), np.array([place[q] for q in want["query_id"].to_pylist()], dtype=np.int64)
+    by = np.argsort(token, kind="stable")
+    of, first = query[by], np.searchsorted(token[by], np.arange(len(tokens) + 1))
+    known = context.broadcast(tokens)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = known.value.get
+        for batch in batches:
+            hits = [[i for i in map(at, ts) if i is not None] for ts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32()))], names=["chunk_id", "dn", "hits"])
+
+    hits = d.select("chunk_id", "dn", "ts").mapInArrow(number, "chunk_id string, dn int, hits array<int>").persist()
+    total = hits.count()
+    df = np.zeros(len(tokens))
+    for r in hits.select(F.explode("hits").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[r["t"]] = r["n"]
+    idf = np.log((total + 1) / (df + 1)) + 1
+    sent = context.broadcast((ids, of, first, idf, size))
+
+    def best_of(query: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((chunk, -score, query))
+        order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+        return query[order], score[order], chunk[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, of, first, idf, size = sent.value
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype="U1"))
+        at_once = max(1, (1 << 22) // max(1, len(ids)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                dn, lists = np.asarray(part.column(1)), part.column(2)
+                t, n = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+                rows = np.repeat(np.arange(len(dn)), n)
+                # every query that has the token
+                many = first[t + 1] - first[t]
+                pick = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)
+                cell = np.repeat(rows, many) * len(ids) + of[pick]
+                sums = np.bincount(cell, weights=np.repeat(idf[t], many), minlength=len(dn) * len(ids)).reshape(len(dn), len(ids)) if len(ids) else np.zeros((len(dn), 0))
+                score = np.round(sums / np.sqrt(dn[:, None] * size), 9)
+                r, query = np.nonzero((sums > 0) & (score >= least))
+                chunk = np.array(part.column(0).to_pylist())[r] if len(r) else best[2][:0]
+                best = best_of(*(np.concatenate(x) for x in zip(best, (query, score[r, query], chunk), strict=True)))
+        query, score, chunk = best
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query.tolist()], like), pa.array(chunk.tolist(), pa.string()), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    like = want.schema.field("query_id").type
+    return hits.mapInArrow(run, f"query_id {kind}, chunk_id string, score double")
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
@@ -146,17 +230,12 @@ def refusals(cases: DataFrame) -> DataFrame:
     return cases.agg(F.try_divide(both, F.nullif(F.count_if(refused), F.lit(0))).alias("precision"), F.try_divide(both, F.nullif(F.count_if(should), F.lit(0))).alias("recall"), F.avg((F.col("accepted") == F.col("expected")).cast("double")).alias("exact"))
 
 
-def perceptron(rows: DataFrame, hidden: int = 24, classes: int = 2, seed: int = 1):
-    """A one-hidden-layer classifier on unit-length counts of all words of the training texts: (fitted pipeline)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer
-
-    words = RegexTokenizer(inputCol="text", outputCol="w", gaps=False, pattern="[a-z0-9]+")
-    types = words.transform(rows).select(F.explode("w").alias("w")).distinct().count()
-    steps = [words, CountVectorizer(inputCol="w", outputCol="c", vocabSize=max(types, 1)), Normalizer(inputCol="c", outputCol="features")]
-    size = len(Pipeline(stages=steps[:2]).fit(rows).stages[1].vocabulary)
-    return Pipeline(stages=[*steps, MultilayerPerceptronClassifier(layers=[size, hidden, classes], labelCol="label", seed=seed, maxIter=40)]).fit(rows)
+def sparse_rows(docs: DataFrame, vocab: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, y, index, value: one row for each document, its counts over the vocabulary with unit length; without known words the lists are empty."""
+    v = vectors(docs, vocab, doc_id, text).groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), "value"))).alias("v"))
+    t = docs.select(F.col(doc_id), F.col(label).cast("int").alias("y")).join(v, doc_id, "left")
+    part = lambda name, kind: F.coalesce(F.transform("v", lambda x: x[name]), F.array().cast(kind)).alias(name)
+    return t.select(F.col(doc_id).alias("id"), "y", part("index", "array<int>"), part("value", "array<double>"))
 
 
 def scrub(c: Column, replacements: list[tuple[str, str]]) -> Column:

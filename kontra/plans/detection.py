@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kontra.functions.stats import benjamini_hochberg
+from kontra.functions.ranks import step_up
 from kontra.operators import detect, integrity
 from kontra.sources.tables import CELLS_SQL, CONTRAST_SQL, all_cells, conditions, contrasts, ordinals
 
@@ -70,7 +70,7 @@ def bh_sql(source: str, p: str, key: str, family: str = "", name: str = "q") ->
 
 def q_families(spark, d):
     t = contrasts(spark, d)
-    return rounded(benjamini_hochberg(t.select("entity", "condition", "p_value"), "p_value", ["entity"], ["condition"]), 9)
+    return rounded(step_up(t.select("entity", "condition", "p_value"), "p_value", ["condition"]).select("entity", "condition", "p_value", "q"), 9)
 
 
 QUERIES = {

@@ -117,7 +117,9 @@ QUERIES = {
     "profile_similarity": (lambda s, d: rounded(matrix.correlations(ratio(s, d), "log2_ratio")), f"{_REAL} SELECT a, b, round(pearson, 6) AS pearson, round(cosine, 6) AS cosine FROM cor"),
     "profile_spearman": (
         spearman,
-        f"{_REAL}, rr AS (SELECT 1 AS g, round(pearson, 9) AS p, round(cosine, 9) AS c FROM cor WHERE pearson IS NOT NULL AND cosine IS NOT NULL), k AS (SELECT {_avg_rank('p', 'g')} AS x, {_avg_rank('c', 'g')} AS y FROM rr) SELECT round({_CORR}, 6) AS spearman, count(*) AS pairs FROM k",
+        # the p value by Simpson's rule over the angle whose sine is the correlation
+        f"{_REAL}, rr AS (SELECT 1 AS g, round(pearson, 9) AS p, round(cosine, 9) AS c FROM cor WHERE pearson IS NOT NULL AND cosine IS NOT NULL), k AS (SELECT {_avg_rank('p', 'g')} AS x, {_avg_rank('c', 'g')} AS y FROM rr), sp AS (SELECT {_CORR} AS r, count(*) AS n FROM k), "
+        "an AS (SELECT *, asin(least(abs(r), 1)) AS t FROM sp) SELECT round(r, 6) AS spearman, n AS pairs, round(CASE WHEN n > 2 THEN 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - lgamma(0.5)) * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * cos(t * i / 4000.0) ^ (n - 3)) * t / 12000.0 FROM range(4001) a(i)) END, 6) AS p_value FROM an",
     ),
     "residual_chisq": (
         lambda s, d: rounded(matrix.uniformity(cells(s, d), 5)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kontra.operators import integrity, matrix, service, text
+from kontra.operators import perceptron as network
 from kontra.plans.detection import LABELS_SQL, labels, rounded
 from kontra.plans.enrichment import _MODULES, family_sql, tested
 from kontra.plans.profiles import _REAL, ratio
@@ -78,11 +79,16 @@ def generated(s, d):
 
 
 def perceptron(s, d):
-    rows = documents(s, d).select("doc_id", "text").join(table(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
+    """Metrics on the test fold of the classifier fitted to three folds, stopped by the fifth."""
+    rows = documents(s, d).select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    model = text.perceptron(rows.where(fold != 0))
-    t = model.transform(rows.where(fold == 0)).select(F.col("label").cast("int").alias("true"), F.col("prediction").cast("int").alias("pred"))
-    return text.class_metrics(text.confusion(t, [0, 1]))
+    train = rows.where(fold > 1)
+    vocab = text.vocabulary(train).persist()
+    sparse = lambda t: text.sparse_rows(t, vocab, "quality")
+    model = network.fit(sparse(train), sparse(rows.where(fold == 1)), vocab.count())
+    test = sparse(rows.where(fold == 0))
+    t = test.select("id", F.col("y").alias("true")).join(network.predict(test, model.network), "id").select("true", "pred")
+    return text.class_metrics(text.confusion(t, [0, 1])).withColumn("epochs", F.lit(model.epochs)).withColumn("parameters", F.lit(model.network.parameters))
 
 
 def audit(s, d):

@@ -45,7 +45,10 @@ def test_resampling_properties(spark):
     with pytest.raises(ValueError):
         resample.subsamples(labels, reps, 0.2)
     runs = sh.select(F.col("rep").alias("run"), "entity", F.col("module").alias("label"))
-    assert sorted(r.collect() is None for r in [resample.stability(runs)]) == [False]
+    agreed = {(r.run_a, r.run_b): r.ari for r in resample.stability(runs).collect()}
+    assert set(agreed) == {(0, 1), (0, 2), (1, 2)} and all(abs(a) < 0.3 for a in agreed.values())
+    same = runs.where("run = 0").unionByName(runs.where("run = 0").withColumn("run", F.lit(1)))
+    assert resample.stability(same).first().ari == 1.0
     m = spark.createDataFrame([(e, c, float(e)) for e in range(10) for c in "ab"], "entity bigint, condition string, v double")
     mixed = resample.shuffled_columns(m, reps, "v")
     assert mixed.count() == 60 and {r.s for r in mixed.groupBy("rep", "condition").agg(F.sum("v").alias("s")).collect()} == {45.0}
@@ -85,3 +88,93 @@ def test_lloyd_reduces_distance(spark, planted):
     pts = planted[0].select("id", "x")
     d = [cluster.lloyd(pts, 3, n).agg(F.sum("distance")).first()[0] for n in (0, 1, 3)]
     assert d[0] >= d[1] >= d[2]
+
+
+def test_passes_over_all_rows_reach_the_sample_fits_model(spark, planted):
+    """With a sample below the rows, EM goes on in distributed passes and comes to the same models."""
+    rows, truth = planted
+    specs = [Spec("lines", (1, 1, 1), s) for s in range(4)]
+    whole, passed = (subspace.best(subspace.fit(rows, specs, 60, 1e-4, sample_rows=n))["lines"] for n in (4000, 100))
+    assert not passed.whole and whole.whole and len(passed.history) > 0
+    assert passed.log_likelihood == pytest.approx(whole.log_likelihood, abs=0.05) and passed.rows == 450
+    assert cluster.agreement(subspace.assign(rows, [passed]).select("entity", "label"), truth).first().ari > 0.95
+
+
+def test_figures_belong_to_the_model_when_passes_run_out(spark, planted):
+    rows, _ = planted
+    for n in (100, 4000):
+        m = subspace.fit(rows, [Spec("lines", (1, 1, 1), 2)], 2, 1e-9, sample_rows=n)[0]
+        x = np.array([r.x for r in rows.collect()])
+        lp = m.log_density(x)
+        assert m.log_likelihood == pytest.approx(np.logaddexp.reduce(lp, axis=1).sum())
+
+
+@pytest.mark.parametrize("sample_rows", [4000, 100])
+def test_annealing(spark, planted, sample_rows):
+    rows, truth = planted
+    got = subspace.fit(rows, [Spec("a", (1, 1, 1), s, heat=subspace.ANNEALED) for s in range(3)], 60, 1e-3, sample_rows=sample_rows)
+    m = subspace.best(got)["a"]
+    assert all(x.beta == 1.0 for x in got)
+    plain = subspace.best(subspace.fit(rows, [Spec("p", (1, 1, 1), s) for s in range(3)], 60, 1e-3))["p"]
+    assert m.log_likelihood >= plain.log_likelihood - 1
+    assert cluster.agreement(subspace.assign(rows, [m]).select("entity", "label"), truth).first().ari > 0.95
+    with pytest.raises(ValueError):
+        Spec("x", (1,), heat=(0.5,))
+
+
+def test_softened_shares_are_powers_of_the_densities():
+    lp = np.log(np.array([[0.6, 0.3, 0.1], [0.2, 0.2, 0.6]]))
+    w = np.array([1.0, 2.0])
+    r, ll, _, soft = subspace._shares(lp, w, 0.5)
+    p = np.exp(lp) ** 0.5
+    assert np.allclose(r, p / p.sum(1, keepdims=True) * w[:, None]) and ll == pytest.approx(0.0)
+    assert soft == pytest.approx((w * np.log(p.sum(1)) / 0.5).sum())
+
+
+def test_starts_that_meet_are_fitted_once(spark, planted, monkeypatch):
+    rows, _ = planted
+    sizes, real = [], subspace._pass
+    monkeypatch.setattr(subspace, "_pass", lambda r, models: sizes.append(len(models)) or real(r, models))
+    got = subspace.fit(rows, [Spec("lines", (1, 1, 1), 3) for _ in range(4)], 60, 1e-6, sample_rows=100)
+    assert sizes[0] == 4 and sizes[1] == 1 and len({m.log_likelihood for m in got}) == 1 and len(got) == 4
+
+
+@pytest.mark.parametrize("sample_rows", [4000, 100])
+def test_kmeans_in_the_same_passes(spark, planted, sample_rows):
+    rows, _ = planted
+    specs = [Spec("means", (0, 0, 0), s, hard=True) for s in range(3)]
+    m = subspace.best(subspace.fit(rows, specs, 60, 1e-9, sample_rows=sample_rows))["means"]
+    x = np.array([r.x for r in rows.collect()])
+    d = ((x[:, None] - m.mean) ** 2).sum(2)
+    assert -2 * m.log_likelihood == pytest.approx(d.min(1).sum())
+    for j in range(3):
+        assert np.allclose(x[d.argmin(1) == j].mean(0), m.mean[j], atol=1e-6)
+    label = {r.entity: r.label for r in subspace.assign(rows, [m]).collect()}
+    assert [label[r.id] for r in rows.collect()] == d.argmin(1).tolist()
+
+
+def test_bootstrap_protocol(spark, planted):
+    rows, _ = planted
+    asked = []
+
+    def fit(resamples):
+        asked.append(list(resamples))
+        specs = [Spec(str(r), (1, 1, 1), s, resample=r) for r in resamples for s in range(3)]
+        return {None if n == "None" else int(n): m for n, m in subspace.best(subspace.fit(rows, specs, 40)).items()}
+
+    r = resample.bootstrap_ari(fit, lambda models: subspace.assign(rows, models), 3).first()
+    assert asked == [[None, 0, 1, 2]] and r.n == 3 and r["mean"] > 0.9 and r.sd < 0.1
+
+
+def test_two_passes_of_points(spark, planted):
+    rows, _ = planted
+    x = np.array([r.x for r in rows.collect()])
+    none = np.zeros((6, 0))
+    start = subspace.Model(Spec("p", (0, 0)), np.full(2, 0.5), x[:2].copy(), [none] * 2, [np.zeros(0)] * 2, np.ones(2))
+    (a,), (b,) = subspace.steps(rows, [start], 1)
+    lp = np.log(0.5) - 3 * np.log(2 * np.pi) - ((x[:, None] - x[:2]) ** 2).sum(2) / 2
+    r = np.exp(lp - np.logaddexp.reduce(lp, axis=1)[:, None])
+    mean = r.T @ x / r.sum(0)[:, None]
+    assert a.log_likelihood == pytest.approx(np.logaddexp.reduce(lp, axis=1).sum()) and np.allclose(b.mean, mean) and np.allclose(b.weight, r.sum(0) / 450)
+    noise = (r * ((x[:, None] - mean) ** 2).sum(2)).sum(0) / r.sum(0) / 6
+    assert np.allclose(b.noise, noise) and b.log_likelihood > a.log_likelihood

@@ -47,6 +47,28 @@ def test_sweeps(spark, monkeypatch):
     assert passes == 100 and len(specs) == 11 * 10 * 15
 
 
+def test_comparisons(spark, monkeypatch):
+    specs, passes = asked(monkeypatch, "em_configurations", spark)
+    assert passes == 150 and len(specs) == 5 * (20 + 50 + 20) and sum(s.heat != (1.0,) for s in specs) == 100 and len({(s.name, s.seed) for s in specs}) == len(specs)
+    specs, passes = asked(monkeypatch, "heterogeneous_dimensions", spark)
+    assert passes == 150 and {(1,) * 6, (2, 1, 1, 1, 1, 1), (2, 1, 1, 1, 1)} < {s.latent for s in specs} and len(specs) == 6 * 15
+    specs, passes = asked(monkeypatch, "kmeans_baseline", spark)
+    assert all(s.hard for s in specs) and len(specs) == 16 * 10
+    specs, passes = asked(monkeypatch, "cross_strategy_ari", spark)
+    assert len(specs) == 3 * 30 * 20 and {s.group for s in specs} == {0, 1, 2}
+    specs, passes = asked(monkeypatch, "subspace_mixture", spark)
+    assert passes == 100 and {s.name for s in specs} == {"lines"}
+
+
+def test_the_best_start_is_returned(spark, monkeypatch):
+    kept, fit = [], subspace.fit
+    monkeypatch.setattr(subspace, "fit", lambda *a: kept.extend(fit(*a)) or kept)
+    given = []
+    monkeypatch.setattr(subspace, "assign", lambda rows, models: given.extend(models) or rows.withColumnRenamed("id", "entity").withColumn("label", rows.grp))
+    clustering.mixture(spark, "/root/testdata/sf0.001")
+    assert len(kept) == clustering.RUNS and given == [max(kept, key=lambda m: m.log_likelihood)]
+
+
 def test_subsamples_are_refitted(spark, monkeypatch):
     fit, sizes = subspace.fit, []
 

@@ -49,7 +49,7 @@ def test_proposals(spark):
     want = spark.createDataFrame([(i, got[i].status, service.SUMMARY if i == 0 else None) for i in range(6)], "request_id int, expected_status string, expected_intent string")
     r = requests.evaluate(requests.baseline(asked, NAMES).withColumn("system", F.lit("rules")), want).first()
     assert (r.cases, r.status_rate, r.intent_rate, r.no_forbidden_claim, r.workflow_validity, r.groundedness) == (6, 1, 1, 1, 1, 0)
-    claimed = requests.baseline(asked, NAMES).withColumn("system", F.lit("x")).withColumn("explanation", F.lit("This proves that it is so"))
+    claimed = requests.baseline(asked, NAMES).withColumn("system", F.lit("x")).withColumn("explanation", F.lit("It is the cause of all this"))
     assert requests.evaluate(claimed, want).first().no_forbidden_claim == 0
 
 
