@@ -62,8 +62,10 @@ def numbered_by_key(df: DataFrame, group: list[str], key: str, ties: list[Column
 def _values(df: DataFrame, value: str, group: list[str], buckets: int) -> DataFrame:
     """group, value, ties, upto (rows with that value or less), all: one row for each distinct value, with its bucket ``_b``."""
     v = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
-    order = [F.col(value)]
-    v = v.withColumn("_b", bucket(v, order, cut_points(v, order, buckets)))
+    # of all rows, not of distinct values: one pass that combines in the tasks
+    shares = [F.lit((k + 1) / buckets) for k in range(buckets - 1)] or [F.lit(0.5)]
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*shares), 1000).alias("c")).first()["c"] or []
+    v = v.withColumn("_b", bucket(v, [F.col(value)], [(c,) for c in sorted(set(cuts))]))
     sizes = v.groupBy(*group, "_b").agg(F.sum("ties").alias("_n"))
     every = Window.partitionBy(*group)
     before = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

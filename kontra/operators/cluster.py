@@ -87,7 +87,7 @@ def overlap_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     c = contingency(a, b)
     sa = a.groupBy(F.col("label").alias("la")).agg(F.count(F.lit(1)).alias("na"))
     sb = b.groupBy(F.col("label").alias("lb")).agg(F.count(F.lit(1)).alias("nb"))
-    t = c.join(F.broadcast(sa), "la").join(F.broadcast(sb), "lb")
+    t = c.join(sa, "la").join(sb, "lb")
     return t.select("la", "lb", "n", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
 
 
@@ -98,6 +98,14 @@ def robust(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return tag(x.intersect(y), "both").unionByName(tag(x.subtract(y), "first")).unionByName(tag(y.subtract(x), "second"))
 
 
+def robust_pairs(first: DataFrame, second: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """a, b, found_in, and percentile, q and correlation of both tables, for pairs (a, b, percentile_vs_null, q, pearson) with q below the threshold in one or both."""
+    side = lambda t, n: t.select("a", "b", *[F.col(c).alias(f"{n}_{c}") for c in ("percentile_vs_null", "q", "pearson")])
+    t = side(first, "first").join(side(second, "second"), ["a", "b"], "full")
+    x, y = (F.coalesce(F.col(f"{n}_q") < threshold, F.lit(False)) for n in ("first", "second"))
+    return t.where(x | y).withColumn("found_in", F.when(x & y, "both").when(x, "first").otherwise("second"))
+
+
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 

@@ -74,10 +74,10 @@ def unique_shared(hits: DataFrame) -> DataFrame:
 
 
 def exclusive_effects(contrast: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
-    """Entities detected under one condition only, with their effects under all of them."""
+    """Entities detected under one condition only, with their effects and adjusted p values under all of them."""
     one = hits.groupBy("entity").agg(F.count(F.lit(1)).alias("m"), F.min("condition").alias("exclusive_to")).where("m = 1").drop("m")
-    wide = contrast.join(one, "entity").groupBy("entity", "exclusive_to").pivot("condition", names).agg(F.round(F.first("effect"), 6))
-    return wide.toDF("entity", "exclusive_to", *[f"effect_{i + 1}" for i in range(len(names))])
+    wide = contrast.join(one, "entity").groupBy("entity", "exclusive_to").pivot("condition", names).agg(F.round(F.first("effect"), 6), F.round(F.first("fdr"), 6))
+    return wide.toDF("entity", "exclusive_to", *[f"{n}_{i + 1}" for i in range(len(names)) for n in ("effect", "fdr")])
 
 
 def pairwise_overlap(contrast: DataFrame, hits: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def closure(edges: DataFrame, limit: int = 20) -> DataFrame:
     for _ in range(limit):
         a, b = found.alias("a"), found.alias("b")
         step = a.join(b, F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child"), F.col("b.ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        found = found.unionByName(step).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")).persist()
+        before, found = found, found.unionByName(step).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")).persist()
         now = found.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        before.unpersist()
         if now == n:
             return found
         n = now
@@ -29,7 +30,7 @@ def closure(edges: DataFrame, limit: int = 20) -> DataFrame:
 
 def propagated(assoc: DataFrame, closed: DataFrame) -> DataFrame:
     """namespace, entity, term with every ancestor of each associated term."""
-    up = assoc.join(F.broadcast(closed.select(F.col("child").alias("term"), "ancestor")), "term").select("namespace", "entity", F.col("ancestor").alias("term"))
+    up = assoc.join(closed.select(F.col("child").alias("term"), "ancestor"), "term").select("namespace", "entity", F.col("ancestor").alias("term"))
     return assoc.select("namespace", "entity", "term").unionByName(up).distinct()
 
 
@@ -63,7 +64,7 @@ def family(studies: DataFrame, population: DataFrame, full: DataFrame, least: in
     pop_n = back.groupBy("namespace").agg(F.count(F.lit(1)).alias("pop_n"))
     big = eligible(studies, back).where(F.col("mapped") >= least).select("study", "namespace", F.col("mapped").alias("study_n"))
     hits = studies.select("study", "entity").distinct().join(terms, "entity").groupBy("study", "namespace", "term").agg(F.count(F.lit(1)).alias("study_count"))
-    t = F.broadcast(big).join(pop, "namespace").join(F.broadcast(pop_n), "namespace").join(hits, ["study", "namespace", "term"], "left").fillna(0, ["study_count"])
+    t = big.join(pop, "namespace").join(pop_n, "namespace").join(hits, ["study", "namespace", "term"], "left").fillna(0, ["study_count"])
     return _judged(t, ["study", "namespace", "term"])
 
 
@@ -126,11 +127,18 @@ def best_specific(tested: DataFrame, cap: int) -> DataFrame:
     return tested.select("study").distinct().join(t.select("study", "term", "study_count", "q"), "study", "left").fillna("no specific term", ["term"])
 
 
+def study_flows(tested: DataFrame) -> DataFrame:
+    """source, target, value: each study's term of least q with the study's entities there, one at least."""
+    best = F.min_by(F.struct("term", "study_count"), F.struct("q", "p_raw", "namespace", "term"))
+    t = tested.groupBy("study").agg(best.alias("b"))
+    return t.select(F.col("study").alias("source"), F.col("b.term").alias("target"), F.greatest(F.col("b.study_count"), F.lit(1)).cast("bigint").alias("value"))
+
+
 def nearest_ancestors(selected: DataFrame, closed: DataFrame, depths: DataFrame) -> DataFrame:
     """child, parent: of a selected term's selected ancestors the deepest (ties to the greatest name)."""
     s = selected.select("term").distinct()
-    t = closed.join(F.broadcast(s.withColumnRenamed("term", "child")), "child").join(F.broadcast(s.withColumnRenamed("term", "ancestor")), "ancestor")
-    t = t.join(F.broadcast(depths.withColumnRenamed("term", "ancestor").withColumnRenamed("depth", "level")), "ancestor")
+    t = closed.join(s.withColumnRenamed("term", "child"), "child").join(s.withColumnRenamed("term", "ancestor"), "ancestor")
+    t = t.join(depths.withColumnRenamed("term", "ancestor").withColumnRenamed("depth", "level"), "ancestor")
     return t.groupBy("child").agg(F.max_by("ancestor", F.struct("level", "ancestor")).alias("parent"))
 
 

@@ -79,7 +79,7 @@ def baseline(requests: DataFrame, names: list[str]) -> DataFrame:
 def grounded(plans: DataFrame, evidence: DataFrame) -> DataFrame:
     """The planner's plans as proposals, with the digests of the evidence (intents, sha256) that its intent reads."""
     cited = evidence.select(F.explode("intents").alias("intent"), "sha256").groupBy("intent").agg(F.array_sort(F.collect_set("sha256")).alias("cited"))
-    t = plans.join(F.broadcast(cited), "intent", "left")
+    t = plans.join(cited, "intent", "left")
     ready, status = F.col("status") == service.READY, _lookup(PROPOSED, F.col("status"))
     none = F.array().cast("array<string>")
     return t.select(

@@ -25,16 +25,18 @@ def shuffled_labels(labels: DataFrame, reps: DataFrame) -> DataFrame:
     Entities in md5 order take the labels in entity order, so a repetition is a
     permutation; neither order is taken in one task.
     """
-    dealt = numbered(labels.select("entity", "module"), [], [F.col("entity")], "i").crossJoin(F.broadcast(reps))
-    dealt = numbered_by_key(dealt.withColumn("_k", keyed(F.col("rep"), F.col("entity"))), ["rep"], "_k", [F.col("entity")], "j").drop("_k")
-    return dealt.select("rep", "entity", F.col("j").alias("i")).join(dealt.select("rep", "i", "module"), ["rep", "i"]).select("rep", "entity", "module")
+    dealt = labels.select("entity").crossJoin(F.broadcast(reps)).withColumn("_k", keyed(F.col("rep"), F.col("entity")))
+    dealt = numbered_by_key(dealt, ["rep"], "_k", [F.col("entity")], "i").select("rep", "entity", "i")
+    # the labels in entity order are the same in every repetition
+    return dealt.join(numbered(labels.select("entity", "module"), [], [F.col("entity")], "i").select("i", "module"), "i").select("rep", "entity", "module")
 
 
 def shuffled_columns(matrix: DataFrame, reps: DataFrame, value: str) -> DataFrame:
     """rep, entity, condition, value: each condition's values permuted over the entities on its own."""
-    t = numbered(matrix.select("entity", "condition", value), ["condition"], [F.col("entity")], "i").crossJoin(F.broadcast(reps))
-    t = numbered_by_key(t.withColumn("_k", keyed(F.col("rep"), F.col("condition"), F.col("entity"))), ["rep", "condition"], "_k", [F.col("entity")], "j").drop("_k")
-    return t.select("rep", "condition", "entity", F.col("j").alias("i")).join(t.select("rep", "condition", "i", value), ["rep", "condition", "i"]).select("rep", "entity", "condition", value)
+    t = matrix.select("entity", "condition").crossJoin(F.broadcast(reps)).withColumn("_k", keyed(F.col("rep"), F.col("condition"), F.col("entity")))
+    t = numbered_by_key(t, ["rep", "condition"], "_k", [F.col("entity")], "i").select("rep", "condition", "entity", "i")
+    own = numbered(matrix.select("entity", "condition", value), ["condition"], [F.col("entity")], "i").select("condition", "i", value)
+    return t.join(own, ["condition", "i"]).select("rep", "entity", "condition", value)
 
 
 def null_cells(hits: DataFrame, shuffled: DataFrame, contrast: DataFrame) -> DataFrame:

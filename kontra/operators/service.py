@@ -216,6 +216,18 @@ class Service:
         raise ValueError(f"unsupported query {plan.intent}")
 
 
+def router_disclosure(spark: SparkSession, metrics: str | None = None) -> dict[str, object]:
+    """What chooses the query, and what is known of a trained candidate that does not: the figures of its JSON file, if there is one."""
+    told: dict[str, object] = {"router": "rules", "candidate": None, "note": "a trained candidate takes no part in decisions"}
+    if metrics is not None:
+        want = {"model_name": "string", "seed": "bigint", "max_steps": "bigint", "train_loss": "double", "test_loss": "double"}
+        row = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(", ".join(f"{k} {v}" for k, v in want.items())).json(metrics).first()
+        if row is None or any(row[k] is None for k in want):
+            raise ValueError(f"a candidate's metrics name {', '.join(want)}")
+        told["candidate"] = row.asDict() | {"evaluation": "losses only"}
+    return told
+
+
 def lookup(labels: DataFrame, ids: list[int]) -> DataFrame:
     return labels.where(F.col("entity").isin(ids))
 

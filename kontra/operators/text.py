@@ -238,8 +238,40 @@ def sparse_rows(docs: DataFrame, vocab: DataFrame, label: str, doc_id: str = "do
     return t.select(F.col(doc_id).alias("id"), "y", part("index", "array<int>"), part("value", "array<double>"))
 
 
+#: The parts of a JSON text: a string (with the colon behind it, if it is a key), what stands between strings, and a quote that ends nothing.
+JSON_PARTS = r'"(?:[^"\\]|\\[\s\S])*"(?:\s*:)?|[^"]+|"'
+
+
 def scrub(c: Column, replacements: list[tuple[str, str]]) -> Column:
-    """Ordered literal replacements in a JSON text's strings."""
-    for old, new in replacements:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+    """Ordered literal replacements in the string values of a JSON text, at any depth.
+
+    Keys, numbers and everything else stay as they are written, and so do values in which
+    nothing is found; escapes are resolved before the search.  Null stays null, and what
+    is no JSON keeps its text outside of quotes.
+    """
+
+    def value(part: Column) -> Column:
+        told = F.from_json(F.concat(F.lit("["), part, F.lit("]")), "array<string>")[0]
+        new = told
+        for old, to in replacements:
+            new = F.replace(new, F.lit(old), F.lit(to))
+        written = F.to_json(F.array(new))
+        return F.when(new.eqNullSafe(told), part).otherwise(F.substring(written, F.lit(2), F.length(written) - 2))
+
+    parts = F.regexp_extract_all(c, F.lit(JSON_PARTS), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"') & (F.length(p) > 1) & ~p.endswith(":"), value(p)).otherwise(p)), "")
+
+
+def multiset_digest(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, rows, digest: the same for the same rows in any order and partitioning, repeats counted.
+
+    Each row's sha256 is four numbers of 64 bits; their sums modulo 2^64 and the number of
+    rows are hashed together.  Values are written with their lengths, nulls as a dash.
+    """
+    told = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    h = F.sha2(F.concat(*[told(F.col(c).cast("string")) for c in columns]), 256)
+    limbs = [F.conv(F.substring(h, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    t = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(f"_{i}") for i, x in enumerate(limbs)])
+    mod = F.lit(str(2**64)).cast("decimal(20,0)")
+    sums = [F.coalesce(F.pmod(F.col(f"_{i}"), mod), F.lit(0).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
+    return t.select(*(by or []), "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *sums), 256).alias("digest"))

@@ -109,7 +109,7 @@ QUERIES = {
     ),
     "exclusive_effects_wide": (
         lambda s, d: detect.exclusive_effects(contrasts(s, d), detect.detected(contrasts(s, d)), conditions(s, d)),
-        f"WITH {CONTRAST_SQL}, x AS (SELECT entity, min(condition) AS exclusive_to FROM contrast WHERE fdr < 0.05 GROUP BY entity HAVING count(*) = 1) SELECT entity, exclusive_to, " + ", ".join(f"round(max(effect) FILTER (ord = {i}), 6) AS effect_{i}" for i in range(1, 11)) + " FROM contrast JOIN x USING (entity) GROUP BY ALL",
+        f"WITH {CONTRAST_SQL}, x AS (SELECT entity, min(condition) AS exclusive_to FROM contrast WHERE fdr < 0.05 GROUP BY entity HAVING count(*) = 1) SELECT entity, exclusive_to, " + ", ".join(f"round(max({n}) FILTER (ord = {i}), 6) AS {n}_{i}" for i in range(1, 11) for n in ("effect", "fdr")) + " FROM contrast JOIN x USING (entity) GROUP BY ALL",
     ),
     "pairwise_overlap": (
         lambda s, d: rounded(detect.pairwise_overlap(contrasts(s, d), detect.detected(contrasts(s, d)))),
@@ -141,5 +141,9 @@ SELECT condition, module, module_entities, detected, up, down, round(mean_effect
  CASE WHEN detected > 0 THEN round(100 * ((s + z * z / (2 * m)) / (1 + z * z / m) + z * sqrt(s * (1 - s) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) END AS pct_up_high FROM w""",
     ),
     "bh_families": (q_families, f"WITH {CONTRAST_SQL}, t AS (SELECT entity, condition, p_value FROM contrast) SELECT entity, condition, round(p_value, 9) AS p_value, round(q, 9) AS q FROM {bh_sql('t', 'p_value', 'entity', 'condition')}"),
-    "manifest": (lambda s, d: integrity.manifest(s, f"{d}/nation.parquet"), None),
+    "manifest": (lambda s, d: integrity.manifest(s, d), None),
+    "file_rows": (
+        lambda s, d: integrity.manifest(s, d, digest=False).select("file", "rows"),
+        " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()),
+    ),
 }

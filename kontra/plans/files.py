@@ -12,7 +12,8 @@ from kontra.sources.tables import CONTRAST_SQL, contrasts
 
 def csv_roundtrip(s, d):
     at = files.folder(s, "contrast-csv")
-    files.write_csv(contrasts(s, d).drop("ord").withColumn("part", F.col("condition")), at, "part")
+    up = F.when(F.col("effect") > 0, "up").otherwise("down")
+    files.write_csv(contrasts(s, d).drop("ord").withColumn("part", F.col("condition")).withColumn("direction", up), at, "part", "direction")
     return rounded(files.read_contrast(s, at, entity="bigint").select("entity", "condition", "effect", "fdr"))
 
 

@@ -18,27 +18,27 @@ def hits(s, d):
     return detect.detected(contrasts(s, d))
 
 
-def ratio(s, d):
-    return detect.residuals(cells(s, d)).select("condition", "module", "log2_ratio")
+def ratio(s, d, modules=5):
+    return detect.residuals(cells(s, d, modules)).select("condition", "module", "log2_ratio")
 
 
 def z(s, d):
     return matrix.zscore(contrasts(s, d))
 
 
-def null_correlations(s, d, reps=REPS):
+def null_correlations(s, d, reps=REPS, modules=5):
     def make():
         c = contrasts(s, d)
-        shuffled = resample.shuffled_labels(labels(c), resample.repetitions(s, reps))
+        shuffled = resample.shuffled_labels(labels(c, modules=modules), resample.repetitions(s, reps))
         t = detect.residuals(resample.null_cells(hits(s, d), shuffled, c))
         return matrix.correlations(t, "log2_ratio", ["rep"])
 
-    return kept(s, d, f"null_correlations{reps}", make)
+    return kept(s, d, f"null_correlations{reps}_{modules}", make)
 
 
-def empirical_pairs(s, d, reps=REPS):
-    seen = matrix.correlations(ratio(s, d), "log2_ratio").select("a", "b", "pearson")
-    t = resample.empirical(seen, null_correlations(s, d, reps), ["a", "b"], "pearson")
+def empirical_pairs(s, d, reps=REPS, modules=5):
+    seen = matrix.correlations(ratio(s, d, modules), "log2_ratio").select("a", "b", "pearson")
+    t = resample.empirical(seen, null_correlations(s, d, reps, modules), ["a", "b"], "pearson")
     return rounded(benjamini_hochberg(t, "p_empirical", ["a", "b"]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kontra.functions.stats import display
 from kontra.operators import cluster, detect, enrich, matrix, requests, service, text
-from kontra.plans import texts
+from kontra.plans import profiles, texts
 from kontra.plans.detection import HITS_SQL, LABELS_SQL, bh_sql, fisher_sql, labels, rounded
 from kontra.plans.enrichment import _FAM_COLS, _FULL, _MODULES, by_condition, family_sql, full, tested
 from kontra.plans.profiles import _REAL, ratio
@@ -148,7 +148,44 @@ def _findings_sql() -> str:
     return f"WITH p AS ({texts._plan_sql()}) SELECT request_id, 'error' AS severity, code FROM p WHERE code <> 'ok' UNION ALL SELECT request_id, 'warning', unnest(CASE intent {warned} END) FROM p WHERE intent IS NOT NULL AND code IN ('ok', 'invalid_threshold')"
 
 
+def split_manifest(s, d):
+    """Per split its records, groups and an order-free digest."""
+    g = texts.generated(s, d)
+    groups = text.group_split(requests.require_groups(g.select("label", "grp").distinct(), ["label"], 0.2), ["label"], "grp", 0.2)
+    rows = requests.require_separate(g.join(groups.select("grp", "split"), "grp"), ["grp", "fingerprint"])
+    return text.multiset_digest(rows, ["label", "template", "grp", "text", "fingerprint"], ["split"]).join(rows.groupBy("split").agg(F.count_distinct("grp").alias("grps")), "split")
+
+
+def _told(c):
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+_MANIFEST = f"""WITH g AS ({_GENERATED}), n AS (SELECT label, grp, row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || grp), grp) AS r FROM (SELECT DISTINCT label, grp FROM g)),
+x AS (SELECT CASE WHEN r <= 2 THEN 'validation' WHEN r <= 4 THEN 'test' ELSE 'train' END AS split, g.grp, sha256({' || '.join(_told('g.' + c) for c in ('label', 'template', 'grp', 'text', 'fingerprint'))}) AS h FROM n JOIN g ON g.grp = n.grp)
+SELECT split, count(*) AS rows, count(DISTINCT grp) AS grps, sha256(count(*) || ':' || {" || ':' || ".join(f"(sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT) % 18446744073709551616::HUGEINT)" for i in range(4))}) AS digest FROM x GROUP BY split"""
+
+
+def pairs_at(s, d, modules):
+    """Similarities of the conditions' profiles over ``modules`` modules, corrected against shuffled labels."""
+    return profiles.empirical_pairs(s, d, modules=modules)
+
+
+#: Pairs whose corrected similarity survives at both resolutions; at 40 shuffles few can pass a low threshold.
+BOTH = 0.9
+_PAIRS = profiles.QUERIES["empirical_p_pairs"][1]
+_AT10 = _PAIRS.replace("(entity % 5)", "(entity % 10)")
+
 QUERIES = {
+    "split_manifest": (split_manifest, _MANIFEST),
+    "cross_k_pairs": (
+        lambda s, d: cluster.robust_pairs(pairs_at(s, d, 5), pairs_at(s, d, 10), BOTH),
+        "SELECT a, b, x.percentile_vs_null AS first_percentile_vs_null, x.q AS first_q, x.pearson AS first_pearson, y.percentile_vs_null AS second_percentile_vs_null, y.q AS second_q, y.pearson AS second_pearson, "
+        f"CASE WHEN x.q < {BOTH} AND y.q < {BOTH} THEN 'both' WHEN x.q < {BOTH} THEN 'first' ELSE 'second' END AS found_in FROM ({_PAIRS}) x FULL JOIN ({_AT10}) y USING (a, b) WHERE x.q < {BOTH} OR y.q < {BOTH}",
+    ),
+    "study_term_flows": (
+        lambda s, d: enrich.study_flows(enrich.family(by_multiplicity(s, d, True), contrasts(s, d), full(s, d))),
+        f"{family_sql(_multiplicity('= 1'), 'contrast')} SELECT study AS source, term AS target, greatest(study_count, 1)::BIGINT AS value FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY q, p_raw, namespace, term) AS rn FROM fam) WHERE rn = 1",
+    ),
     "enrichment_exclusive": (multiplicity_family(True), f"{family_sql(_multiplicity('= 1'), 'contrast')} SELECT {_FAM_COLS} FROM fam"),
     "enrichment_shared": (multiplicity_family(False), f"{family_sql(_multiplicity('> 1'), 'contrast')} SELECT {_FAM_COLS} FROM fam"),
     "enrichment_within_module": (lambda s, d: rounded(within_module(s, d)).select(*_FAMILY), f"{_WITHIN} SELECT {_FAM_COLS} FROM fam"),

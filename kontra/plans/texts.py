@@ -91,6 +91,14 @@ def perceptron(s, d):
     return text.class_metrics(text.confusion(t, [0, 1])).withColumn("epochs", F.lit(model.epochs)).withColumn("parameters", F.lit(model.network.parameters))
 
 
+def nested():
+    """A JSON text of depth five whose keys, values and numbers hold what is replaced."""
+    return F.concat(F.lit('{"src1": {"a": [{"src": ["'), "source", F.lit('", '), F.col("n_chars").cast("string"), F.lit(', {"lang": "'), "lang", F.lit(':src", "src12": null}]}]}}'))
+
+
+_NESTED = """'{"src1": {"a": [{"src": ["' || source || '", ' || n_chars || ', {"lang": "' || lang || ':src", "src12": null}]}]}}'"""
+
+
 def audit(s, d):
     t = table(s, d, "supplier").select(F.col("s_name").alias("path"), "s_nationkey")
     n = table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
@@ -160,7 +168,10 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_nu
     "evaluation_rates": (lambda s, d: rounded(text.rates(cases(s, d), "lang")), f"WITH {_JUDGED} SELECT lang, count(*) AS cases, round(avg((t = p)::INT), 6) AS status_rate, round(avg((toxic = 0)::INT), 6) AS intent_rate, round(avg((t = 1)::INT) FILTER (p = 1), 6) AS groundedness FROM j GROUP BY lang"),
     "refusal_precision_recall": (lambda s, d: rounded(text.refusals(cases(s, d))), f"WITH {_JUDGED} SELECT round(count(*) FILTER (p = 0 AND t = 0) / nullif(count(*) FILTER (p = 0), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (p = 0 AND t = 0) / nullif(count(*) FILTER (t = 0), 0)::DOUBLE, 6) AS recall, round(avg((t = p)::INT), 6) AS exact FROM j"),
     "legacy_coverage_audit": (audit, "SELECT s_nationkey, count(*) AS n, min(s_name) AS first_path, any_value(n_name) AS n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey"),
-    "scrub_paths": (lambda s, d: table(s, d, "events").select("event_id", text.scrub(F.col("props"), [('"k"', '"key"'), ("0", "o")]).alias("props")), """SELECT event_id, replace(replace(props, '"k"', '"key"'), '0', 'o') AS props FROM events"""),
+    "scrub_paths": (
+        lambda s, d: documents(s, d).select("doc_id", text.scrub(nested(), [("src1", "src"), ("src", "origin")]).alias("told")),
+        f"WITH n AS (SELECT doc_id, {_NESTED} AS j FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(j, '{text.JSON_PARTS}'), lambda p: CASE WHEN starts_with(p, '\"') AND NOT ends_with(p, ':') THEN replace(replace(p, 'src1', 'src'), 'src', 'origin') ELSE p END), '') AS told FROM n",
+    ),
     "plan_requests": (plans, _plan_sql()),
     "lookup_ids": (lambda s, d: rounded(service.lookup(labels(contrasts(s, d)), [3, 7, 19, 42, 77, 103, 10**9])), f"WITH {CONTRAST_SQL}, {LABELS_SQL} SELECT entity, module, round(strength, 6) AS strength FROM labels WHERE entity IN (3, 7, 19, 42, 77, 103, 1000000000)"),
     "module_terms_lookup": (

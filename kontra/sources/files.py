@@ -48,10 +48,10 @@ def read_contrast(spark: SparkSession, path: str, condition: str | None = None,
     return t
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    """CSV with a header, a folder for each value of ``by``."""
+def write_csv(df: DataFrame, path: str, *by: str) -> None:
+    """CSV with a header, a folder for each value of the columns ``by``, one within the other."""
     out = df.write.mode("errorifexists").option("header", True).option("escape", '"')
-    (out.partitionBy(by) if by else out).csv(path)
+    (out.partitionBy(*by) if by else out).csv(path)
 
 
 def json_lines(df: DataFrame) -> DataFrame:

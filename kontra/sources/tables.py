@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files below a folder, hashed: another text once one of them is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    each = sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in store.listStatus(path)) if store.exists(path) else []
+    return hashlib.md5("\n".join(each).encode()).hexdigest()
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that many queries of a session read; recomputed from its lineage if an executor is lost."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that many queries of a session read; recomputed from its lineage if an executor is lost.
+
+    It is made anew if the folder's files have changed, and let go by ``release``.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), written(spark, sf_dir)
+    if key in _kept and _kept[key][0] != state:
+        release(spark, sf_dir)
     if key not in _kept:
-        _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
-    return _kept[key]
+        _kept[key] = (state, make().persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[key][1]
+
+
+def release(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Lets go of the kept tables of a folder, or of all, and of those of sessions that have ended."""
+    own = spark.sparkContext.applicationId
+    for app, at, name in list(_kept):
+        if app != own or sf_dir in (None, at):
+            _, df = _kept.pop((app, at, name))
+            if app == own:
+                df.unpersist()
 
 
 def row_number_by_value(df: DataFrame, group: str, value: str, ties: list[Column], name: str, steps: float = 64.0) -> DataFrame:
