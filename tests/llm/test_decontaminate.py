@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from kontra.llm.decontaminate import Windows, contaminated, decontaminated
+import numpy as np
+
+from kontra.llm.decontaminate import BLOCKS, PER_ITEM, PER_WORD, Items, Windows, contaminated, decontaminated, fingerprints, near, passes
 
 
 def words(t):
@@ -51,7 +53,7 @@ def test_same_as_every_window(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(docs, items)
     assert len(want) > 20
-    for how in (Windows(), Windows(bytes_per_pass=900)):
+    for how in (Windows(), Windows(bytes_per_pass=25_000)):
         got = contaminated(df, bench, how=how).collect()
         assert sorted((x.doc_id, x.item_id, x.first_word, x.similarity) for x in got) == want
         kept = decontaminated(df.withColumnRenamed("doc_id", "c1"), bench, how=how)
@@ -90,3 +92,62 @@ def test_nulls_repeats_and_long_texts(spark):
     assert got == sorted((d, i, 30000 if d == 8 else 0) for d in (0, 7, 7, 8) for i in (0, 3, 3))
     kept = decontaminated(df, bench)
     assert kept.columns == df.columns and [x.doc_id for x in kept.collect()] == [9]
+
+
+def test_blocks_prune():
+    """A block within half of the radius: all pairs within the radius have one, few of the others do."""
+    r = np.random.default_rng(2)
+    a, b = (r.integers(0, 2**63, (50_000, BLOCKS), dtype=np.int64).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, (50_000, BLOCKS)).astype(np.uint64) for _ in range(2))
+    how = Windows()
+    apart = np.bitwise_count(a ^ b)
+    assert (apart <= how.radius // BLOCKS).any(axis=1).mean() < 0.1
+    for flips in (0, 1, 30, 47, 48):
+        c = a[:2000].copy()
+        for row in range(2000):
+            for bit in r.choice(128, flips, replace=False):
+                c[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        assert len(near(a[:2000], c, how.radius)) == (2000 if flips <= 47 else 0)
+    assert len(near(a, b, 128)) == len(a)
+
+
+def test_windows_at_the_threshold_are_within_the_radius():
+    r = random.Random(9)
+    words_of = lambda t: np.array([hash_of(w) for w in t.split()], dtype=np.uint64)
+    hash_of = lambda w: int(w, 16) * 0x9E3779B97F4A7C15 % 2**64
+    for size in (9, 13, 30, 59, 120, 200):
+        worst = 0
+        for _ in range(150):
+            item, doc = planted(r, size)
+            a, b = (fingerprints(words_of(t)[:size], size, np.zeros(1, np.int64)) for t in (item, doc))
+            worst = max(worst, int(np.bitwise_count(a ^ b).sum()))
+        assert worst <= Windows().radius
+
+
+def test_an_index_is_no_larger_than_counted(spark):
+    r = random.Random(3)
+    for size, n in ((1, 4000), (4, 3000), (30, 800), (300, 60)):
+        texts = [" ".join("%x" % r.getrandbits(40) for _ in range(size)) for _ in range(n)]
+        counted = sum(len(t) + PER_ITEM + PER_WORD * size for t in texts)
+        assert Items(texts, Windows()).nbytes <= counted + (1 << 20)
+
+
+def test_a_large_benchmark_of_short_items(spark):
+    """More items than one pass takes: every one is found, and each pass stays under its bound."""
+    r = random.Random(8)
+    items = [(i, " ".join("%x" % r.getrandbits(36) for _ in range(6))) for i in range(6000)]
+    docs = [(d, " ".join("%x" % r.getrandbits(36) for _ in range(50)) + " " + items[d * 7][1]) for d in range(300)] + [(999, "nothing of it here at all")]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    how = Windows(bytes_per_pass=1 << 20)
+    built = [x.nbytes for x, _ in passes(bench, "item_id", "text", how)]
+    assert len(built) > 2 and max(built) < 1.2 * how.bytes_per_pass
+    assert sorted((x.doc_id, x.item_id) for x in contaminated(df, bench, how=how).collect()) == [(d, d * 7) for d in range(300)]
+
+
+def test_items_that_share_a_common_phrase(spark):
+    """Every document has a phrase that all items have; only one has an item."""
+    r = random.Random(6)
+    phrase = "the answer to this question is given below"
+    items = [(i, phrase + " " + " ".join("%x" % r.getrandbits(36) for _ in range(12))) for i in range(400)]
+    docs = [(d, " ".join("%x" % r.getrandbits(36) for _ in range(30)) + " " + phrase + " and more of it") for d in range(60)] + [(100, "x " + items[17][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert [(x.doc_id, x.item_id) for x in contaminated(df, bench).collect()] == [(100, 17)]
