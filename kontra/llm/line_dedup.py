@@ -48,11 +48,11 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how:
     told = scratch.save(told.select("fp1", "fp2", F.coalesce("root", F.struct("fp1", "fp2")).alias("root")), "told", release=True)
     told, _ = if_small(told, 48)
     member = scratch.save(lines.join(told, ["fp1", "fp2"]).select("root", F.struct(F.col("id").isNull().alias("none"), "id", "row_uid", "pos").alias("at")), "members", release=True)
-    first, _ = if_small(scratch.save(member.groupBy("root").agg(F.min("at").alias("first")), "first"), 64)
+    first, _ = if_small(scratch.save(member.groupBy("root").agg(F.min("at").alias("first")), "first"))
     gone = member.join(first, "root").where("at != first").groupBy("at.row_uid").agg(F.collect_set("at.pos").alias("gone"))
     gone = scratch.save(gone, "gone", release=True)
     scratch.drop("told", "members", "linked")
-    gone, _ = if_small(gone, 72)
+    gone, _ = if_small(gone)
     out = flat.withColumn("n_lines", F.size("units")).drop("units", "bands").join(gone, "row_uid", "left")
     out = out.select("*", F.explode(F.array(F.when(F.col("gone").isNotNull(), _lines(body)))).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

@@ -44,10 +44,10 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how:
     told = classes.join(top, "root").select("fp1", "fp2", F.col("top.id").alias("class_id"), F.col("top.row_uid").alias("top_uid"), (F.coalesce("n_rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
     told = scratch.save(told, "told")
     scratch.drop("classes", "linked")
-    told, _ = if_small(told, 56)
+    told, _ = if_small(told)
     marks = base.join(told, ["fp1", "fp2"]).select("row_uid", "class_id", "top_uid", "n_links", "n_texts")
     marks = scratch.save(marks, "marks", release=True)
-    marks, _ = if_small(marks, 48)
+    marks, _ = if_small(marks)
     out = flat.drop("units", "bands").join(marks, "row_uid", "left")
     return out.select(
         "row_uid",

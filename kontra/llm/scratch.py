@@ -48,7 +48,7 @@ class Scratch:
 def if_small(df: DataFrame, row_bytes: int | None = None, limit: int = 32 << 20) -> tuple[DataFrame, bool]:
     """``df`` (a written table) marked for broadcast if its rows fit ``limit`` bytes, and whether they do.
 
-    ``row_bytes`` is given for rows of fixed size; otherwise texts and arrays are measured, with 16 bytes a column.
+    ``row_bytes`` is given for rows whose columns all have a fixed size; otherwise texts and arrays are measured, with 16 bytes a column.
     """
     if row_bytes is None:
         sizes = [F.coalesce(size(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema.fields]

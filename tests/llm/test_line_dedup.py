@@ -5,6 +5,7 @@ import re
 
 from kontra.llm.fuzzy import Join
 from kontra.llm.line_dedup import deduplicated, line_dedup
+from kontra.llm.scratch import if_small
 
 
 def normal(line):
@@ -75,3 +76,29 @@ def test_columns_and_what_is_left(spark):
     assert set(got) == {1, None, 3}
     assert got[1].text == rows[0][1] and got[1].n_chars == 33
     assert deduplicated(df.limit(0)).count() == 0
+
+
+def test_the_query_s_own_bands_equal_brute_force(spark):
+    for seed in (5, 6):
+        rows = corpus(seed)
+        out, _ = line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+        assert sorted((r["c0"], r["c1"]) for r in out.collect()) == brute(rows)
+
+
+def test_many_repeated_lines_long_ids_and_ties(spark):
+    """One document of 200,000 equal lines, ids of 2,000 characters, and a repeated doc_id."""
+    one = "z" * 2000
+    rows = [("b" + one, "\n".join(["the same line again and again"] * 200_000)), ("a" + one, "The same line again  and again\nand another line of this document"), ("a" + one, "and another line of this document"), ("c", "y" * 300_000 + "\n" + "y" * 300_000)]
+    out, _ = line_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(3))
+    got = sorted((r["c0"], r["c1"], r["n_lines"], r["n_removed"]) for r in out.collect())
+    by = {r[0][0]: r for r in got if r[0][0] != "a"}
+    assert by["b"][1:] == ("", 200_000, 200_000) and by["c"][1:] == ("y" * 300_000, 2, 1)
+    ties = [r for r in got if r[0][0] == "a"]
+    assert sorted(r[3] for r in ties) in ([0, 1], [0, 2]) and sum(r[2] - r[3] for r in ties) == 2
+
+
+def test_broadcasts_are_measured(spark):
+    many = spark.sql("select 1L as row_uid, sequence(1, 200000) as gone")
+    assert not if_small(many, limit=1 << 20)[1] and if_small(many, limit=2 << 20)[1]
+    long = spark.sql("select named_struct('root', 1L, 'first', named_struct('id', repeat('x', 100000), 'pos', 1)) as s")
+    assert not if_small(long, limit=90_000)[1] and if_small(long, limit=110_000)[1]
