@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,31 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.greatest(F.least(n, F.lit(20)), F.lit(0)).cast("int")).cast("double"))).otherwise(series)
 
 
-def fisher(k: Column, study: Column, category: Column, universe: Column, side: str = "two-sided") -> Column:
+#: Supports up to this length are summed whole; of longer ones the terms that matter.
+WHOLE = 512
+
+
+def fisher(k: Column, study: Column, category: Column, universe: Column, side: str = "two-sided", whole: int = WHOLE) -> Column:
     """Fisher's exact p for k hits of a study among a category of a universe.
 
-    The tail is a sum over the support, taken by a higher-order function, so that no
-    rows are multiplied.  ``greater``: j >= k; ``two-sided``: all j no likelier than k.
+    A sum over the support, taken by a higher-order function, so that no rows are
+    multiplied.  ``greater``: j >= k; ``two-sided``: all j no likelier than k.  Of a
+    support longer than ``whole`` the two places where the tails begin are found by
+    halving, and each tail is summed outward while its terms are above 1e-18 of its first:
+    some ten standard deviations, whatever the support's length.
     """
     k, study, category, universe = (c.cast("bigint") for c in (k, study, category, universe))
     lo = F.greatest(F.lit(0).cast("bigint"), study + category - universe)
     hi = F.least(study, category)
+    rest = universe - category - study
     fixed = log_factorial(category) + log_factorial(universe - category) + log_factorial(study) + log_factorial(universe - study) - log_factorial(universe)
 
     def log_p(j: Column) -> Column:
-        return fixed - log_factorial(j) - log_factorial(category - j) - log_factorial(study - j) - log_factorial(universe - category - study + j)
+        return fixed - log_factorial(j) - log_factorial(category - j) - log_factorial(study - j) - log_factorial(rest + j)
+
+    def up(j: Column) -> Column:
+        """The next term over this one."""
+        return (category - j).cast("double") * (study - j) / ((j + 1).cast("double") * (rest + j + 1))
 
     first, at = (k, F.lit(1.0)) if side == "greater" else (lo, log_p(k) + 1e-7)
     kind = "struct<t:double,s:double,at:double>"
@@ -37,11 +50,64 @@ def fisher(k: Column, study: Column, category: Column, universe: Column, side: s
 
     def step(a: Column, j: Column) -> Column:
         # the next term by its ratio to this one: one logarithm instead of four factorials
-        ratio = (category - j).cast("double") * (study - j) / ((j + 1).cast("double") * (universe - category - study + j + 1))
         more = F.when(a["t"] <= a["at"], F.exp(a["t"])).otherwise(F.lit(0.0))
-        return F.struct((a["t"] + F.log(ratio)).alias("t"), (a["s"] + more).alias("s"), a["at"].alias("at")).cast(kind)
+        return F.struct((a["t"] + F.log(up(j))).alias("t"), (a["s"] + more).alias("s"), a["at"].alias("at")).cast(kind)
+
+    short = F.aggregate(F.sequence(first, hi), begin, step, lambda a: a["s"])
+
+    return F.least(F.lit(1.0), F.when(hi - lo <= whole, short).otherwise(_long_fisher(k, study, category, universe, lo, hi, fixed, side)))
+
+
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _long_fisher(k: Column, study: Column, category: Column, universe: Column, lo: Column, hi: Column, fixed: Column, side: str) -> Column:
+    """The sum over a long support by its tails; see ``fisher``."""
+    given = {"k": k, "n": study, "c": category, "rest": universe - category - study, "lo": lo, "hi": hi, "fixed": fixed}
+    share = category.cast("double") / F.greatest(universe, F.lit(1))
+    spread = F.sqrt(F.greatest(study * share * (1 - share) * (universe - study) / F.greatest(universe - 1, F.lit(1)), F.lit(0.0)))
+    given["reach"] = F.ceil(9.5 * spread).cast("bigint") + 60
+    given["mode"] = F.least(hi, F.greatest(lo, F.floor((study + 1).cast("double") * (category + 1) / (universe + 2)).cast("bigint")))
+
+    def of(v: Column) -> Column:
+        def log_p(j: Column) -> Column:
+            return F.aggregate(F.array(j, v["c"] - j, v["n"] - j, v["rest"] + j), v["fixed"], lambda total, x: total - log_factorial(x))
+
+        def up(j: Column) -> Column:
+            return (v["c"] - j).cast("double") * (v["n"] - j) / ((j + 1).cast("double") * (v["rest"] + j + 1))
+
+        def down(j: Column) -> Column:
+            return j.cast("double") * (v["rest"] + j) / ((v["c"] - j + 1).cast("double") * (v["n"] - j + 1))
+
+        def tail(start: Column, stop: Column, ratio: Callable[[Column], Column]) -> Column:
+            pair = "struct<t:double,s:double>"
+            add = lambda a, j: F.struct((a["t"] * ratio(j)).alias("t"), (a["s"] + a["t"]).alias("s")).cast(pair)
+            # relative to the first term, so that nothing underflows
+            total = F.aggregate(F.sequence(start, stop), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")).cast(pair), add, lambda a: a["s"])
+            return F.exp(log_p(start) + F.log(total))
+
+        if side == "greater":
+            # below the mode nearly everything counts: from the mode's reach on
+            start = F.greatest(v["k"], v["mode"] - v["reach"])
+            return F.when(v["k"] > v["hi"], F.lit(0.0)).otherwise(bound(start, lambda x: tail(x, F.least(v["hi"], F.greatest(v["k"], v["mode"]) + v["reach"]), up)))
+
+        def tails(at: Column) -> Column:
+            def first(a: Column, b: Column, low: bool) -> Column:
+                """The least place of a to b - 1 whose term is (or is not) as low as k's, b if there is none; one run comes after the other."""
+                ends = "struct<a:bigint,b:bigint>"
+                pick = lambda mid, e: bound((log_p(mid) <= at) == F.lit(low), lambda yes: F.struct(F.when(yes, e["a"]).otherwise(mid + 1).alias("a"), F.when(yes, mid).otherwise(e["b"]).alias("b")).cast(ends))
+                halve = lambda e, _: F.when(e["a"] >= e["b"], e).otherwise(bound(F.floor((e["a"] + e["b"]) / 2).cast("bigint"), lambda mid: pick(mid, e)))
+                return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(a.alias("a"), b.alias("b")).cast(ends), halve, lambda e: e["a"])
+
+            right = bound(first(v["mode"], v["hi"] + 1, True), lambda x: F.when(x > v["hi"], F.lit(0.0)).otherwise(tail(x, F.least(v["hi"], x + v["reach"]), up)))
+            left = bound(first(v["lo"], v["mode"] + 1, False) - 1, lambda x: F.when(x < v["lo"], F.lit(0.0)).otherwise(tail(x, F.greatest(v["lo"], x - v["reach"]), down)))
+            return F.when(log_p(v["mode"]) <= at, F.lit(1.0)).otherwise(left + right)
+
+        return bound(log_p(v["k"]) + 1e-7, tails)
 
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(first, hi), begin, step, lambda a: a["s"]))
+    return bound(F.struct(*[c.alias(n) for n, c in given.items()]), of)
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:

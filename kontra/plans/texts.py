@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kontra.functions import ranks
+from kontra.functions.stats import keyed
 from kontra.operators import integrity, matrix, service, text
 from kontra.operators import perceptron as network
 from kontra.plans.detection import LABELS_SQL, labels, rounded
@@ -78,6 +80,48 @@ def generated(s, d):
     return t.select("label", "template", F.concat_ws(":", "label", F.lower("condition")).alias("grp"), body.alias("text"), F.sha2(body, 256).alias("fingerprint"))
 
 
+#: Kinds of candidates: status, intent, text with {c}, {d} (conditions), {e} (an entity) and {t} (a threshold).
+KINDS = [
+    ("accepted", "summary", "Count detections under {c}"),
+    ("accepted", "pair_lookup", "Compare {c} with {d}"),
+    ("accepted", "id_lookup", "Which module holds #{e}?"),
+    ("accepted", "term_lookup", "Terms of the module of #{e} under {c}"),
+    ("abstain", "unknown", "Show beyond doubt that {c} drives #{e}"),
+    ("accepted", "summary", " Detections under {c} at fdr 0.0{t} "),
+    ("incompatible", "unknown", "Use the raw price files for {c}"),
+    ("needs_clarification", "unknown", "tell me MORE about {c}"),
+]
+
+
+def candidates(s, d):
+    """candidate, kind, status, intent, text, fingerprint: every kind for every detected entity, conditions in rotation."""
+    names = conditions(s, d)
+    kinds = s.createDataFrame([(k, *x) for k, x in enumerate(KINDS)], "kind int, status string, intent string, form string")
+    e = labels(contrasts(s, d)).select("entity").crossJoin(F.broadcast(kinds))
+    of = lambda shift: F.element_at(F.array(*[F.lit(c) for c in names]), (F.pmod(F.col("entity") * 3 + F.col("kind") + shift, F.lit(len(names))) + 1).cast("int"))
+    t = F.col("form")
+    for mark, value in (("{c}", of(0)), ("{d}", of(3)), ("{e}", F.col("entity").cast("string")), ("{t}", (F.pmod("entity", F.lit(9)) + 1).cast("string"))):
+        t = F.replace(t, F.lit(mark), value)
+    return e.select((F.col("entity") * len(KINDS) + F.col("kind")).alias("candidate"), "kind", "status", "intent", t.alias("text")).withColumn("fingerprint", F.sha2(F.lower(F.trim("text")), 256))
+
+
+def training_records(s, d):
+    """Candidates, of one fingerprint the first, in an order that depends on nothing but the seed and the fingerprint."""
+    t = candidates(s, d)
+    first = t.groupBy("fingerprint").agg(F.min_by(F.struct("candidate", "kind", "status", "intent", "text"), "candidate").alias("r")).select("r.*", "fingerprint")
+    return ranks.numbered_by_key(first.withColumn("k", keyed(F.lit(2026), F.col("fingerprint"))), [], "k", [F.col("fingerprint")], "position").drop("k")
+
+
+def _records_sql() -> str:
+    values = ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(KINDS))
+    names = "[" + ", ".join(f"'{c}'" for c in NAMES) + "]"
+    of = lambda shift: f"{names}[(entity * 3 + kind + {shift}) % {len(NAMES)} + 1]"
+    text_ = f"replace(replace(replace(replace(form, '{{c}}', {of(0)}), '{{d}}', {of(3)}), '{{e}}', entity::VARCHAR), '{{t}}', (entity % 9 + 1)::VARCHAR)"
+    return f"""WITH {CONTRAST_SQL}, {LABELS_SQL}, kinds(kind, status, intent, form) AS (VALUES {values}), c AS (SELECT entity * {len(KINDS)} + kind AS candidate, kind, status, intent, {text_} AS text FROM labels CROSS JOIN kinds),
+f AS (SELECT *, sha256(lower(trim(text))) AS fingerprint FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY candidate) AS n FROM f)
+SELECT candidate, kind, status, intent, text, fingerprint, row_number() OVER (ORDER BY md5('2026:' || fingerprint), fingerprint) AS position FROM r WHERE n = 1"""
+
+
 def perceptron(s, d):
     """Metrics on the test fold of the classifier fitted to three folds, stopped by the fifth."""
     rows = documents(s, d).select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id")
@@ -138,6 +182,7 @@ SELECT request_id, intent, array_to_string(conds, ',') AS conditions, array_to_s
 
 
 QUERIES = {
+    "training_records": (training_records, _records_sql()),
     "chunk_documents": (lambda s, d: chunked(s, d).select("doc_id", "chunk_id", "heading", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "source_sha256"), f"WITH {_CHUNK} SELECT doc_id, chunk_id, heading, length(text)::INTEGER AS n_chars, md5(text) AS digest, sha256(t) AS source_sha256 FROM ch WHERE text <> ''"),
     "token_df": (lambda s, d: text.document_frequency(chunked(s, d)), f"WITH {_CHUNK} SELECT token, count(*) AS df FROM (SELECT unnest({_TOK.format(c=_BOTH)}) AS token FROM ch WHERE text <> '') GROUP BY token"),
     "lexical_retrieval": (

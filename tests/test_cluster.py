@@ -134,7 +134,7 @@ def test_softened_shares_are_powers_of_the_densities():
 def test_starts_that_meet_are_fitted_once(spark, planted, monkeypatch):
     rows, _ = planted
     sizes, real = [], subspace._pass
-    monkeypatch.setattr(subspace, "_pass", lambda r, models: sizes.append(len(models)) or real(r, models))
+    monkeypatch.setattr(subspace, "_pass", lambda r, models, *a: sizes.append(len(models)) or real(r, models, *a))
     got = subspace.fit(rows, [Spec("lines", (1, 1, 1), 3) for _ in range(4)], 60, 1e-6, sample_rows=100)
     assert sizes[0] == 4 and sizes[1] == 1 and len({m.log_likelihood for m in got}) == 1 and len(got) == 4
 

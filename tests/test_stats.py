@@ -1,6 +1,7 @@
 """Golden values and identities of the statistics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,24 @@ def test_fisher_small_tables(spark):
         assert r.two == pytest.approx(min(1, sum(v for v in p.values() if v <= p[r.k] * (1 + 1e-7))))
 
 
+def test_fisher_tails_of_long_supports(spark):
+    """Tails found by halving and summed outward give the whole sum, also where p underflows a relative search."""
+    r = random.Random(2)
+    rows = [(k, n, K, M) for M in (7, 12) for K in (0, 3, 5) for n in (0, 2, 6) for k in range(max(0, n + K - M), min(n, K) + 1)]
+    for M, n, K in ((3000, 1200, 900), (3000, 2900, 2800), (20_000, 900, 9000), (5000, 700, 5), (4000, 2000, 2000)):
+        lo, hi, mean = max(0, n + K - M), min(n, K), n * K // M
+        rows += [(k, n, K, M) for k in {lo, hi, mean, mean - 1, mean + 1, (lo + mean) // 2, (hi + mean) // 2, r.randint(lo, hi), max(lo, mean - 40), min(hi, mean + 40)} if lo <= k <= hi]
+    df = spark.createDataFrame(rows, "k long, n long, K2 long, M long")
+    args = [F.col(c) for c in ("k", "n", "K2", "M")]
+    cols = [stats.fisher(*args, side, whole).alias(f"{side[0]}{whole}") for side in ("two-sided", "greater") for whole in (-1, 10**9)]
+    for x in df.select("*", *cols).collect():
+        assert x["t-1"] == pytest.approx(x["t1000000000"], rel=1e-9, abs=1e-300), x
+        assert x["g-1"] == pytest.approx(x["g1000000000"], rel=1e-9, abs=1e-300), x
+    big = one(spark, p=stats.fisher(F.lit(10**7 + 9000), F.lit(10**8), F.lit(10**8), F.lit(10**9)), q=stats.fisher(F.lit(10**7), F.lit(10**8), F.lit(10**8), F.lit(10**9)))
+    z = 9000 / math.sqrt(10**8 * 0.1 * 0.9 * 0.9)
+    assert big.p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.01) and big.q == pytest.approx(1, abs=1e-3)
+
+
 def test_log_factorial(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 2, 20, 21, 100, 10256, 10**9)], "n bigint").select("n", stats.log_factorial(F.col("n")).alias("v"))
     for r in df.collect():
