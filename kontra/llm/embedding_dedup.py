@@ -301,8 +301,10 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     told = scratch.save(told.join(least, "root").select("label", "v", "links", "component"), "named")
     scratch.drop("classes", "links", "told", "cc-roots")
     told, _ = if_small(told)
-    out = plain.withColumn("key", F.when(good, F.col("v"))).join(told.withColumnRenamed("v", "key"), ["label", "key"], "left")
+    out = plain.where(good).join(told, ["label", "v"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    # vectors that link with nothing have no key in common, so they take no part in the join
+    out = out.unionByName(plain.where(~good).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
