@@ -54,7 +54,7 @@ READ = 1 << 20
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*", digest: bool = True) -> DataFrame:
-    """file, bytes, rows, sha256 of every file below a path, each read by one task in blocks of one MiB.
+    """file, bytes, rows, sha256, place (its path below ``path``) of every file below a path, each read by one task in blocks of one MiB.
 
     ``rows`` comes from a Parquet file's footer and is null for other files.  Files are
     dealt by name over as many tasks as the session has partitions; none is ever whole in
@@ -62,6 +62,8 @@ def manifest(spark: SparkSession, path: str, glob: str = "*", digest: bool = Tru
     local or shared folder, hdfs, s3, gs).  Hidden and empty files are left out, as in all of Spark's readers.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet
@@ -78,10 +80,15 @@ def manifest(spark: SparkSession, path: str, glob: str = "*", digest: bool = Tru
                 if name.endswith(".parquet"):
                     with store.open_input_file(name) as f:
                         rows = parquet.ParquetFile(f).metadata.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([size], pa.int64()), pa.array([rows], pa.int64()), pa.array([sha and sha.hexdigest()], pa.string())], names=["file", "bytes", "rows", "sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([size], pa.int64()), pa.array([rows], pa.int64()), pa.array([sha and sha.hexdigest()], pa.string()), pa.array([at.removeprefix(root) if at.startswith(root) else at.rsplit("/", 1)[-1]])], names=["file", "bytes", "rows", "sha256", "place"])
 
     dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    return dealt.mapInArrow(run, "file string, bytes bigint, rows bigint, sha256 string")
+    return dealt.mapInArrow(run, "file string, bytes bigint, rows bigint, sha256 string, place string")
+
+
+def rows_by_table(files: DataFrame) -> DataFrame:
+    """file, rows of every table of a manifest: a file of its own, or all files of one folder below the root."""
+    return files.groupBy(F.substring_index("place", "/", 1).alias("file")).agg(F.sum("rows").alias("rows"))
 
 
 def unquoted(uri: str) -> str:

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from kontra.operators import integrity
 from kontra.sources import files
 
 HEADER = '"WB_id","logFC","AveExpr","t","P.Value","FDR"\n'
@@ -39,3 +40,14 @@ def test_json_lines_have_sorted_keys(spark, tmp_path):
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert [list(json.loads(x)) for x in lines] == [["a", "b", "c"]] * 2
     assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "out"), "b string, a int, c double").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_rows_of_tables_in_folders(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+    one = next((tmp_path / "many.parquet").glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(one.read_bytes())
+    told = integrity.manifest(spark, str(tmp_path), digest=False)
+    got = {r.file: r.rows for r in integrity.rows_by_table(told).collect()}
+    assert got == {"many.parquet": 7, "none.parquet": 0, "one.parquet": spark.read.parquet(str(one)).count()}
+    assert len({r.place for r in told.collect()}) == told.count()
