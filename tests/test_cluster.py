@@ -178,3 +178,28 @@ def test_two_passes_of_points(spark, planted):
     assert a.log_likelihood == pytest.approx(np.logaddexp.reduce(lp, axis=1).sum()) and np.allclose(b.mean, mean) and np.allclose(b.weight, r.sum(0) / 450)
     noise = (r * ((x[:, None] - mean) ** 2).sum(2)).sum(0) / r.sum(0) / 6
     assert np.allclose(b.noise, noise) and b.log_likelihood > a.log_likelihood
+
+
+def test_extrapolated_passes_reach_more_in_fewer(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 4)) + np.repeat([[0.0] * 4, [1.2] * 4], 300, 0)
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id bigint, grp int, x array<double>")
+    count, real = [], subspace._pass
+    monkeypatch.setattr(subspace, "_pass", lambda *a: count.append(1) or real(*a))
+    fitted = lambda: subspace.fit(rows, [Spec("points", (0, 0), 1)], 300, 1e-5, sample_rows=60)[0]
+    fast, passes = fitted(), len(count)
+    monkeypatch.setattr(subspace.Leap, "beyond", lambda *a: None)
+    plain = fitted()
+    assert passes < 0.75 * (len(count) - passes)
+    assert fast.log_likelihood > plain.log_likelihood - 1e-3 and fast.history == sorted(fast.history)
+
+
+def test_models_of_one_form_are_fitted_as_each_alone():
+    rng = np.random.default_rng(6)
+    x, ids = rng.standard_normal((1500, 5)) * [1, 2, 3, 1, 1], np.arange(1500)
+    for more in ({}, {"dims": (0, 2, 3)}, {"hard": True}, {"heat": subspace.ANNEALED}):
+        specs = [Spec("a", (1, 0, 2), s, resample=r, **more) for s in range(3) for r in (None, 1)]
+        together = subspace.settled(specs, ids, x, False, 20, 1e-2)
+        for spec, m in zip(specs, together, strict=True):
+            (alone,) = subspace.settled([spec], ids, x, False, 20, 1e-2)
+            assert m.spec == spec and np.allclose(m.history, alone.history, rtol=1e-9) and np.allclose(m.mean, alone.mean)
