@@ -203,3 +203,39 @@ def test_models_of_one_form_are_fitted_as_each_alone():
         for spec, m in zip(specs, together, strict=True):
             (alone,) = subspace.settled([spec], ids, x, False, 20, 1e-2)
             assert m.spec == spec and np.allclose(m.history, alone.history, rtol=1e-9) and np.allclose(m.mean, alone.mean)
+
+
+def test_consensus_of_labels_side_by_side(spark):
+    """Labels of a row in one array give what runs, alignment, consensus and agreement give by joins."""
+    r = random.Random(3)
+    n, runs, k = 200, 4, 3
+    labels = [[(e + g * r.randrange(2) + r.randrange(3) // 2 + run) % k for g in range(2) for run in range(runs)] for e in range(n)]
+    wide = spark.createDataFrame(list(enumerate(labels)), "entity bigint, labels array<smallint>")
+    got = {x.entity: x.labels for x in cluster.consensus_groups(wide, runs, k).collect()}
+    each = []
+    for g in range(2):
+        long = spark.createDataFrame([(i, e, v[g * runs + i]) for e, v in enumerate(labels) for i in range(runs)], "run int, entity bigint, label int")
+        each.append(cluster.consensus(cluster.aligned(long, k)).select("entity", "label"))
+        assert {x.entity: x.label for x in each[g].collect()} == {e: v[g] for e, v in got.items()}
+    cells = cluster.contingencies(cluster.consensus_groups(wide, runs, k), [0, 0]).where("run = 1")
+    assert cluster.adjusted_rand(cells, [], "la", "lb").first().ari == pytest.approx(cluster.agreement(each[1], each[0]).first().ari)
+    with pytest.raises(ValueError):
+        cluster.consensus_groups(wide, runs, 11)
+
+
+def test_labels_side_by_side_are_those_of_each_model(spark, planted):
+    rows, _ = planted
+    models = subspace.fit(rows, [Spec("a", (1, 1, 1), 0), Spec("b", (0, 1), 1, dims=(0, 2, 5)), Spec("c", (0, 0), 2, hard=True)], 20)
+    long = {(x.run, x.entity): x.label for x in subspace.assign(rows, models).collect()}
+    assert long == {(i, x.entity): v for x in subspace.assigned(rows, models).collect() for i, v in enumerate(x.labels)}
+
+
+def test_passes_in_single_precision_keep_to_those_in_double():
+    """Responsibilities of the passes are of single precision, sums over rows are not: far from the origin small variances stay right."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((3000, 4)) * 0.01 + c for c in ([100.0, 0, 0, 0], [100.1, 0, 0, 0])])
+    c, phi = subspace._coefficients([subspace._start(Spec("a", (1, 0), 1), x)], 4), subspace.features(x)
+    single, double = (subspace._expected(phi, c, 2, np.ones(len(x)), np.ones(1), False, entropy) for entropy in (False, True))
+    assert np.allclose(single[0][:, [0, 1, 3]], double[0][:, [0, 1, 3]], rtol=1e-7) and single[1].dtype == np.float64
+    covariance = [np.stack([(s[0, :, 0] / s[0, :, -1]) - (s[0, :, 10] / s[0, :, -1]) ** 2]) for _, s in (single, double)]
+    assert np.allclose(*covariance, rtol=1e-3)
