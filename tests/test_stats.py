@@ -53,6 +53,13 @@ def test_fisher_tails_of_long_supports(spark):
     assert big.p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.01) and big.q == pytest.approx(1, abs=1e-3)
 
 
+def test_fisher_of_constants_walks_no_long_support(spark):
+    """Spark folds constants before it chooses the branch: two billion places would not fit."""
+    n = F.lit(2 * 10**9)
+    r = one(spark, p=stats.fisher(F.lit(2 * 10**8), n, n, F.lit(2 * 10**10)), g=stats.fisher(F.lit(2 * 10**8), n, n, F.lit(2 * 10**10), "greater"))
+    assert r.p == pytest.approx(1, abs=1e-3) and r.g == pytest.approx(0.5, abs=1e-3)
+
+
 def test_log_factorial(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 2, 20, 21, 100, 10256, 10**9)], "n bigint").select("n", stats.log_factorial(F.col("n")).alias("v"))
     for r in df.collect():
