@@ -8,6 +8,9 @@ a null text is an empty one that stays null, and a null doc_id is a document lik
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kontra.llm.decontaminate import decontaminated
@@ -46,12 +49,30 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mix(docs)
 
 
+#: Whole texts go to Python in batches; 10,000 rows of them, Spark's default, are tens of MB twice in the JVM and again in its workers.
+BATCH_ROWS = 2048
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches of at most BATCH_ROWS rows, in the session's setting, as its result is written after it returns."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        if now <= 0 or now > BATCH_ROWS:
+            spark.conf.set(key, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
 STAGES = [
-    ("quality_classifier", quality_stage),
-    ("line_dedup", line_stage),
-    ("ngram_jaccard_join", ngram_stage),
-    ("benchmark_decontamination", benchmark_stage),
-    ("source_mixing", mixing_stage),
+    ("quality_classifier", in_small_batches(quality_stage)),
+    ("line_dedup", in_small_batches(line_stage)),
+    ("ngram_jaccard_join", in_small_batches(ngram_stage)),
+    ("benchmark_decontamination", in_small_batches(benchmark_stage)),
+    ("source_mixing", in_small_batches(mixing_stage)),
 ]
 
 #: A trained model and hashed shingles decide, which SQL can't repeat; the tests hold run() against brute force.

@@ -41,6 +41,8 @@ from kontra.llm.scratch import Scratch, if_small
 #: Bytes handled at a time, so that a kernel's arrays stay in the processor's cache, rows of a small group,
 #: and bytes of text verified together.
 SPAN, SMALL, PART = 1 << 17, 8, 2 << 20
+#: Pairs looked at together; a tile has up to ``slice_rows`` squared.
+PAIRS = 1 << 14
 #: ``one``: the unit's band keys, 8 bytes each, stand in ``bands``, in the order of the units.
 UNIT, BANDS = "array<struct<pos:int,fp1:bigint,fp2:bigint,n:bigint,one:boolean>>", "binary"
 
@@ -358,20 +360,21 @@ class Tiles:
         x, y = np.concatenate(xs), np.concatenate(ys)
         # in a tile of two slices, one of which may be empty, only pairs of one with the other count
         ok = ~cross[x] | (right[x] != right[y])
-        x, y = x[ok], y[ok]
-        same = keys[x] == keys[y]
-        own = key[x][:, None] == keys[x]
-        ok = same.argmax(1) == own.argmax(1)
+        x, y = x[ok].astype(np.int32), y[ok].astype(np.int32)
+        ok = np.empty(len(x), dtype=bool)
+        for lo in range(0, len(x), PAIRS):
+            a, b = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+            ok[lo : lo + PAIRS] = (keys[a] == keys[b]).argmax(1) == (key[a][:, None] == keys[a]).argmax(1)
         self.settle(x[ok], y[ok], sets, sig, weight, fp, counts, edges)
 
     def tile(self, key, cross, right, sets, sig, keys, weight, fp, counts, edges) -> None:
         band = int(np.flatnonzero(keys[0] == key)[0])
         if cross:
-            left_i, right_i = np.flatnonzero(right == 0), np.flatnonzero(right)
+            left_i, right_i = np.flatnonzero(right == 0).astype(np.int32), np.flatnonzero(right).astype(np.int32)
             if not len(left_i) or not len(right_i):
                 return
         else:
-            left_i = right_i = np.arange(len(right))
+            left_i = right_i = np.arange(len(right), dtype=np.int32)
         early = np.zeros((len(left_i), len(right_i)), dtype=bool)
         for b in range(band):
             early |= keys[left_i, b][:, None] == keys[right_i, b][None, :]
@@ -386,8 +389,8 @@ class Tiles:
         for n, least in self.checks:
             if not len(x):
                 return
-            for lo in range(0, len(x), 1 << 16):
-                m[lo : lo + (1 << 16)] += (sig[x[lo : lo + (1 << 16)], n - 16 : n] == sig[y[lo : lo + (1 << 16)], n - 16 : n]).sum(1)
+            for lo in range(0, len(x), PAIRS):
+                m[lo : lo + PAIRS] += (sig[x[lo : lo + PAIRS], n - 16 : n] == sig[y[lo : lo + PAIRS], n - 16 : n]).sum(1)
             ok = m >= least
             if not ok.all():
                 x, y, m = x[ok], y[ok], m[ok]
@@ -398,14 +401,17 @@ class Tiles:
         if not len(x):
             return
         size = len(sets)
-        both = np.concatenate([x, y])
-        texts = np.bincount(both, minlength=size)
-        rows = np.bincount(both, weights=weight[np.concatenate([y, x])].astype(float), minlength=size).astype(np.int64)
+        texts, rows = np.zeros(size, np.int64), np.zeros(size)
+        for a, b in ((x, y), (y, x)):
+            for lo in range(0, len(a), PAIRS):
+                texts += np.bincount(a[lo : lo + PAIRS], minlength=size)
+                rows += np.bincount(a[lo : lo + PAIRS], weights=weight[b[lo : lo + PAIRS]], minlength=size)
+        rows = rows.astype(np.int64)
         has = np.flatnonzero(texts)
         counts.append(np.column_stack([fp[has], texts[has], rows[has]]))
         up = {int(i): int(i) for i in has}
         forest = []
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        for a, b in (pair for lo in range(0, len(x), PAIRS) for pair in zip(x[lo : lo + PAIRS].tolist(), y[lo : lo + PAIRS].tolist(), strict=True)):
             while up[a] != a:
                 up[a] = a = up[up[a]]
             while up[b] != b:
@@ -420,8 +426,10 @@ class Tiles:
 
     def exact(self, x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         """Which of the pairs reach the threshold, by their whole shingle sets."""
-        used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-        i, j = where[: len(x)], where[len(x) :]
+        mask = np.zeros(len(sets), dtype=bool)
+        mask[x] = mask[y] = True
+        used, where = np.flatnonzero(mask), (np.cumsum(mask) - 1).astype(np.int32)
+        i, j = where[x], where[y]
         values, size = distinct([sets[r] for r in used])
         inter = (products if len(x) >= 64 and len(x) > 8 * len(used) else merges)(i, j, values, size)
         num, den = self.ratio.numerator, self.ratio.denominator
@@ -430,7 +438,8 @@ class Tiles:
 
 #: Sets and pairs are told apart by the upper 12 bits of a sorted key, shingles by the other 52.
 TAG, LOW = np.uint64(52), np.uint64(12)
-GROUP, VALUES = 4096, 1 << 21
+#: Values that are sorted together: some seven arrays of them are alive at once.
+GROUP, VALUES = 4096, 1 << 18
 
 
 def chunks(n: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -480,13 +489,15 @@ def products(i: np.ndarray, j: np.ndarray, values: np.ndarray, size: np.ndarray)
     col = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
     keep = np.bincount(col)[col] > 1
     owner, col = owner[keep], col[keep]
-    total = np.zeros((len(size), len(size)), dtype=np.float32)
+    # only sets on the left of a pair meet those on its right
+    left, right = (np.bincount(r, minlength=len(size)) > 0 for r in (i, j))
+    total = np.zeros((np.count_nonzero(left), np.count_nonzero(right)), dtype=np.float32)
     if len(col):
         col = np.cumsum(np.concatenate([[0], np.diff(col) > 0]))
-        width = 2048
+        width = 1024
         for lo in range(0, int(col[-1]) + 1, width):
             a, b = np.searchsorted(col, [lo, lo + width])
             part = np.zeros((len(size), width), dtype=np.float32)
             part[owner[a:b], col[a:b] - lo] = 1
-            total += part @ part.T
-    return total[i, j].astype(np.int64)
+            total += part[left] @ part[right].T
+    return total[(np.cumsum(left) - 1)[i], (np.cumsum(right) - 1)[j]].astype(np.int64)

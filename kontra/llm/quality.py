@@ -123,11 +123,11 @@ class Factors:
         return self
 
 
-def _batches(batches: Iterator[pa.RecordBatch], how: Machine):
-    """(columns without text and length, rows lo to hi, features)."""
+def _batches(batches: Iterator[pa.RecordBatch], how: Machine, text: int = 0, length_: int = 1):
+    """(batch, rows lo to hi, features); ``text`` and ``length_``: places of these columns."""
     for batch in batches:
-        data, offsets = tk.buffers(batch.column(0))
-        length = np.asarray(batch.column(1).cast(pa.float64()).fill_null(float("nan")))
+        data, offsets = tk.buffers(batch.column(text))
+        length = np.asarray(batch.column(length_).cast(pa.float64()).fill_null(float("nan")))
         for lo, hi in tk.spans(offsets, 1 << 19):
             yield batch, lo, hi, features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length[lo:hi], how)
 
@@ -195,14 +195,16 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", how: Machin
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     length = F.col("n_chars").cast("double") if "n_chars" in names else F.lit(None).cast("double")
-    flat = docs.select(F.col(text).alias("t"), length.alias("n"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    # the text goes to the workers once, as the column that they return
+    flat = docs.select(length.alias("n"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = names.index(text) + 1
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
 
     def run(batches):
-        for batch, lo, hi, (i, x, f) in _batches(batches, how):
+        for batch, lo, hi, (i, x, f) in _batches(batches, how, at, 0):
             keep = sent.value.margin(i, x, f)[0]
             part = batch.slice(lo, hi - lo).filter(pa.array(sigmoid(keep) >= how.threshold))
-            yield pa.RecordBatch.from_arrays(part.columns[2:], names=part.schema.names[2:])
+            yield pa.RecordBatch.from_arrays(part.columns[1:], names=part.schema.names[1:])
 
     return flat.mapInArrow(run, schema).toDF(*names)
 

@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from kontra.llm.scratch import Scratch, if_small
 from kontra.llm.fuzzy import shared, Join
@@ -135,3 +138,45 @@ def test_squeezed():
     data, at = squeezed(np.frombuffer(b"".join(raw), np.uint8), offsets)
     want = [re.sub(r"[ \t\n\r]+", " ", x).strip(" ").replace("A", "a").replace("B", "b") for x in rows]
     assert [data[lo:hi].tobytes().decode() for lo, hi in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_a_tile_holds_few_of_its_pairs_at_a_time():
+    """Two full slices of near copies, and many small groups of long texts: arrays of pairs or of their values stay small beside the texts."""
+    r = random.Random(5)
+    vocab = ["w%d" % i for i in range(3000)]
+    hot = [r.choice(vocab) for _ in range(60)]
+    near = [" ".join(hot[:i] + ["x%d" % n] + hot[i + 1 :]) for n, i in ((n, n % 2 * 59) for n in range(1536))]
+    peak, counts = tile_peak([near], ["same"])
+    assert peak < 55e6 and all(c == 768 for c in counts)
+    groups = [[" ".join(base[:-k]) for k in range(1, 9)] for base in ([r.choice(vocab) for _ in range(200)] for _ in range(180))]
+    peak, counts = tile_peak(groups, list(range(len(groups))))
+    assert peak < 30e6 and max(counts) == 7
+
+
+def tile_peak(groups, keys):
+    """(most bytes that Python and numpy held beyond the input in Tiles.some, links of each text); each group shares a band key; one group alone is a tile of two slices."""
+    from kontra.llm.fuzzy import Tiles
+    from kontra.llm.ngram_join import DEFAULT
+
+    texts = [t for g in groups for t in g]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tiles = Tiles(DEFAULT)
+    tiles.hasher = DEFAULT.hasher()
+    s, f, _ = DEFAULT.shingles(data, offsets)
+    band = tiles.hasher.keys(tiles.hasher.values(s, f))
+    cuts = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+    cross = len(groups) == 1
+    # the first band that all of a group share; in one tile any pair counts under the first band
+    key = np.concatenate([np.full(len(g), next((k[0] for k in band[lo : lo + len(g)].T if (k == k[0]).all()), band[lo, 0])) for g, lo in zip(groups, cuts)])
+    n = len(texts)
+    columns = [key, np.zeros(n, np.int64), np.full(n, int(cross)), np.arange(n) % 2 == 1, np.arange(n), np.arange(n) + 7, np.ones(n, np.int64), texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefgh"))
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(tiles.some(batch, cuts)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = out.filter(pa.compute.is_null(out["b1"])).group_by("a1").aggregate([("texts", "sum")])
+    return peak, [dict(zip(found["a1"].to_pylist(), found["texts_sum"].to_pylist())).get(i, 0) for i in range(n)]

@@ -107,3 +107,20 @@ def test_nulls_repeats_and_clashing_columns(spark, folder, tmp_path, keep):
     assert ids("ngram_jaccard_join") == sorted({*every})
     assert ids("benchmark_decontamination") == sorted(x for x in every if x[0] != 11)
     assert sorted((r.doc_id or 0, r.size) for r in got["source_mixing"]) == sorted((d, len(t.split())) for d, t in every)
+
+
+def test_whole_texts_go_to_python_once_and_in_small_batches(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10000)
+        docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+        out = corpus_pipeline.STAGES[0][1](spark, docs, str(folder[0]))
+        assert int(spark.conf.get(key)) <= 2048
+        sent = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in x and "MapInArrow" not in x)
+        assert len(re.findall(r"text#\d+ AS", sent)) == 1
+        spark.conf.set(key, 64)
+        corpus_pipeline.STAGES[4][1](spark, docs, str(folder[0]))
+        assert spark.conf.get(key) == "64"
+    finally:
+        spark.conf.set(key, before)
