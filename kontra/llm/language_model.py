@@ -331,7 +331,13 @@ class Network:
         lanes, steps = x.shape
         kind = p["u"].dtype
         ids, want, total = x.T.ravel(), y.T.ravel(), x.size
-        inputs = (p["e"] @ p["w"] + p["b"])[ids].reshape(steps, lanes, 3 * n)
+        # of the words only those in the window, each once, go through the input weights
+        by_id = np.argsort(ids.astype(np.uint16) if len(self.of) <= 1 << 16 else ids, kind="stable")
+        starts = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
+        used = ids[by_id[starts]]
+        place = np.empty(total, np.int32)
+        place[by_id] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(starts, append=total))
+        inputs = np.take(p["e"][used] @ p["w"] + p["b"], place, axis=0).reshape(steps, lanes, 3 * n)
         live = (ids != 0).astype(kind).reshape(steps, lanes, 1)
         before, after, kept = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind), []
         for j in range(steps):
@@ -354,7 +360,7 @@ class Network:
         dh = a @ p["c"].T
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.first)))
-        states, aim, more = flat[order], want[order], np.zeros((total, n), kind)
+        states, aim, more = np.take(flat, order, axis=0), want[order], np.zeros((total, n), kind)
         close = inside and self.bounded("o", "ob")
         for c in np.flatnonzero(np.diff(edge)):
             lo, hi, i, j = self.first[c], self.first[c + 1], edge[c], edge[c + 1]
@@ -395,10 +401,8 @@ class Network:
             back *= live[j]
         flat = dx.reshape(total, 3 * n)
         grad["u"] = before.reshape(total, n).T @ du.reshape(total, 3 * n)
-        grad["w"], grad["b"] = p["e"][ids].T @ flat, flat.sum(0)
-        order = np.argsort(ids.astype(np.uint16) if len(self.of) <= 1 << 16 else ids, kind="stable")
-        at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grad["e"] = ids[order[at]], np.add.reduceat((flat @ p["w"].T)[order], at)
+        grad["w"], grad["b"] = np.take(p["e"], ids, axis=0).T @ flat, flat.sum(0)
+        grad["e"] = used, np.add.reduceat(np.take(flat @ p["w"].T, by_id, axis=0), starts)
         return grad, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray, window: int = 64) -> np.ndarray:
