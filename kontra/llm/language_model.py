@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import isqrt
+from math import isqrt, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -167,34 +167,44 @@ class Adam:
         self.p, self.t = p, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
-        self.work = {k: np.empty_like(v) for k, v in p.items()}
 
     def step(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], rate: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (v[1] if isinstance(v, tuple) else v for v in g.values())))
+        # Python's numbers, since numpy's would take the arrays through double precision
+        norm = sqrt(sum(float(np.vdot(v, v)) for v in (v[1] if isinstance(v, tuple) else v for v in g.values())))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
-        first, second = rate / (1 - 0.9**self.t), 1 / np.sqrt(1 - 0.99**self.t)
+        first, second = rate / (1 - 0.9**self.t), 1 / sqrt(1 - 0.99**self.t)
         for k, v in g.items():
             if isinstance(v, tuple):
                 at, v = v
-                m, s, w = self.m[k][at], self.s[k][at], np.empty_like(v)
+                p, m, s = self.p[k][at], self.m[k][at], self.s[k][at]
             else:
-                at, m, s, w = slice(None), self.m[k], self.s[k], self.work[k]
-            np.multiply(v, v, out=w)
-            w *= 0.01 * scale * scale
-            s *= 0.99
-            s += w
-            v *= 0.1 * scale
-            m *= 0.9
-            m += v
-            np.sqrt(s, out=w)
-            w *= second
-            w += 1e-6
-            np.divide(m, w, out=w)
-            w *= first
-            self.p[k][at] -= w
-            if not isinstance(at, slice):
-                self.m[k][at], self.s[k][at] = m, s
+                at, p, m, s = None, self.p[k], self.m[k], self.s[k]
+            p_, m_, s_, v_ = p.reshape(-1), m.reshape(-1), s.reshape(-1), v.reshape(-1)
+            if scale < 1:
+                v_ *= scale
+            for lo in range(0, len(v_), CHUNK):
+                moved(*(x[lo : lo + CHUNK] for x in (p_, m_, s_, v_)), first / second, 1e-5 / second)
+            if at is not None:
+                self.p[k][at], self.m[k][at], self.s[k][at] = p, m, s
+
+
+#: Numbers that a step of Adam moves together, so that they and their averages stay in the processor's cache.
+CHUNK = 1 << 14
+
+
+def moved(p: np.ndarray, m: np.ndarray, s: np.ndarray, v: np.ndarray, first: float, least: float) -> None:
+    """Adam's step of parameters p by gradients v, in place; m and s are decayed sums, 10 and 100 times the averages."""
+    w = np.multiply(v, v)
+    s *= 0.99
+    s += w
+    m *= 0.9
+    m += v
+    np.sqrt(s, out=w)
+    w += least
+    np.divide(m, w, out=w)
+    w *= first
+    p -= w
 
 
 PRODUCT = 1.5
@@ -215,6 +225,27 @@ def word_classes(p: np.ndarray) -> np.ndarray:
     return np.unique(best[1], return_inverse=True)[1]
 
 
+def sums(a: np.ndarray) -> np.ndarray:
+    """The sum of each row; for short rows several times as fast as a.sum(1)."""
+    return np.einsum("ij->i", a)
+
+
+def with_one(a: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of a in this order, each followed by a 1, which meets the bias."""
+    out = np.empty((len(order), a.shape[1] + 1), a.dtype)
+    out[:, :-1], out[:, -1] = np.take(a, order, axis=0), 1
+    return out
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T b of tall matrices, by pieces of 256 rows, which stay in the processor's cache."""
+    cut = len(a) - len(a) % 256
+    out = a[cut:].T @ b[cut:]
+    if cut:
+        out += np.matmul(a[:cut].reshape(-1, 256, a.shape[1]).swapaxes(1, 2), b[:cut].reshape(-1, 256, b.shape[1])).sum(0)
+    return out
+
+
 class Network:
     """GRU with a softmax over classes and one within each class; float32."""
 
@@ -230,57 +261,73 @@ class Network:
         self.first = np.searchsorted(self.of, np.arange(k + 1))
         mass = np.bincount(self.of, p, minlength=k)
         g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"e": (rng.standard_normal((n, e)) * 0.3).astype(np.float32), "w": g(e, 3 * h), "u": g(h, 3 * h), "b": np.zeros(3 * h, np.float32), "c": g(h, k) * 0.1, "cb": np.log(mass).astype(np.float32), "o": g(h, n) * 0.1, "ob": np.log(p / mass[self.of]).astype(np.float32)}
+        # a class or symbol has a row of output weights, its bias last
+        with_bias = lambda w, b: np.ascontiguousarray(np.concatenate([w.T * np.float32(0.1), np.log(b)[:, None]], 1), np.float32)
+        self.p = {"e": (rng.standard_normal((n, e)) * 0.3).astype(np.float32), "w": g(e, 3 * h), "u": g(h, 3 * h), "b": np.zeros(3 * h, np.float32), "c": with_bias(g(h, k), mass), "o": with_bias(g(h, n), p / mass[self.of])}
         self.p["b"][:h] = -1.0
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step from inputs x = e w + b and state h: (new state, gates, candidate, recurrent part)."""
-        n = h.shape[1]
-        u = h @ self.p["u"]
-        # the logistic function by the hyperbolic tangent, which cannot overflow
-        g = x[:, : 2 * n] + u[:, : 2 * n]
-        g *= 0.5
+    def blocks(self, weights: str) -> np.ndarray:
+        """The weights or biases of the update gate, the reset gate and the candidate, each on its own, those of the gates halved (``forward``)."""
+        out = self.p[weights].reshape(-1, 3, self.how.hidden).swapaxes(0, 1).copy()
+        out[:2] *= 0.5
+        return out
+
+    def forward(self, x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from blocks x of inputs e w + b, state h and blocks u of weights: (new state, gates, candidate, its recurrent part).
+
+        Every block lies contiguous.  The logistic function comes from the hyperbolic tangent of half its argument,
+        which cannot overflow.
+        """
+        a = np.matmul(h, u)
+        g, part = a[:2], a[2]
+        g += x[:2]
         np.tanh(g, out=g)
         g *= 0.5
         g += 0.5
-        z, r = g[:, :n], g[:, n:]
-        c = r * u[:, 2 * n :]
-        c += x[:, 2 * n :]
+        part *= g[1]
+        c = part + x[2]
         np.tanh(c, out=c)
-        return c + z * (h - c), g, c, u[:, 2 * n :]
+        new = h - c
+        new *= g[0]
+        new += c
+        return new, g, c, part
 
-    def bounded(self, weights: str, bias: str) -> bool:
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``forward`` from inputs whose rows hold the three blocks side by side."""
+        x = x.reshape(len(x), 3, -1).swapaxes(0, 1).copy()
+        x[:2] *= 0.5
+        return self.forward(x, h, self.blocks("u"))
+
+    def bounded(self, weights: str) -> bool:
         """Whether no logit can leave +-60, so that a softmax in float32 needs no greatest logit taken off."""
-        return float((np.abs(self.p[weights]).sum(0) + np.abs(self.p[bias])).max()) < 60
+        return float(sums(np.abs(self.p[weights])).max()) < 60
 
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of symbols y after states h (within +-1, as a GRU's are)."""
         k = self.of[y].astype(np.int16)
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.first)))
-        h, y, k = h[order], y[order], k[order]
+        h, y, k = with_one(h, order), y[order], k[order]
         inside = bool(np.abs(h).max(initial=0) <= 1)
-        near, close = inside and self.bounded("c", "cb"), inside and self.bounded("o", "ob")
-        total = np.empty(len(y))
+        near, close = inside and self.bounded("c"), inside and self.bounded("o")
+        total, weights = np.empty(len(y)), self.p["c"].T
         for lo in range(0, len(y), TOGETHER):
-            a = h[lo : lo + TOGETHER] @ self.p["c"]
-            a += self.p["cb"]
+            a = h[lo : lo + TOGETHER] @ weights
             if not near:
                 a -= a.max(1, keepdims=True)
-            total[lo : lo + TOGETHER] = a[np.arange(len(a)), k[lo : lo + TOGETHER]]
+            total[lo : lo + TOGETHER] = np.take(a, np.arange(0, a.size, a.shape[1]) + k[lo : lo + TOGETHER])
             np.exp(a, out=a)
-            total[lo : lo + TOGETHER] -= np.log(a.sum(1))
+            total[lo : lo + TOGETHER] -= np.log(sums(a))
         for c in np.flatnonzero(np.diff(edge)):
             lo, hi, i, j = self.first[c], self.first[c + 1], edge[c], edge[c + 1]
             if hi - lo == 1:
                 continue
-            b = h[i:j] @ self.p["o"][:, lo:hi]
-            b += self.p["ob"][lo:hi]
+            b = h[i:j] @ self.p["o"][lo:hi].T
             if not close:
                 b -= b.max(1, keepdims=True)
-            total[i:j] += b[np.arange(j - i), y[i:j] - lo]
+            total[i:j] += np.take(b, np.arange(-lo, b.size - lo, hi - lo) + y[i:j])
             np.exp(b, out=b)
-            total[i:j] -= np.log(b.sum(1))
+            total[i:j] -= np.log(sums(b))
         out = np.empty(len(y))
         out[order] = total
         return out
@@ -337,77 +384,90 @@ class Network:
         used = ids[by_id[starts]]
         place = np.empty(total, np.int32)
         place[by_id] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(starts, append=total))
-        inputs = np.take(p["e"][used] @ p["w"] + p["b"], place, axis=0).reshape(steps, lanes, 3 * n)
-        live = (ids != 0).astype(kind).reshape(steps, lanes, 1)
+        w, u, back_w, back_u = self.blocks("w"), self.blocks("u"), *(np.ascontiguousarray(p[k].reshape(-1, 3, n).transpose(1, 2, 0)) for k in "wu")
+        back_w = back_w[[2, 0, 1]]
+        inputs = np.take(np.matmul(p["e"][used], w) + self.blocks("b"), place, axis=1).reshape(3, steps, lanes, n)
+        # the lanes where a document starts, by step
+        fresh = np.flatnonzero(ids == 0)
+        fresh = np.split(fresh % lanes, np.searchsorted(fresh, np.arange(lanes, total, lanes)))
         before, after, kept = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind), []
         for j in range(steps):
-            np.multiply(h, live[j], out=before[j])
-            after[j], *parts = self.step(inputs[j], before[j])
+            before[j] = h
+            before[j, fresh[j]] = 0
+            h, *parts = self.forward(inputs[:, j], before[j], u)
+            after[j] = h
             kept.append(parts)
-            h = after[j]
         inside = bool(np.abs(before[0]).max(initial=0) <= 1)
-        grad = {k: np.zeros_like(v) if k in ("o", "ob") else None for k, v in p.items()}
-        flat = after.reshape(total, n)
-        a = flat @ p["c"]
-        a += p["cb"]
-        if not (inside and self.bounded("c", "cb")):
-            a -= a.max(1, keepdims=True)
-        np.exp(a, out=a)
-        a *= 1 / (total * a.sum(1, keepdims=True))
+        near, close = inside and self.bounded("c"), inside and self.bounded("o")
+        grad = {"o": np.empty_like(p["o"])}
+        # symbols in order of their classes
         k = self.of[want].astype(np.int16)
-        a[np.arange(total), k] -= 1 / total
-        grad["c"], grad["cb"] = flat.T @ a, a.sum(0)
-        dh = a @ p["c"].T
         order = np.argsort(k, kind="stable")
-        edge = np.searchsorted(k[order], np.arange(len(self.first)))
-        states, aim, more = np.take(flat, order, axis=0), want[order], np.zeros((total, n), kind)
-        close = inside and self.bounded("o", "ob")
-        for c in np.flatnonzero(np.diff(edge)):
-            lo, hi, i, j = self.first[c], self.first[c + 1], edge[c], edge[c + 1]
-            if hi - lo == 1:
+        edge = np.searchsorted(k[order], np.arange(len(self.first))).tolist()
+        flat, aim, share = with_one(after.reshape(total, n), order), want[order], kind.type(1 / total)
+        a = flat @ p["c"].T
+        if not near:
+            a -= a.max(1, keepdims=True)
+        np.exp(a, out=a)
+        a *= (share / sums(a))[:, None]
+        for c in range(len(edge) - 1):
+            a[edge[c] : edge[c + 1], c] -= share
+        grad["c"] = product(a, flat)
+        dh = a @ p["c"][:, :n]
+        for c, (lo, hi, i, j) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), edge[:-1], edge[1:], strict=True)):
+            if hi - lo == 1 or i == j:
+                grad["o"][lo:hi] = 0
                 continue
-            o = p["o"][:, lo:hi]
-            b = states[i:j] @ o
-            b += p["ob"][lo:hi]
+            o = p["o"][lo:hi]
+            b = flat[i:j] @ o.T
             if not close:
                 b -= b.max(1, keepdims=True)
             np.exp(b, out=b)
-            b *= 1 / (total * b.sum(1, keepdims=True))
-            b[np.arange(j - i), aim[i:j] - lo] -= 1 / total
-            grad["o"][:, lo:hi], grad["ob"][lo:hi] = states[i:j].T @ b, b.sum(0)
-            np.matmul(b, o.T, out=more[i:j])
-        dh[order] += more
-        dh = dh.reshape(steps, lanes, n)
+            b *= (share / sums(b))[:, None]
+            b.reshape(-1)[np.arange(-lo, b.size - lo, hi - lo) + aim[i:j]] -= share
+            np.matmul(b.T, flat[i:j], out=grad["o"][lo:hi])
+            dh[i:j] += b @ o[:, :n]
+        back_order = np.empty(total, np.int64)
+        back_order[order] = np.arange(total)
+        dh = np.take(dh, back_order, axis=0).reshape(steps, lanes, n)
         back = np.zeros((lanes, n), kind)
-        dx, du = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
+        # blocks: the candidate, the update and the reset gate, the candidate's recurrent part before its gate
+        d_all = np.empty((4, steps, lanes, n), kind)
         for j in range(steps - 1, -1, -1):
-            hp, (g, c, uc) = before[j], kept[j]
-            z, r = g[:, :n], g[:, n:]
+            hp, ((z, r), c, part) = before[j], kept[j]
+            dc, dz, dr, du = d_all[:, j]
             d = dh[j]
             d += back
-            left = d * (1 - z)
-            dc = left * (1 - c * c)
-            dx[j, :, 2 * n :] = dc
-            left *= hp - c
-            np.multiply(left, z, out=dx[j, :, :n])
-            np.multiply(dc, r, out=du[j, :, 2 * n :])
-            dc *= uc
-            dc *= r
-            np.multiply(dc, 1 - r, out=dx[j, :, n : 2 * n])
-            du[j, :, : 2 * n] = dx[j, :, : 2 * n]
-            back = du[j] @ p["u"].T
+            np.subtract(1, z, out=dz)
+            dz *= d
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= dz
+            np.subtract(hp, c, out=c)
+            dz *= c
+            dz *= z
+            np.multiply(dc, r, out=du)
+            np.subtract(1, r, out=dr)
+            dr *= dc
+            dr *= part
             d *= z
+            back, more, last = np.matmul(d_all[1:, j], back_u)
+            back += more
+            back += last
             back += d
-            back *= live[j]
-        flat = dx.reshape(total, 3 * n)
-        grad["u"] = before.reshape(total, n).T @ du.reshape(total, 3 * n)
-        grad["w"], grad["b"] = np.take(p["e"], ids, axis=0).T @ flat, flat.sum(0)
-        grad["e"] = used, np.add.reduceat(np.take(flat @ p["w"].T, by_id, axis=0), starts)
-        return grad, h
+            back[fresh[j]] = 0
+        d_all = d_all.reshape(4, total, n)
+        beside = lambda blocks: np.concatenate(blocks, -1)
+        grad["u"] = beside([product(before.reshape(total, n), d_all[i]) for i in (1, 2, 3)])
+        e = np.take(p["e"], ids, axis=0)
+        grad["w"], grad["b"] = (beside([f(d_all[i]) for i in (1, 2, 0)]) for f in (lambda d: product(e, d), lambda d: np.ones(total, kind) @ d))
+        by_word = np.matmul(d_all[:3], back_w).sum(0).T
+        grad["e"] = used, np.stack([np.bincount(place, v, len(used)) for v in by_word], 1).astype(kind)
+        return {name: grad[name] for name in p}, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray, window: int = 64) -> np.ndarray:
         """Sum of natural log probabilities of each row's symbols (its last one is the end token, which also stands before its first)."""
-        table = self.p["e"] @ self.p["w"] + self.p["b"]
+        u, table = self.blocks("u"), np.matmul(self.p["e"], self.blocks("w")) + self.blocks("b")
         n = np.diff(first)
         out = np.zeros(len(n))
         order = np.argsort(-n, kind="stable")
@@ -421,7 +481,7 @@ class Network:
             total = np.zeros(len(rows))
             states, wants, owners, held = [], [], [], 0
             for j, live in enumerate(lives):
-                h = self.step(table[last[:live]], h[:live])[0]
+                h = self.forward(np.take(table, last[:live], axis=1), h[:live], u)[0]
                 last = symbols[at[:live] + j]
                 states.append(h)
                 wants.append(last)

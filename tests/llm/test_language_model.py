@@ -11,7 +11,8 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from kontra.llm.language_model import Network, Recurrent, Vocabulary, language_model, vocabulary
+from kontra.llm import language_model as language_model_module
+from kontra.llm.language_model import Adam, Network, Recurrent, Vocabulary, language_model, vocabulary
 
 SMALL = Recurrent(head=150, words=40, hidden=12, embed=8, rows=400, lanes=8, window=12, epochs=4)
 
@@ -148,3 +149,37 @@ def test_only_words_of_the_window_go_through_the_input_weights():
         tracemalloc.stop()
     # the output weights' gradient has 12 floats a word; 36 a word would be 2.9 MB more
     assert peak < 3.5e6
+
+
+def test_a_step_is_the_unit_by_its_formulas_in_blocks_that_lie_contiguous():
+    net, rng = network(), np.random.default_rng(7)
+    n, h, x = 12, rng.uniform(-1, 1, (5, 12)).astype(np.float32), rng.normal(size=(5, 36)).astype(np.float32)
+    u = h @ net.p["u"]
+    z, r = (1 / (1 + np.exp(-(x + u)[:, i : i + n])) for i in (0, n))
+    c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
+    got = net.step(x, h)
+    assert np.allclose(got[0], c + z * (h - c), atol=1e-5)
+    # of a row's parts side by side each sum or product would take several times as long
+    assert all(v.flags.c_contiguous for v in (got[0], *got[1], *got[2:]))
+    assert all(net.p["o"][lo:hi].flags.c_contiguous for lo, hi in zip(net.first, net.first[1:], strict=False))
+
+
+def test_adam_moves_every_number_by_its_formula_in_single_precision(monkeypatch):
+    rng, rows = np.random.default_rng(8), np.array([1, 4])
+    p = {"a": rng.normal(size=(130, 300)).astype(np.float32), "e": rng.normal(size=(6, 8)).astype(np.float32)}
+    want, m, s = ({k: v.astype(float) * x for k, v in p.items()} for x in (1, 0, 0))
+    seen, moved = [], language_model_module.moved
+    monkeypatch.setattr(language_model_module, "moved", lambda *a: (seen.extend(type(x) for x in a[4:]), moved(*a)))
+    adam = Adam(p)
+    for t in range(1, 5):
+        # the norm is over 1 at first, then below
+        g = {"a": rng.normal(size=(130, 300)) * (0.1 if t < 3 else 0.001), "e": rng.normal(size=(2, 8)) * 0.01}
+        scale = min(1, 1 / math.sqrt(sum((v * v).sum() for v in g.values())))
+        for k, at in (("a", slice(None)), ("e", rows)):
+            m[k][at] = 0.9 * m[k][at] + 0.1 * scale * g[k]
+            s[k][at] = 0.99 * s[k][at] + 0.01 * (scale * g[k]) ** 2
+            want[k][at] -= 0.01 / (1 - 0.9**t) * m[k][at] / (np.sqrt(s[k][at] / (1 - 0.99**t)) + 1e-6)
+        adam.step({"a": g["a"].astype(np.float32), "e": (rows, g["e"].astype(np.float32))}, 0.01)
+    assert all(np.allclose(p[k], want[k], atol=1e-5) for k in p)
+    # numpy's doubles would take every array through double precision
+    assert set(seen) == {float}
