@@ -239,3 +239,27 @@ def test_passes_in_single_precision_keep_to_those_in_double():
     assert np.allclose(single[0][:, [0, 1, 3]], double[0][:, [0, 1, 3]], rtol=1e-7) and single[1].dtype == np.float64
     covariance = [np.stack([(s[0, :, 0] / s[0, :, -1]) - (s[0, :, 10] / s[0, :, -1]) ** 2]) for _, s in (single, double)]
     assert np.allclose(*covariance, rtol=1e-3)
+
+
+def test_passes_over_blocks_of_bytes(spark):
+    """Rows as blocks give what numpy gives on all, in both precisions; k-means gets no second moments, and the M step's gain is no more than the likelihood's."""
+    x = np.random.default_rng(9).normal(size=(700, 4))
+    rows = subspace.packed(spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id bigint, grp int, x array<double>"))
+    specs = [Spec("a", (1, 0), 1), Spec("b", (1, 0), 2, group=1, resample=3), Spec("c", (0, 0), 3, hard=True)]
+    models = [subspace._start(s, x) for s in specs]
+    double, single = (list(subspace._sums(subspace._pass(rows, models, 4, False, 0, v), models, 4)) for v in (False, True))
+    for m, (f, s), (f1, s1) in zip(models, double, single, strict=True):
+        mine = np.arange(700)[m.spec.group :: 2]
+        w = np.ones(350) if m.spec.resample is None else subspace._poisson(mine, 3)
+        assert f[1] == w.sum() and np.allclose(f, f1, rtol=1e-5) and np.allclose(s, s1, rtol=1e-3, atol=1e-2)
+        if m.spec.hard:
+            d = ((x[mine][:, None] - m.mean) ** 2).sum(2)
+            assert f[0] == pytest.approx(-d.min(1).sum() / 2) and not s[:, :10].any()
+            assert np.allclose(s[:, 10:14], [x[mine][d.argmin(1) == j].sum(0) for j in range(2)])
+        else:
+            assert f[0] == pytest.approx((w * np.logaddexp.reduce(m.log_density(x[mine]), axis=1)).sum())
+    sums = [s for _, s in double]
+    moved = subspace._moved(models, sums, 4)
+    after = [f[0] for f, _ in subspace._sums(subspace._pass(rows, moved, 4), moved, 4)]
+    for gain, (f, _), g in zip(subspace._gains(models, moved, sums, 4), double, after, strict=True):
+        assert 0 <= gain <= g - f[0] + 1e-9
