@@ -1,6 +1,8 @@
 """The resampling and sweep queries run as many repetitions as the reference."""
 
-from kontra.operators import subspace
+import numpy as np
+
+from kontra.operators import resample, subspace
 from kontra.plans import clustering, registry
 
 
@@ -80,3 +82,22 @@ def test_subsamples_are_refitted(spark, monkeypatch):
     got = registry.queries()["subsample_stability"](spark, "/root/testdata/sf0.001").collect()
     assert len(sizes) == clustering.RUNS and len(set(sizes)) == 1
     assert len(got) == 3 and all(-1 <= r.ari <= 1 and r.shared < sizes[0] for r in got)
+
+
+def test_shuffled_vectors_are_permutations_of_each_column(spark, monkeypatch):
+    """Every column of every repetition keeps its values and moves on its own, whole blocks and a rest; ids stay."""
+    for n in (1, 2, 5, 1000, 1025):
+        assert sorted(resample.permuted(np.arange(n), n, 7)) == list(range(n))
+    monkeypatch.setattr(resample, "PLACES", 64)
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    rows = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>").repartition(3)
+    got = resample.shuffled_vectors(rows, 2).collect()
+    assert len(got) == 600
+    for rep in (1, 2):
+        mine = sorted((r for r in got if r.grp == rep), key=lambda r: r.id)
+        assert [r.id for r in mine] == [7 * i for i in range(300)]
+        y = np.array([r.x for r in mine])
+        assert np.array_equal(np.sort(y, 0), np.sort(x, 0)) and all((y[:, d] == x[:, d]).mean() < 0.05 for d in range(3))
+        assert abs(np.corrcoef(y.T)[np.triu_indices(3, 1)]).max() < 0.25
+    assert [r.x for r in sorted(got, key=lambda r: (r.id, r.grp))][0] != [r.x for r in sorted(got, key=lambda r: (r.id, r.grp))][1]
+    assert resample.shuffled_vectors(rows.limit(0), 2).count() == 0
